@@ -23,11 +23,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked fingerprints the row of least doc_id stays, one row where that id is repeated."""
+    """Of every group of linked fingerprints the row of least doc_id stays, once where the row is repeated. Rows without
+    an id cannot be told apart and stay."""
     keyed = docs.select("doc_id", "text")
     least = simhash.classes(keyed, SHINGLE_WORDS, SHINGLE_BITS).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
     kept = docs.join(least.select("doc_id"), "doc_id", "left_semi")
-    return kept.select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,7 @@ ROW_COST = 500.0
 
 def choose_blocks(bits: int, fingerprints: int) -> int:
     """The number of blocks with the least estimated cost; each number gives the same links."""
+
     def price(n: int) -> float:
         rows = compared = 0.0
         for b in blocks(bits, n):
@@ -156,7 +157,7 @@ def choose_blocks(bits: int, fingerprints: int) -> int:
             compared += visits * fingerprints / anchors
         return fingerprints * (rows * ROW_COST + compared)
 
-    return min((n for n in (2, 3, 4, 5, 6, 8) if bits // n <= 3 and 64 // n >= 8), key=price)
+    return min((n for n in (2, 3, 4, 6) if 1 <= bits // n <= 3), key=price) if bits > 1 else 2
 
 
 def linked_in_tile(homes: np.ndarray, visitors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
