@@ -123,11 +123,14 @@ def shapiro(sample: np.ndarray) -> tuple[float, float]:
     phi = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
     a = m / math.sqrt(phi)
     a[-1], a[-2], a[0], a[1] = last, before, -last, -before
-    w = (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+    spread = float(((x - x.mean()) ** 2).sum())
+    if spread == 0:
+        return 1.0, 1.0
+    w = (a @ x) ** 2 / spread
     log_n = math.log(n)
     mean = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n)
-    spread = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
-    return float(w), normal_sf((math.log(max(1e-300, 1 - w)) - mean) / spread)
+    scale = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
+    return float(w), normal_sf((math.log(max(1e-300, 1 - w)) - mean) / scale)
 
 
 def smallest_direction(cov: np.ndarray) -> tuple[float, np.ndarray]:

@@ -178,16 +178,16 @@ def forecast_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def cluster_metrics(df: DataFrame, cols: list[str], cluster: str) -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin from centres and spreads: (n, k, ch, db)."""
     n = df.count()
-    centres = df.groupBy(F.col(cluster).alias("g")).agg(F.count("*").alias("k"), *[F.avg(c).alias(f"m_{c}") for c in cols])
+    centres = df.groupBy(F.col(cluster).alias("_g")).agg(F.count("*").alias("k"), *[F.avg(c).alias(f"m_{c}") for c in cols])
     total = df.agg(*[F.avg(c).alias(f"t_{c}") for c in cols])
     far = sum((F.col(c) - F.col(f"m_{c}")) ** 2 for c in cols)
-    spread = df.join(F.broadcast(centres), df[cluster] == F.col("g")).groupBy("g", "k", *[f"m_{c}" for c in cols]).agg(F.sum(far).alias("ss"), F.avg(F.sqrt(far)).alias("s"))
+    spread = df.join(F.broadcast(centres), df[cluster] == F.col("_g")).groupBy("_g", "k", *[f"m_{c}" for c in cols]).agg(F.sum(far).alias("ss"), F.avg(F.sqrt(far)).alias("s"))
     rows = spread.join(F.broadcast(total)).collect()  # a row a cluster
     k = len(rows)
     between = sum(r["k"] * sum((r[f"m_{c}"] - r[f"t_{c}"]) ** 2 for c in cols) for r in rows)
     within = sum(r["ss"] for r in rows)
     dist = lambda a, b: sum((a[f"m_{c}"] - b[f"m_{c}"]) ** 2 for c in cols) ** 0.5
-    db = sum(max((a["s"] + b["s"]) / max(1e-300, dist(a, b)) for b in rows if b["g"] != a["g"]) for a in rows) / k if k > 1 else None
+    db = sum(max((a["s"] + b["s"]) / max(1e-300, dist(a, b)) for b in rows if b["_g"] != a["_g"]) for a in rows) / k if k > 1 else None
     ch = (between / (k - 1)) / (within / (n - k)) if k > 1 and n > k and within else None
     return df.sparkSession.createDataFrame([(n, k, ch, db)], "n long, k int, ch double, db double")
 

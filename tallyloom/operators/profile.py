@@ -115,7 +115,8 @@ def normality(df: DataFrame, cols: list[str], sample: int = 5000) -> DataFrame:
     held = C.long_form(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     stats = {r["column"]: r for r in held.groupBy("column").agg(F.count("*").alias("n"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2")).collect()}
     rank = F.row_number().over(Window.partitionBy("column").orderBy("h", "value"))
-    few = C.long_form(df.select(*cols), cols).where("value IS NOT NULL").withColumn("h", F.xxhash64("value", "column"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    few = df.select(F.xxhash64(*df.columns).alias("h"), F.explode(cells).alias("x")).select("h", "x.column", "x.value").where("value IS NOT NULL AND NOT isnan(value)")
     # a filter by hash keeps about twice the sample before rows meet for the exact rank
     most = max([r["n"] for r in stats.values()], default=0)
     kept = few.where(F.pmod("h", F.lit(1 << 20)) < F.lit(min(1 << 20, math.ceil((1 << 20) * 2 * sample / max(1, most)))))

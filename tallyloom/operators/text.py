@@ -280,3 +280,63 @@ def quality_report(docs: DataFrame) -> DataFrame:
     flat = short.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in short.columns])).alias("x")).select("x.*")
     twice = prefix_duplicates(docs).agg(F.lit("duplicate").alias("check"), F.count("*").alias("n"))
     return flat.unionByName(twice).withColumn("share", F.col("n") / max(1, n))
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """docs with cleaned text, text without noise lines, and tokens in three steps, in one chain of expressions."""
+    out = docs.withColumn("content", X.without_noise(F.col("text"))).withColumn("cleaned", X.clean(F.col("text"), unicode_letters=True))
+    out = out.withColumn("tokens", X.tokens(F.col("cleaned"))).withColumn("tokens_cleaned", X.without_stop_words(F.col("tokens")))
+    return out.withColumn("tokens_filtered", X.filtered_tokens(F.col("tokens_cleaned")))
+
+
+def trim_templates(docs: DataFrame, words: DataFrame, least_left: float = 0.3) -> DataFrame:
+    """(doc_id, text) without leading and trailing sentences that hold template words, up to the first place where two
+    sentences in a row hold none; a document that would lose too much stays whole. words is (word, start, end) as
+    template_words gives it, a bounded vocabulary that is broadcast as two arrays."""
+    lists = words.agg(F.collect_set(F.when(F.col("start"), F.col("word"))).alias("sw"), F.collect_set(F.when(F.col("end"), F.col("word"))).alias("ew"))
+    s = docs.join(F.broadcast(lists)).withColumn("s", X.sentences(F.col("text")))
+    hits = lambda bad: F.transform("s", lambda x: F.arrays_overlap(X.tokens(F.regexp_replace(x, r"[\p{Punct}。！？，]", " ")), bad))
+    n = F.size("s")
+    lead = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: ~F.coalesce(F.get(F.col("h"), i - 1), F.lit(False)) & ~F.coalesce(F.get(F.col("h"), i), F.lit(False)))
+    tail = F.filter(F.sequence(F.greatest(n, F.lit(2)), F.lit(2), F.lit(-1)), lambda i: ~F.coalesce(F.get(F.col("t"), i - 1), F.lit(False)) & ~F.coalesce(F.get(F.col("t"), i - 2), F.lit(False)))
+    marked = s.withColumn("h", hits(F.col("sw"))).withColumn("t", hits(F.col("ew"))).withColumn("first", F.coalesce(F.get(lead, F.lit(0)), F.lit(1))).withColumn("last", F.coalesce(F.get(tail, F.lit(0)), n))
+    kept = F.col("last") - F.col("first") + 1
+    return marked.select("doc_id", F.when((n > 0) & (kept >= least_left * n), F.array_join(F.slice("s", F.col("first"), F.greatest(kept, F.lit(0))), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def cluster_profile(docs: DataFrame, label: str, k: int = 5) -> DataFrame:
+    """(label, size, share, words): each cluster's size and most frequent tokens; docs has the label column."""
+    total = docs.agg(F.count("*").alias("total"))
+    size = docs.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("size")).join(F.broadcast(total)).withColumn("share", F.col("size") / F.col("total"))
+    counts = docs.select(F.col(label).alias("label"), F.explode(X.without_stop_words(X.tokens(F.col("text")))).alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "token"))
+    top = counts.withColumn("r", rank).where(F.col("r") <= k).groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]), " ").alias("words"))
+    return size.join(top, "label", "left").select("label", "size", "share", "words")
+
+
+def entity_profile(mentions: DataFrame, k: int = 5) -> DataFrame:
+    """(entity, n, n_docs, related): how often and where an entity (doc_id, entity) is named, and with which others."""
+    base = mentions.groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    pairs = pair_counts(mentions.select("doc_id", F.col("entity").alias("item")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+    near = both.withColumn("r", rank).where(F.col("r") <= k).groupBy("a").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]), ",").alias("related"))
+    return base.join(near.withColumnRenamed("a", "entity"), "entity", "left")
+
+
+def sentiment_shifts(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Turns of an entity's smoothed sentiment over time; scores is (entity, date, value)."""
+    from tallyloom.operators.timeseries import smooth, turns
+
+    return turns(smooth(scores).select("entity", "date", F.col("smooth").alias("value")), threshold)
+
+
+def plug_in(docs: DataFrame, function, schema: str) -> DataFrame:
+    """A model of one's own over batches of (doc_id, text): entities, events, embeddings, summaries. function takes and
+    gives pandas frames; it is called in the workers, so it should load its model once and keep it."""
+
+    def run(batches):
+        for pdf in batches:
+            yield function(pdf)
+
+    return docs.select("doc_id", "text").mapInPandas(run, schema)

@@ -202,12 +202,13 @@ def _(s, d):
 
 # ---- rules
 
-PLANTED = "SELECT l_orderkey, l_linenumber, l_quantity AS a, l_extendedprice AS b, CASE WHEN l_partkey % 50 = 0 THEN l_quantity + l_extendedprice + 5000 ELSE l_quantity + l_extendedprice END AS c, CASE WHEN l_suppkey % 9 = 0 THEN l_tax ELSE l_discount END AS twin, l_discount FROM lineitem"
+PLANTED = "SELECT l_orderkey, l_linenumber, l_quantity AS a, CAST(l_suppkey % 50 AS DOUBLE) AS b, CASE WHEN l_partkey % 50 = 0 THEN l_quantity + l_suppkey % 50 + 50 ELSE l_quantity + l_suppkey % 50 END AS c, CASE WHEN l_suppkey % 9 = 0 THEN l_tax ELSE l_discount END AS twin, l_discount FROM lineitem"
 
 
 def planted(s, d):
-    total = F.col("l_quantity") + F.col("l_extendedprice")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), F.when(F.col("l_partkey") % 50 == 0, total + 5000).otherwise(total).alias("c"), F.when(F.col("l_suppkey") % 9 == 0, F.col("l_tax")).otherwise(F.col("l_discount")).alias("twin"), "l_discount")
+    other = (F.col("l_suppkey") % 50).cast("double")
+    total = F.col("l_quantity") + other
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), other.alias("b"), F.when(F.col("l_partkey") % 50 == 0, total + 50).otherwise(total).alias("c"), F.when(F.col("l_suppkey") % 9 == 0, F.col("l_tax")).otherwise(F.col("l_discount")).alias("twin"), "l_discount")
 
 
 @query("u02_equalities", f"SELECT 'twin' AS a, 'l_discount' AS b, count(*) AS common, count(*) FILTER (abs(twin - l_discount) < 1e-6) AS equal, round(count(*) FILTER (abs(twin - l_discount) < 1e-6) * 1.0 / count(*), 6) AS confidence, true AS strong FROM ({PLANTED})")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import facts as FA
 from tallyloom.operators import graph as G
 from tallyloom.operators import models as ML
+from tallyloom.operators import profile as P
 from tallyloom.operators import timeseries as T
 from tallyloom.plans.profiling import outlier_sql, profile_sql, rounded
 from tallyloom.plans.registry import query
@@ -140,8 +141,8 @@ def _(s, d):
 
 
 def stream(s, d):
-    path = f"{d}/events.parquet"
-    return s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("z01_stream_daily", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, count(value) AS n_value, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -314,7 +315,7 @@ def _(s, d):
 @query("m02_train_regression")
 def _(s, d):
     model = ML.train(table(s, d, "part"), "regression", "linear", ["p_size", "p_type"], "p_retailprice")
-    return rounded(ML.regression_metrics(ML.predict(model, table(s, d, "part")), "label", "prediction"), 4)
+    return rounded(ML.regression_metrics(ML.predict(model, table(s, d, "part")), "p_retailprice", "prediction"), 4)
 
 
 @query("m05_registry", "SELECT * FROM (VALUES ('classification', 8), ('clustering', 3), ('regression', 8), ('timeseries', 1)) t(task, n)")
@@ -409,3 +410,28 @@ def _(s, d):
     return FA.compare(o, o.where("o_custkey < 300"))
 
 
+
+
+@query("z06_stream_spikes", "SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, CAST(count(*) FILTER (value > 3 * m) AS BIGINT) AS n_spikes FROM (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) GROUP BY 1")
+def _(s, d):
+    return rounded(Z.run_to_memory(Z.spikes(stream(s, d)), f"spikes_{uuid.uuid4().hex}", "update"))
+
+
+@query("i09_captions")
+def _(s, d):
+    r = P.summary(table(s, d, "events"), ["value"]).first().asDict()
+    m = P.modes(table(s, d, "events"), ["event_type"]).first().asDict()
+    return s.createDataFrame([(FA.caption("histogram", "value", r),), (FA.caption("bar", "event_type", m),)], "caption string")
+
+
+@query("i12_intent", "SELECT 'predict' AS intent, 'price' AS field, '12.5' AS value")
+def _(s, d):
+    got = FA.intent("Please predict the amount when price is 12.5", ["price", "size"])
+    return s.createDataFrame([(got["intent"], k, v) for k, v in got["values"].items()], "intent string, field string, value string")
+
+
+@query("i15_named_results", "SELECT * FROM (VALUES ('duplicates'), ('facts'), ('missing'), ('modes'), ('outliers'), ('profile'), ('scenarios'), ('score'), ('series'), ('diagnostics'), ('trend'), ('suggestions'), ('summary'), ('top_values'), ('concentration')) t(name)")
+def _(s, d):
+    from tallyloom.plans.analysis import Profile
+
+    return s.createDataFrame([(k,) for k in Profile(table(s, d, "events").drop("user_id")).run()], "name string")

@@ -17,8 +17,8 @@ def docs(s, d):
 
 
 STOP = ", ".join(f"'{w}'" for w in [*X.STOP_EN, *X.STOP_ZH])
-SPLIT = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\f]+'), x -> length(x) > 0)"
-TOKENS = f"SELECT doc_id, unnest(list_filter({SPLIT}, x -> NOT list_contains([{STOP}], x) AND length(trim(x)) > 1)) AS token FROM documents"
+SPLIT = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\f]+'), lambda x: length(x) > 0)"
+TOKENS = f"SELECT doc_id, unnest(list_filter({SPLIT}, lambda x: NOT list_contains([{STOP}], x) AND length(trim(x)) > 1)) AS token FROM documents"
 
 
 @query("x01_clean", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), 'https?://\\S+|www\\.\\S+', '', 'g'), '\\S+@\\S+\\.\\S+', '', 'g'), '[^\\x{4e00}-\\x{9fff}a-zA-Z0-9\\s.,!?;:''\"()-]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
@@ -46,7 +46,7 @@ def _(s, d):
     return T.token_counts(docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("x06_noise_lines", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), x -> length(trim(x)) < 20)) AS BIGINT) AS n_short FROM documents")
+@query("x06_noise_lines", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) < 20)) AS BIGINT) AS n_short FROM documents")
 def _(s, d):
     return docs(s, d).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) < 20)).cast("long").alias("n_short"))
 
@@ -110,7 +110,7 @@ def _(s, d):
     return rounded(T.textrank(docs(s, d)))
 
 
-@query("x21_ngrams", f"SELECT ngram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(t)), i -> t[i] || t[i + 1])) AS ngram FROM (SELECT list_filter({SPLIT}, x -> NOT list_contains([{STOP}], x) AND length(trim(x)) > 1) AS t FROM documents)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+@query("x21_ngrams", f"SELECT ngram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) AS ngram FROM (SELECT list_filter({SPLIT}, lambda x: NOT list_contains([{STOP}], x) AND length(trim(x)) > 1) AS t FROM documents)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def _(s, d):
     return T.ngram_counts(docs(s, d))
 
@@ -209,3 +209,38 @@ def _(s, d):
 @query("s18_corpus", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def _(s, d):
     return docs(s, d)
+
+
+@query("x09_trimmed")
+def _(s, d):
+    return T.trim_templates(docs(s, d), T.template_words(docs(s, d)))
+
+
+@query("x10_prepared", f"SELECT doc_id, CAST(len({SPLIT}) AS BIGINT) AS n FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), 'https?://\\S+|www\\.\\S+', '', 'g'), '\\S+@\\S+\\.\\S+', '', 'g'), '[^\\pL\\pN\\s.,!?;:''\"()-]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM documents)")
+def _(s, d):
+    return T.prepared(docs(s, d)).select("doc_id", F.size("tokens").cast("long").alias("n"))
+
+
+@query("x20_word_cloud", f"SELECT token, count(*) AS n FROM ({TOKENS}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
+def _(s, d):
+    return T.top_tokens(docs(s, d), 200)
+
+
+@query("x34_cluster_profile", f"SELECT d.lang AS label, count(*) AS size, round(count(*) * 1.0 / (SELECT count(*) FROM documents), 6) AS share, any_value(w.words) AS words FROM documents d LEFT JOIN (SELECT lang, string_agg(token, ' ' ORDER BY r) AS words FROM (SELECT lang, token, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token) AS r FROM ({TOKENS}) JOIN documents USING (doc_id) GROUP BY 1, 2) WHERE r <= 5 GROUP BY 1) w ON w.lang = d.lang GROUP BY 1")
+def _(s, d):
+    return rounded(T.cluster_profile(table(s, d, "documents"), "lang"))
+
+
+@query("x38_sentiment_shifts")
+def _(s, d):
+    return rounded(T.sentiment_shifts(mentions(s, d), 0.1))
+
+
+@query("x41_entity_profile", "WITH e AS (SELECT user_id AS doc_id, event_type AS entity FROM events), s AS (SELECT DISTINCT * FROM e), p AS (SELECT a.entity AS a, b.entity AS b, count(*) AS n FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.entity <> b.entity GROUP BY 1, 2) SELECT entity, count(*) AS n, count(DISTINCT doc_id) AS n_docs, (SELECT string_agg(b, ',' ORDER BY n DESC, b) FROM p WHERE a = entity) AS related FROM e GROUP BY 1")
+def _(s, d):
+    return T.entity_profile(table(s, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("entity")))
+
+
+@query("x44_plug_in", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")
+def _(s, d):
+    return T.plug_in(docs(s, d), lambda pdf: pdf.assign(n=pdf["text"].str.len())[["doc_id", "n"]], "doc_id long, n long")

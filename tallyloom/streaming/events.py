@@ -45,3 +45,22 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def spikes(events: DataFrame, user: str = "user_id", value: str = "value", factor: float = 3.0) -> DataFrame:
+    """(user_id, n, mean, n_spikes) by user after each batch: values over `factor` times the user's running mean so far.
+    The state is a count, a sum and the spikes of each user."""
+    import pandas as pd
+
+    def step(key, frames, state):
+        n, total, hits = state.get if state.exists else (0, 0.0, 0)
+        for pdf in frames:
+            for v in pdf.sort_values("at")["v"]:
+                if n and v > factor * total / n:
+                    hits += 1
+                n, total = n + 1, total + v
+        state.update((n, total, hits))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [total / n], "n_spikes": [hits]})
+
+    held = events.where(F.col(value).isNotNull()).select(F.col(user).alias("user_id"), F.col(value).cast("double").alias("v"), F.col("event_id").alias("at"))
+    return held.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, mean double, n_spikes long", "n long, total double, hits long", "update", "NoTimeout")
