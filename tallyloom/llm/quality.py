@@ -22,7 +22,7 @@ from tallyloom.llm.common import table
 from tallyloom.llm.tokens import slices
 
 BUCKETS = 1 << 14
-SAMPLE, SAMPLE_BYTES, HELD = 6000, 16_384, 3
+SAMPLE, SAMPLE_BYTES, HELD = 1500, 8_192, 3
 #: A text is kept at this probability of good quality or more.
 THRESHOLD = 0.5
 BYTE_GRAMS = (3, 4, 5)
@@ -153,11 +153,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], penalty: float = 2
     if len({r[2] for r in train}) < 2:
         return weights, 0.0
     cols = np.concatenate([r[0] for r in train])
-    vals = np.concatenate([r[1] for r in train]).astype(np.float64)
-    row = np.repeat(np.arange(len(train)), [len(r[0]) for r in train])
+    vals = np.concatenate([r[1] for r in train])
+    row = np.repeat(np.arange(len(train), dtype=np.int32), [len(r[0]) for r in train])
     y = np.array([r[2] for r in train], dtype=float)
     scale = 1.0 / np.sqrt(np.bincount(cols, weights=vals * vals, minlength=KINDS * BUCKETS) / len(train) + 1e-7)  # kinds of rare buckets weigh as common ones
-    vals = vals * scale[cols]
+    vals *= scale[cols].astype(np.float32)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 
     def loss(x):
@@ -167,25 +167,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], penalty: float = 2
         value = (balance * (np.logaddexp(0, z) - y * z)).mean() + penalty * (x[:-1] @ x[:-1]) / 2
         return value, np.append(np.bincount(cols, weights=vals * r[row], minlength=len(x) - 1) / len(y) + penalty * x[:-1], r.mean())
 
-    x = descend(loss, np.zeros(KINDS * BUCKETS + 1))
+    x = descend(loss, np.zeros(KINDS * BUCKETS + 1), 40)
     w, bias = x[:-1] * scale, float(x[-1])
-    if len({r[2] for r in held}) == 2:  # Platt scaling, by Newton steps
+    if len({r[2] for r in held}) == 2:  # Platt scaling
         z = np.array([r[1] @ w[r[0]] + bias for r in held])
         t = np.array([r[2] for r in held], dtype=float)
-        up, down = (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2)
-        goal = np.where(t == 1, up, down)
-        a, b = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-            g = np.array([(p - goal) @ z, (p - goal).sum()])
-            v = p * (1 - p) + 1e-9
-            h = np.array([[v @ (z * z) + 1e-6, v @ z], [v @ z, v.sum() + 1e-6]])
-            d = np.linalg.solve(h, g)
-            a, b = a - d[0], b - d[1]
-            if np.abs(d).max() < 1e-9:
-                break
+        goal = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
+        spread = float(z.std()) or 1.0
+
+        def scaled(ab):
+            v = ab[0] * z / spread + ab[1]
+            r = 1 / (1 + np.exp(-np.clip(v, -40, 40))) - goal
+            return (np.logaddexp(0, v) - goal * v).mean(), np.array([(r * z).mean() / spread, r.mean()])
+
+        a, b = descend(scaled, np.array([spread, 0.0]), 200)
         if a > 0:
-            w, bias = w * a, bias * a + b
+            w, bias = w * a / spread, float(bias * a / spread + b)
     return w.reshape(KINDS, BUCKETS), bias
 
 
