@@ -5,8 +5,9 @@ the page votes for the path of its best container, generalised to tags and first
 counted by host in Spark, and all pages are read again with their host's winning path; a page without it, or with
 almost nothing in it, takes its own best container.
 
-Votes are summed before they are dealt out, so a host with many pages is no larger than its few paths; the winners, a row
-a host, meet the pages on host and a salt, and the optimiser broadcasts them if they are small.
+Votes are summed before they are dealt out, so a host with many pages is no larger than its few paths. The winners, a row
+a host, are counted: up to MOST_BROADCAST they are broadcast and the pages stay where they are, beyond that both sides
+meet on host and a salt.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own; open, unknown and crossed tags
 are read as browsers would, roughly; repeated pages vote each; an empty table gives an empty result.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import cut, table
 
 # Elements by what they mean for the text.
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -32,12 +33,14 @@ CONTAINERS = frozenset("article main section div body td".split())
 CLOSES_P = BLOCKS - {"br"}
 #: Class and id words of what is not article.
 NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w*|signup|login|menu|nav\w*|breadcrumbs?|side-?bar|widget|footer|header|masthead|toolbar|share|sharing|social|related|recommend\w*|more-stories|comments?|disqus|replies|respond|pagination|pager|skip-link|byline-tools|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w*|signup|login|menu|nav\w*|breadcrumbs?|side-?bar|widget|footer|masthead|toolbar|share|sharing|social|related|recommend\w*|more-stories|comments?|disqus|replies|respond|pagination|pager|skip-link|byline-tools|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[\s​]+")
+#: Words that say so only outside an article, where they stand over its title.
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner)(?:$|[\s_-])", re.IGNORECASE)
 #: A container with fewer letters than this share of the page's best one is not taken for the article.
 LEAST_SHARE = 0.25
 
@@ -62,7 +65,7 @@ def step_of(tag: str, attrs: dict[str, str]) -> str:
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
     """The elements, and the page's text as (element, text, starts a new block)."""
     root = Node("", "", None, False)
-    nodes, runs, here, at, fresh, in_link = [], [], root, 0, True, 0
+    nodes, runs, here, at, fresh, in_link = [root], [], root, 0, True, 0
     end = len(page)
     while at < end:
         m = TAG.search(page, at)
@@ -124,7 +127,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
                 n = n.parent
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
         named = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
-        hidden = here.hidden or tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or tag == "header" and not _in_article(here) or bool(NOT_ARTICLE.search(named) and tag not in ("html", "body", "article", "main"))
+        hidden = here.hidden or tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or (tag == "header" or bool(HEADER.search(named))) and not _in_article(here) or bool(NOT_ARTICLE.search(named) and tag not in ("html", "body", "article", "main"))
         if m[4] and tag not in BLOCKS:
             continue
         here = Node(tag, f"{here.path}/{step_of(tag, attrs)}" if tag in BLOCKS else here.path, here, hidden)
@@ -150,8 +153,8 @@ def scores(nodes: list[Node]) -> dict[str, float]:
         if n.hidden or not n.weight:
             continue
         share, up = 1.0, n
-        while up is not None and up.tag:
-            if up.tag in CONTAINERS:
+        while up is not None:
+            if up.tag in CONTAINERS or up.parent is None:  # the page itself, for pages without a body
                 out[up.path] = out.get(up.path, 0.0) + share * gain
                 share *= 0.9
                 if up.tag in ("article", "main"):
@@ -217,13 +220,16 @@ def winners(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     return counted.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
 
+#: So many hosts are broadcast, a path each; more meet their pages by host and salt.
+MOST_BROADCAST = 50_000
 SALTS = 32
 
 
-def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host = F.lower(F.regexp_extract(F.col(url), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    salted = winners(pages, url, html).select(F.coalesce("host", F.lit("")).alias("_host"), "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    won = cut(winners(pages, url, html), "host-paths").select(F.coalesce("host", F.lit("")).alias("_host"), "path")
+    won = won.groupBy("_host").agg(F.min("path").alias("path"))  # an empty host and none are one
     held = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("_host", F.coalesce(host, F.lit(""))).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
 
     def run(batches):
@@ -231,7 +237,11 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
             texts = [extract(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = held.join(salted, ["_host", "_salt"], "left").select("page_id", "url", "html", "path")
+    if won.count() <= most_broadcast:
+        joined = held.join(F.broadcast(won), "_host", "left").select("page_id", "url", "html", "path")
+    else:
+        salted = won.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = held.join(salted, ["_host", "_salt"], "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
