@@ -86,10 +86,16 @@ def sentiment(c: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.lit(False).alias("n"))
     words = lambda s: F.transform(F.regexp_extract_all(F.lower(s), F.lit("[a-z']+"), F.lit(0)), lambda w: F.replace(w, F.lit("'"), F.lit("")))
     each = F.transform(sentences(c), lambda s: F.aggregate(words(s), start, step, lambda a: F.struct(F.greatest(a["p"], F.lit(0.0)).alias("p"), F.greatest(a["q"], F.lit(0.0)).alias("q"))))
-    p = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["p"])
-    q = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["q"])
-    label = F.when(p > q, "positive").when(q > p, "negative").otherwise("neutral")
-    return F.struct(p.alias("positive"), q.alias("negative"), label.alias("label"), F.least(F.abs(p - q) / F.greatest(p, q, F.lit(1.0)), F.lit(1.0)).alias("confidence"))
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    total = F.aggregate(each, zero, lambda a, x: F.struct((a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q")))
+
+    def told(a: Column) -> Column:
+        p, q = a["p"], a["q"]
+        label = F.when(p > q, "positive").when(q > p, "negative").otherwise("neutral")
+        return F.struct(p.alias("positive"), q.alias("negative"), label.alias("label"), F.least(F.abs(p - q) / F.greatest(p, q, F.lit(1.0)), F.lit(1.0)).alias("confidence"))
+
+    # bound to a variable of a lambda, the totals are computed once for all four fields
+    return F.get(F.transform(F.array(total), told), 0)
 
 
 def entities_latin(c: Column) -> Column:

@@ -53,7 +53,7 @@ def facts(df: DataFrame, types: dict[str, str], relations: int = 0, rules: int =
 
 def scenarios(found: DataFrame) -> DataFrame:
     """(scenario, group, name, priority, fact, value) of every scenario whose fact is large enough, urgent ones first."""
-    rows = [(k, *v) for k, v in SCENARIOS.items()]
+    rows = [(k, area, name, fact, float(least), urgent) for k, (area, name, fact, least, urgent) in SCENARIOS.items()]
     table = found.sparkSession.createDataFrame(rows, "scenario string, area string, name string, fact string, least double, priority string")
     order = F.create_map(*[F.lit(x) for k, v in PRIORITY.items() for x in (k, v)])[F.col("priority")]
     return F.broadcast(table).join(found, "fact").where(F.col("value") >= F.col("least")).orderBy(order, "scenario").select("scenario", "area", "name", "priority", "fact", "value")

@@ -52,7 +52,7 @@ def sniff_encoding(head: bytes) -> str:
         try:
             head.decode(e)
         except UnicodeDecodeError as err:
-            if err.start >= len(head) - 4 and e == "utf-8":  # cut inside a character
+            if err.reason == "unexpected end of data" and e == "utf-8":  # cut inside a character
                 return e
             continue
         return e
