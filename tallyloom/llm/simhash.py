@@ -280,8 +280,9 @@ def classes(docs: DataFrame, words: int = WORDS, bits: int = BITS, n_blocks: int
     distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct, bits, n_blocks, tile), "simhash")
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # a component that holds many fingerprints is summed before it is dealt out
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a component that holds many fingerprints is summed before it is dealt out; as a table of its own its join with
+    # them is between plain exchanges, which AQE can split
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")), "components-least")
     by_fp = named.join(least, "root").select("fp", "component_id")
     return hashed.join(by_fp, "fp")
 
