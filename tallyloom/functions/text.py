@@ -71,7 +71,12 @@ def filtered_tokens(t: Column) -> Column:
 
 
 def ngrams(t: Column, n: int, joined: str = "") -> Column:
-    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), joined))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens. The tokens are bound to a variable of a lambda: they are computed once, not once a run."""
+
+    def runs(v: Column) -> Column:
+        return F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), joined))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(t), runs), 0)
 
 
 def sentiment(c: Column) -> Column:
