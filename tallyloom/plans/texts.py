@@ -130,7 +130,8 @@ def _(s, d):
     return T.summary_sentences(docs(s, d))
 
 
-@query("x25_entities", "SELECT doc_id, entity FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b(?:[A-Z][a-z]+)(?:\\s+[A-Z][a-z]+)*\\b')) AS entity FROM documents WHERE lang = 'en')")
+#: No SQL: word ends beside accented letters are not the same in both engines.
+@query("x25_entities")
 def _(s, d):
     return T.entities(T.corpus(table(s, d, "documents").where("lang = 'en'"), "text", "doc_id"))
 
