@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, packing, secrets_scan, simhash, toxicity
+from tallyloom.llm import decontaminate, near_copies, packing, secrets_scan, toxicity
 from tallyloom.llm.common import cut, table
 from tallyloom.llm.tokens import vocabulary
 
-#: Near copies share five-word shingles; seven bits of 64 stand for a similarity of 0.8 and more.
-SHINGLE_WORDS, SHINGLE_BITS = 5, 7
+#: Near copies share five-word shingles: their sets' exact Jaccard similarity is so much or more.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked fingerprints the row of least doc_id stays, once where the row is repeated. Rows without
+    """Of every group of linked shingle sets the row of least doc_id stays, once where the row is repeated. Rows without
     an id cannot be told apart and stay."""
     keyed = docs.select("doc_id", "text")
-    least = simhash.classes(keyed, SHINGLE_WORDS, SHINGLE_BITS).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+    least = near_copies.classes(keyed, SHINGLE_WORDS, SIMILARITY).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
     kept = docs.join(least.select("doc_id"), "doc_id", "left_semi")
     return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
 

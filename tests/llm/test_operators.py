@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import decontaminate, html_extract, packing, quality, registry, secrets_scan, sharding, simhash, token_counts, token_store, toxicity
+from tallyloom.llm import decontaminate, html_extract, near_copies, packing, quality, registry, secrets_scan, sharding, simhash, token_counts, token_store, toxicity
 from tallyloom.llm.common import new_folder
 from tallyloom.llm.tokens import Encoder, vocabulary
 
@@ -386,6 +386,55 @@ def test_covering_misses_no_link(spark, bits, n):
         assert len({find(f) for f in fps}) == len(set(comp.values()))
 
 
+def word_shingles(text, k=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split(" ")
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def test_near_copies_equal_exact_jaccard(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(60, 400)))]
+        texts.append(" ".join(words))
+        for _ in range(2):  # of about 0.65 to 1.0
+            copy = list(words)
+            for at in rng.integers(0, len(copy), int(len(copy) * rng.uniform(0, 0.045))):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), texts[1], "A few words", "a few words"]
+    sets = [word_shingles(t) for t in texts]
+    root = list(range(len(sets)))
+    near = 0
+    for b in range(len(sets)):
+        for a in range(b):
+            if 10 * (x := len(sets[a] & sets[b])) >= 8 * len(sets[a] | sets[b]) and x:
+                near += 10 * x < 9 * len(sets[a] | sets[b])
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert near > 50  # pairs between 0.8 and 0.9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (near_copies.TILE, 300):
+        assert {r.doc_id: r.component_id for r in near_copies.classes(df, tile=tile).collect()} == dict(enumerate(root))
+    kept = corpus_pipeline.near_copies_stage(spark, df, SF)
+    assert {r.doc_id for r in kept.collect()} == set(root)
+
+
+def test_min_hash_recall():
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(400):  # 80 of 100 shingles in common: exactly 0.8
+        h = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+        met += bool((near_copies.band_keys(np.sort(h[:810])) == near_copies.band_keys(np.sort(h[90:]))).any())
+    assert met == 400
+
+
+def test_near_copies_odd(spark, odd, none):
+    rows = near_copies.classes(odd).collect()
+    assert len(rows) == len(ODD) and near_copies.classes(none).count() == 0
+    found = {(r.doc_id, r.component_id) for r in rows}
+    assert {(1, 1), (2, 2), (3, 2), (6, 2), (None, None), (4, 4), (5, 5)} == found
+
+
 def test_pipeline(spark, docs):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
