@@ -2,7 +2,9 @@
 
 A value that stands where a credential would is split, by a dynamic program over its characters, into words, dates,
 repeats, keyboard walks and brute-force spans so that the guesses for all parts, in bits, are least; a value that costs
-THRESHOLD bits or more is a secret. Places that only name one (a word, a date, "changeme") cost less and stay.
+THRESHOLD bits or more is a secret, whatever its letters. Places that only name one (a word of WORDS, a date, "changeme")
+cost less and stay; other words are costed by their letters, so a long ordinary word in such a place counts as well.
+A value may itself be a context word ("secret password ..."): the search goes on at the start of each value.
 
 Defined cases: null and empty texts have no spans; positions are code points of the whole text; repeated rows are
 scanned each; values longer than LONGEST characters are costed in parts of that length and the costs added.
@@ -103,10 +105,12 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
+    at = 0
+    while m := CONTEXT.search(text, at):
+        at = m.start(1)
         value = m[1].rstrip(".)]}:!?")
-        if len(value) >= SHORTEST and not (value.isalpha() and value.islower()) and cost(value) >= threshold:
-            out.append((m.start(1), 3, m.start(1) + len(value)))
+        if len(value) >= SHORTEST and cost(value) >= threshold:
+            out.append((at, 3, at + len(value)))
     return sorted(out)
 
 

@@ -321,6 +321,21 @@ def test_secrets(spark, docs, odd, none):
     assert secrets_scan.scan(odd).count() == len(ODD) and secrets_scan.scan(none).count() == 0 and secrets_scan.redacted(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("pwd: xkqjzwvhtnbp end", "pwd: [secret] end"),
+        ("the secret password is x9$Kq2!vLp7z", "the secret password is [secret]"),
+        ("bearer token x9$Kq2!vLp7z now", "bearer token [secret] now"),
+        ("password secret token x9$Kq2!vLp7z", "password secret token [secret]"),
+        ("password: password1 token: changeme", "password: password1 token: changeme"),
+    ],
+)
+def test_secrets_of_any_letters_behind_any_context(text, want):
+    found = secrets_scan.spans(text)
+    assert secrets_scan.redact(text, [x for x in found if x[1] == 3]) == want
+
+
 def brute_fp(text, k=4):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
