@@ -206,3 +206,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "<table>" in S.to_html({"t": df}) and "| id |" in S.to_markdown({"t": df})
     assert R.sniff_encoding("中文".encode("gb18030")) == "gb18030" and R.excluded("user_password")
     assert list(R.read_many(spark, [str(p / "a.csv"), str(p / "a.csv")])) == ["a", "a_2"]
+
+
+def test_trade_graph_is_of_the_whole_table(spark, con):
+    from tallyloom.plans import series
+
+    want = {(a, b): n for a, b, n in con.execute("SELECT c_nationkey, s_nationkey, count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2").fetchall()}
+    assert {(r.src, r.dst): int(r.weight) for r in series.trade(spark, SF).collect()} == want
+    around = {r.id for r in catalogue.QUERIES["g03_betweenness"](spark, SF).collect()}
+    assert around == {x for a, b in want if a != b for x in (a, b)}
