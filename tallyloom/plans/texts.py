@@ -133,7 +133,7 @@ def _(s, d):
 #: No SQL: word ends beside accented letters are not the same in both engines.
 @query("x25_entities")
 def _(s, d):
-    return T.entities(T.corpus(table(s, d, "documents").where("lang = 'en'"), "text", "doc_id"))
+    return T.entities(docs(s, d))
 
 
 @query("x27_entity_stats")

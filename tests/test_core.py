@@ -215,3 +215,12 @@ def test_trade_graph_is_of_the_whole_table(spark, con):
     assert {(r.src, r.dst): int(r.weight) for r in series.trade(spark, SF).collect()} == want
     around = {r.id for r in catalogue.QUERIES["g03_betweenness"](spark, SF).collect()}
     assert around == {x for a, b in want if a != b for x in (a, b)}
+
+
+def test_entities_of_all_languages(spark, tmp_path):
+    import re
+
+    rows = [(1, "we met Anna Berg in Rome", "en"), (2, "Le Monde parle de Paris", "fr"), (3, "wir sahen Karl Marx", "de"), (4, "Nobody Knows", None), (5, None, "en"), (6, "none", "es")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.entity) for r in catalogue.QUERIES["x25_entities"](spark, str(tmp_path)).collect())
+    assert got == sorted({(i, m) for i, t, _ in rows for m in re.findall(r"\b(?:[A-Z][a-z]+)(?:\s+[A-Z][a-z]+)*\b", t or "")})
