@@ -180,6 +180,18 @@ def class_topics(docs: DataFrame, label: str, k: int = 15, common: int = 50) ->
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("label", "token", "score", "rank")
 
 
+def _ranks(n: int, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, damping: float, rounds: int, settled: float = 0.0) -> np.ndarray:
+    """Ranks over a graph given by its edges, columns scaled to 1."""
+    share = weights / np.maximum(np.bincount(cols, weights, n), 1e-12)[cols]
+    r = np.full(n, 1 / n)
+    for _ in range(rounds):
+        new = (1 - damping) / n + damping * np.bincount(rows, share * r[cols], n)
+        if np.abs(new - r).sum() < settled:
+            break
+        r = new
+    return r
+
+
 def textrank(docs: DataFrame, window: int = 5, k: int = 10, damping: float = 0.85, rounds: int = 50) -> DataFrame:
     """(doc_id, word, score) by rank over each document's own word graph; a document is a row, in Arrow batches."""
 
@@ -187,25 +199,16 @@ def textrank(docs: DataFrame, window: int = 5, k: int = 10, damping: float = 0.8
         for pdf in batches:
             out = []
             for doc, words in zip(pdf["doc_id"], pdf["t"], strict=True):
-                names = list(dict.fromkeys(words))[:2000]
-                at = {w: i for i, w in enumerate(names)}
-                m = np.zeros((len(names), len(names)))
-                seq = [at[w] for w in words if w in at]
-                for d in range(1, window):
-                    for a, b in zip(seq, seq[d:], strict=False):
-                        if a != b:
-                            m[a, b] += 1
-                            m[b, a] += 1
-                if not len(names):
+                names = list(dict.fromkeys(words))
+                if not names:
                     continue
-                m /= np.maximum(m.sum(0), 1e-12)
-                r = np.full(len(names), 1 / len(names))
-                for _ in range(rounds):
-                    new = (1 - damping) / len(names) + damping * (m @ r)
-                    if np.abs(new - r).sum() < 1e-8:
-                        break
-                    r = new
-                out += [(doc, names[i], float(r[i])) for i in np.argsort(-r, kind="stable")[:k]]
+                n, at = len(names), {w: i for i, w in enumerate(names)}
+                seq = np.array([at[w] for w in words], dtype=np.int64)
+                pairs = np.concatenate([seq[:-d] * n + seq[d:] for d in range(1, window)])
+                pairs = pairs[pairs // n != pairs % n]
+                codes, weight = np.unique(np.concatenate([pairs, pairs % n * n + pairs // n]), return_counts=True)
+                r = _ranks(n, codes // n, codes % n, weight, damping, rounds, 1e-8)
+                out += [(doc, names[i], float(r[i])) for i in np.argsort(-np.round(r, 12), kind="stable")[:k]]
             yield pd.DataFrame(out, columns=["doc_id", "word", "score"])
 
     return docs.select("doc_id", X.without_stop_words(X.tokens(F.col("text"))).alias("t")).mapInPandas(run, "doc_id long, word string, score double")
@@ -223,16 +226,27 @@ def summary_sentences(docs: DataFrame, k: int = 3, damping: float = 0.85, rounds
                 if n <= k:
                     out.append((doc, " ".join(sentences)))
                     continue
-                m = np.array([[len(a & b) / max(1, len(a | b)) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
-                m[m <= 0.1] = 0
-                m /= np.maximum(m.sum(0), 1e-12)
-                r = np.full(n, 1 / n)
-                for _ in range(rounds):
-                    r = (1 - damping) / n + damping * (m @ r)
-                out.append((doc, " ".join(sentences[i] for i in sorted(np.argsort(-r, kind="stable")[:k]))))
+                lists: dict[str, list[int]] = {}
+                for i, words in enumerate(sets):
+                    for w in words:
+                        lists.setdefault(w, []).append(i)
+                holders = {w: np.array(x, dtype=np.int32) for w, x in lists.items()}
+                sizes = np.array([len(x) for x in sets])
+                rows, cols, weights = [], [], []
+                for i, words in enumerate(sets):
+                    both = np.bincount(np.concatenate([holders[w] for w in words]), minlength=n) if words else np.zeros(n, np.int64)
+                    both[i] = 0
+                    near = np.flatnonzero(both)
+                    alike = both[near] / (sizes[i] + sizes[near] - both[near])
+                    near, alike = near[alike > 0.1], alike[alike > 0.1]
+                    rows.append(np.full(len(near), i, dtype=np.int32))
+                    cols.append(near.astype(np.int32))
+                    weights.append(alike)
+                r = _ranks(n, np.concatenate(rows), np.concatenate(cols), np.concatenate(weights), damping, rounds)
+                out.append((doc, " ".join(sentences[i] for i in sorted(np.argsort(-np.round(r, 12), kind="stable")[:k]))))
             yield pd.DataFrame(out, columns=["doc_id", "summary"])
 
-    return docs.select("doc_id", F.slice(X.sentences(F.col("text")), 1, 400).alias("s")).mapInPandas(run, "doc_id long, summary string")
+    return docs.select("doc_id", X.sentences(F.col("text")).alias("s")).mapInPandas(run, "doc_id long, summary string")
 
 
 def clusters(vectors: DataFrame, col: str, most: int = 10, reduce_to: int = 20, seed: int = 42) -> DataFrame:

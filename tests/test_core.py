@@ -224,3 +224,28 @@ def test_entities_of_all_languages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.entity) for r in catalogue.QUERIES["x25_entities"](spark, str(tmp_path)).collect())
     assert got == sorted({(i, m) for i, t, _ in rows for m in re.findall(r"\b(?:[A-Z][a-z]+)(?:\s+[A-Z][a-z]+)*\b", t or "")})
+
+
+def test_long_texts_are_ranked_whole(spark):
+    from tallyloom.operators import text as O
+
+    late = " ".join(f"word{i}" for i in range(2500)) + " " + " ".join(f"hub side{i}" for i in range(200))
+    top = O.textrank(spark.createDataFrame([(1, late), (2, "")], "doc_id long, text string")).collect()
+    assert len(top) == 10 and max(top, key=lambda r: r.score).word == "hub"
+    seq = late.split()
+    m = np.zeros((len(set(seq)),) * 2)
+    at = {w: i for i, w in enumerate(dict.fromkeys(seq))}
+    for d in range(1, 5):
+        for a, b in zip(seq, seq[d:], strict=False):
+            if a != b:
+                m[at[a], at[b]] += 1
+                m[at[b], at[a]] += 1
+    m /= np.maximum(m.sum(0), 1e-12)
+    r = np.full(len(m), 1 / len(m))
+    for _ in range(50):
+        r = 0.15 / len(m) + 0.85 * (m @ r)
+    assert all(abs(t.score - r[at[t.word]]) < 1e-7 for t in top)
+    one = [f"alone{i} apart{i} single{i}." for i in range(450)]
+    hits = ["red green blue.", "red green grey.", "red blue grey."]
+    got = O.summary_sentences(spark.createDataFrame([(1, " ".join(one + hits))], "doc_id long, text string")).first().summary
+    assert got == " ".join(hits)
