@@ -94,11 +94,22 @@ def template_words(docs: DataFrame, least_docs: int = 10, share: float = 0.05, l
     return kept.select("word", "docs", hit("at").alias("start"), hit("back").alias("end")).where("start OR end")
 
 
+def _token_sets(docs: DataFrame, chars: int, n_tokens: int) -> DataFrame:
+    return docs.where(F.length("text") >= chars).select("doc_id", F.array_sort(F.array_distinct(X.tokens(F.col("text")))).alias("t")).where(F.size("t") > n_tokens)
+
+
+def near_duplicate_members(docs: DataFrame, chars: int = 20, n_tokens: int = 3) -> DataFrame:
+    """(doc_id, representative) of every row that near_duplicates looks at: the least id of those with its token set,
+    which stands for them in the pairs. Rows with one representative are at Jaccard 1."""
+    held = _token_sets(docs, chars, n_tokens).select("doc_id", F.sha2(F.array_join("t", "\n"), 256).alias("h"))
+    return held.join(held.groupBy("h").agg(F.min("doc_id").alias("representative")), "h").select("doc_id", "representative")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.7, chars: int = 20, n_tokens: int = 3) -> DataFrame:
     """(a, b, jaccard) of documents whose token sets are alike; equal token sets are one document here (the least id), so
-    groups of copies add no pairs. Candidates share a token of each other's prefix: the rarest tokens, of which two sets
+    groups of copies add no pairs: near_duplicate_members names them. Candidates share a token of each other's prefix: the rarest tokens, of which two sets
     so alike must share one."""
-    sets = docs.where(F.length("text") >= chars).select("doc_id", F.array_sort(F.array_distinct(X.tokens(F.col("text")))).alias("t")).where(F.size("t") > n_tokens)
+    sets = _token_sets(docs, chars, n_tokens)
     one = sets.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
     df = one.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     ranked = one.select("doc_id", F.size("t").alias("k"), F.explode("t").alias("token")).join(df, "token")

@@ -81,6 +81,11 @@ def _(s, d):
     return rounded(T.near_duplicates(docs(s, d)))
 
 
+@query("x14_near_duplicate_members", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(list_distinct({SPLIT}))) AS representative FROM documents WHERE length(text) >= 20 AND len(list_distinct({SPLIT})) > 3")
+def _(s, d):
+    return T.near_duplicate_members(docs(s, d))
+
+
 @query("x15_quality_report", "SELECT 'empty' AS \"check\", count(*) FILTER (text = '') AS n, round(count(*) FILTER (text = '') * 1.0 / count(*), 6) AS share FROM documents UNION ALL SELECT 'short', count(*) FILTER (text <> '' AND length(text) < 10), round(count(*) FILTER (text <> '' AND length(text) < 10) * 1.0 / count(*), 6) FROM documents UNION ALL SELECT 'no_letters', count(*) FILTER (NOT regexp_matches(text, '\\pL')), round(count(*) FILTER (NOT regexp_matches(text, '\\pL')) * 1.0 / count(*), 6) FROM documents UNION ALL SELECT 'duplicate', count(*), round(count(*) * 1.0 / (SELECT count(*) FROM documents), 6) FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY substring(text, 1, 500)) AS o FROM documents WHERE text <> '') WHERE doc_id > o")
 def _(s, d):
     return rounded(T.quality_report(docs(s, d)))

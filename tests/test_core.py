@@ -249,3 +249,20 @@ def test_long_texts_are_ranked_whole(spark):
     hits = ["red green blue.", "red green grey.", "red blue grey."]
     got = O.summary_sentences(spark.createDataFrame([(1, " ".join(one + hits))], "doc_id long, text string")).first().summary
     assert got == " ".join(hits)
+
+
+def test_near_duplicates_with_members_are_all_pairs(spark):
+    from tallyloom.operators import text as O
+
+    texts = ["one two three four five six"] * 3 + ["six FIVE four three two one one", "one two three four five seven", "quite other words stand in here", "in here stand other words quite", "too short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: set(t.lower().split()) for i, t in enumerate(texts) if len(t) >= 20 and len(set(t.lower().split())) > 3}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    member = {r.doc_id: r.representative for r in O.near_duplicate_members(df).collect()}
+    pairs = {(r.a, r.b) for r in O.near_duplicates(df).collect()}
+    assert member.keys() == sets.keys()
+    assert {(a, b) for a in member for b in member if a < b and (member[a] == member[b] or tuple(sorted((member[a], member[b]))) in pairs)} == want
+
+
+def test_near_duplicate_members_equal_sql(spark, con):
+    test_query_equals_sql(spark, con, "x14_near_duplicate_members")
