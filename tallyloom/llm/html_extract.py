@@ -30,6 +30,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video head".split())
 NEVER = RAW | frozenset("nav footer aside form dialog menu".split())
 CONTAINERS = frozenset("article main section div body td".split())
+#: What of RAW holds tags, and so may lack its end without taking the rest of the page with it.
+SHOWN, FOREIGN, UNSEEN = frozenset("button object".split()), frozenset("svg math".split()), frozenset("noscript template select canvas audio video".split())
+IN_HEAD = frozenset("base link meta title script style noscript template".split())
 CLOSES_P = BLOCKS - {"br"}
 #: Class and id words of what is not article.
 NOT_ARTICLE = re.compile(
@@ -109,9 +112,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
         if tag in VOID:
             continue
         if tag in RAW and not m[4]:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
-            continue
+            close = _closing(page, tag, at)
+            if close:
+                at = close.end()
+                continue
+            if tag == "head":
+                at = _head_end(page, at)
+            elif tag in FOREIGN:
+                at = _next_block(page, at)
+            elif tag not in SHOWN | UNSEEN:
+                at = end
+            if tag not in UNSEEN:
+                continue
         if tag in CLOSES_P:  # an open paragraph ends where a block begins
             n = here
             while n is not root and (n.tag == "p" or n.tag not in BLOCKS):
@@ -137,6 +149,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
     return nodes, runs
 
 
+def _closing(page: str, tag: str, at: int) -> re.Match | None:
+    """The end tag of an element of RAW, if it is its own: a button or select ends where the next begins, a drawing where a
+    block does."""
+    close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+    if close and tag in ("button", "select") and re.compile(rf"<{tag}[\s>]", re.IGNORECASE).search(page, at, close.start()):
+        return None
+    if close and tag in FOREIGN and not re.compile("<(?:foreignobject|desc|title|annotation-xml)", re.IGNORECASE).search(page, at, close.start()) and _next_block(page, at) < close.start():
+        return None
+    return close
+
+
+def _next_block(page: str, at: int) -> int:
+    return next((m.start() for m in TAG.finditer(page, at) if m[2] and m[2].lower() in BLOCKS), len(page))
+
+
+def _head_end(page: str, at: int) -> int:
+    """Where the body begins in a page that does not end its head: at text, or a tag that no head holds."""
+    while m := TAG.search(page, at):
+        if page[at : m.start()].strip():
+            return at
+        tag = (m[2] or "").lower()
+        if tag and tag not in IN_HEAD:
+            return m.start()
+        at = m.end()
+        if tag in RAW and not m[1] and not m[4]:
+            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            at = close.end() if close else len(page)
+    return at
+
+
 def _in_article(n: Node) -> bool:
     while n is not None:
         if n.tag in ("article", "main"):

@@ -180,6 +180,16 @@ def test_html():
     assert html_extract.extract(None, None) == "" and html_extract.extract("", "/x") == "" and html_extract.extract("just <b>text</b>", None) == "just text"
 
 
+@pytest.mark.parametrize("broken", ["<button>Buy", "<svg><path d='M0'>", "<object data=x>", "<button>A<p>One.</p><button>B</button>", "<div><video src=x></div>"])
+def test_html_unclosed_elements_keep_the_page(broken):
+    first, last = "The first paragraph has quite some words to say.", "The last paragraph has quite some words as well."
+    got = html_extract.extract(f"<html><head><title>T</title></head><body><article><p>{first}</p>{broken}<p>{last}</p></article></body></html>", None)
+    assert first in got and last in got and "M0" not in got
+    whole = html_extract.extract(f"<html><head><title>No text</title><meta charset=utf-8><script>var a = '<p>';</script><body><p>{first}</p><p>{last}</p></body></html>", None)
+    assert whole == f"{first}\n{last}"
+    assert html_extract.extract(f"<head><title>No text</title>{first}", None) == first
+
+
 def test_html_pages(spark):
     rows = registry.QUERIES["op5_html_extraction"](spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
