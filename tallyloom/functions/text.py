@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "\\u4e00-\\u9fff"
+# Surnames, and endings of places and organisations, longer ones first.
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱林郭何高郑罗梁谢宋唐许邓肖冯韩曹彭曾田董潘袁于蒋蔡余杜苏吕丁沈任姚卢傅钟姜崔谭廖范"
+PLACES = sorted("省 市 区 县 镇 乡 村 街 路 道 号 大厦 广场 中心 酒店 饭店 餐厅 商场 超市 公园 景区 北京 上海 广州 深圳 杭州 南京 武汉 成都 重庆".split(), key=len, reverse=True)
+BODIES = sorted("公司 集团 有限 股份 科技 网络 技术 软件 数据 银行 保险 证券 基金 大学 学院 医院 研究院 政府 局 部 委 办 处 科 中心 协会 学会 商会 联盟 组织 机构 平台 媒体 报社 出版社".split(), key=len, reverse=True)
 # Small stop-word lists, and words of feeling and denial.
 STOP_EN = "a an and are as at be been but by can did do does for from had has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when which who will with would you your".split()
 STOP_ZH = list("的了在是我有和就不人都一个上也很到说要去你会着没看好自己这那")
@@ -38,8 +42,11 @@ def sentences(c: Column, aggressive: bool = False) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case pieces between white space."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda t: F.length(t) > 0)
+    """Lower-case pieces between white space; runs of CJK characters in them become their neighbouring pairs,
+    without the marks beside them."""
+    plain = F.filter(F.split(F.lower(c), r"\s+"), lambda t: F.length(t) > 0)
+    runs = F.flatten(F.transform(plain, lambda t: F.regexp_extract_all(t, F.lit(f"^[^{CJK}]+$|[{CJK}]+|[^{CJK}\\p{{P}}\\p{{S}}]+"), F.lit(0))))
+    return F.when(c.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"[{CJK}]"), bigrams_cjk(r)).otherwise(F.array(r))))).otherwise(plain)
 
 
 def bigrams_cjk(c: Column) -> Column:
@@ -106,3 +113,14 @@ def sentiment(c: Column) -> Column:
 def entities_latin(c: Column) -> Column:
     """Runs of capitalised words."""
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(?:[A-Z][a-z]+)(?:\s+[A-Z][a-z]+)*\b"), F.lit(0)))
+
+
+def entities_cjk(c: Column) -> Column:
+    """A surname and one or two characters before a mark or an end, and runs up to the ending of a place or organisation."""
+    rules = [f"[{SURNAMES}][{CJK}]{{1,2}}(?=[，。！？；：\\s]|$)", *[f"[{CJK}]+?(?:{'|'.join(ends)})" for ends in (PLACES, BODIES)]]
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(r), F.lit(0)) for r in rules])))
+
+
+def entities(c: Column) -> Column:
+    """Those of both scripts."""
+    return F.when(c.rlike(f"[{CJK}]"), F.array_union(entities_latin(c), entities_cjk(c))).otherwise(entities_latin(c))

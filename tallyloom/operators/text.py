@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -138,7 +140,7 @@ def sentiment_extremes(docs: DataFrame, k: int = 3) -> DataFrame:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(X.entities_latin(F.col("text"))).alias("entity"))
+    return docs.select("doc_id", F.explode(X.entities(F.col("text"))).alias("entity"))
 
 
 def entity_stats(docs: DataFrame, least: int = 2, k: int = 50) -> DataFrame:
@@ -226,13 +228,15 @@ def textrank(docs: DataFrame, window: int = 5, k: int = 10, damping: float = 0.8
 
 
 def summary_sentences(docs: DataFrame, k: int = 3, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """(doc_id, summary): the sentences that rank highest by shared words, in text order."""
+    """(doc_id, summary): the sentences that rank highest by shared words, in text order. Words of CJK
+    characters are pieces of two to four of them."""
+    cjk, split = re.compile(f"[{X.CJK}]"), re.compile(rf"[{X.CJK}]{{2,4}}|(?:(?![{X.CJK}])\w)+")
 
     def run(batches):
         for pdf in batches:
             out = []
             for doc, sentences in zip(pdf["doc_id"], pdf["s"], strict=True):
-                sets = [set(s.lower().split()) for s in sentences]
+                sets = [{w for p in s.lower().split() for w in (split.findall(p) if cjk.search(p) else [p])} for s in sentences]
                 n = len(sets)
                 if n <= k:
                     out.append((doc, " ".join(sentences)))

@@ -266,3 +266,15 @@ def test_near_duplicates_with_members_are_all_pairs(spark):
 
 def test_near_duplicate_members_equal_sql(spark, con):
     test_query_equals_sql(spark, con, "x14_near_duplicate_members")
+
+
+def test_chinese_tokens_entities_and_summaries(spark):
+    from tallyloom.operators import text as O
+
+    df = spark.createDataFrame([(1, "Spark处理数据，很快。 ok -- 中"), (2, "负责人王小明，他在浙江省工作。腾讯公司 Anna Berg"), (3, "plain words")], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", X.tokens(F.col("text")).alias("t")).collect()}
+    assert got[1] == ["spark", "处理", "理数", "数据", "很快", "ok", "--", "中"] and got[3] == ["plain", "words"]
+    found = {(r.doc_id, r.entity) for r in O.entities(df).collect()}
+    assert {(2, "王小明"), (2, "他在浙江省"), (2, "腾讯公司"), (2, "Anna Berg")} <= found
+    text = "天地玄黄。今天天气很好我们出门。今天天气很好他们回家。宇宙洪荒。今天天气很好大家开心。日月盈昃。"
+    assert O.summary_sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().summary == "今天天气很好我们出门。 今天天气很好他们回家。 今天天气很好大家开心。"
