@@ -5,7 +5,8 @@ lengths says how often to use each filling pattern; a knapsack dynamic program p
 patterns and an exact fill of what they leave become sequences; pieces, ranked inside their length class, take the
 patterns' places by rank. Only the histogram (a row per length class) and the ranges' totals reach the driver.
 
-Classes are UNIT tokens wide and patterns count upper ends, so a pattern's pieces always fit.
+Classes are one token wide up to FINE tokens and twice as wide each time the length doubles, so rounding to the upper
+end, which patterns count and which makes their pieces fit, costs under 1 in FINE of a piece and nothing of a short one.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first; repeated rows are packed each;
 an empty table gives an empty result; other columns are ignored.
@@ -25,65 +26,130 @@ from tallyloom.llm.tokens import encoder, slices, vocabulary
 
 END = 1
 LENGTH = 2048
-UNIT = 16
+#: Up to so many tokens each length is a class of its own; a power of two.
+FINE = 64
+#: The widest class.
+WIDEST = 16
 #: The linear program ends when its value is within this share of its lower bound.
 GAP = 2e-3
+#: The share of the best prices so far in the prices that patterns are sought with.
+PULL = 0.8
 Pattern = tuple[tuple[int, int], ...]  # (class, pieces), by class
 
 
-def knapsack(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, dict[int, int]]:
-    """The most valuable filling of room, each item any number of times, and its counts by item."""
+def upper_ends(length: int, fine: int = FINE, widest: int = WIDEST) -> np.ndarray:
+    """By a piece's tokens, from 0, the upper end of its class; the last one is the sequence length."""
+    n = np.arange(length + 1)
+    width = np.ones_like(n)
+    for double in (1 << k for k in range(1, widest.bit_length())):
+        width[n > fine * double // 2] = double
+    return np.minimum(-(-n // width) * width, length)
+
+
+def fillings(value: np.ndarray, sizes: np.ndarray, room: int, block: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """By room, the worth of its most valuable filling, each item any number of times, and an item of it (-1: as in the
+    room one smaller).
+
+    Rooms are settled a block at a time: items of a block or more look back at settled rooms, all at once; smaller ones
+    follow room by room."""
     best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    ends = np.searchsorted(sizes[order], np.arange(room + 1), side="right")
-    for w in range(1, room + 1):
-        best[w] = best[w - 1]
-        if ends[w]:
-            items = order[: ends[w]]
-            got = value[items] + best[w - sizes[items]]
-            k = int(got.argmax())
-            if got[k] > best[w] + 1e-12:
-                best[w], pick[w] = got[k], items[k]
+    big, small = np.flatnonzero(sizes >= block), [(int(s), float(value[i]), int(i)) for i, s in enumerate(sizes.tolist()) if s < block]
+    for lo in range(1, room + 1, block):
+        w = np.arange(lo, min(lo + block, room + 1))
+        if len(big):
+            before = w[:, None] - sizes[big][None, :]
+            got = np.where(before >= 0, best[np.maximum(before, 0)] + value[big][None, :], 0.0)
+            k = got.argmax(axis=1)
+            top = got[np.arange(len(w)), k]
+            best[w], pick[w] = top, np.where(top > 0, big[k], -1)
+        held = best[max(0, lo - block) : lo + len(w)].tolist()
+        shift = max(0, lo - block)
+        for x in w.tolist():
+            now, item = held[x - shift], -2
+            if held[x - 1 - shift] > now:
+                now, item = held[x - 1 - shift], -1
+            for s, v, i in small:
+                if s <= x and held[x - s - shift] + v > now + 1e-12:
+                    now, item = held[x - s - shift] + v, i
+            held[x - shift] = now
+            if item > -2:
+                pick[x] = item
+        best[w] = held[lo - shift :]
+    return best, pick
+
+
+def filling(pick: np.ndarray, sizes: np.ndarray, room: int) -> dict[int, int]:
     counts: dict[int, int] = {}
-    w = room
-    while w > 0:
-        if pick[w] < 0:
-            w -= 1
+    while room > 0:
+        if (i := int(pick[room])) < 0:
+            room -= 1
         else:
-            counts[int(pick[w])] = counts.get(int(pick[w]), 0) + 1
-            w -= int(sizes[pick[w]])
-    return float(best[room]), counts
+            counts[i] = counts.get(i, 0) + 1
+            room -= int(sizes[i])
+    return counts
 
 
-def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = 3_000) -> list[tuple[dict[int, int], float]]:
+def knapsack(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, dict[int, int]]:
+    """The most valuable filling of room, each item any number of times, and its counts by item."""
+    best, pick = fillings(value, sizes, room)
+    return float(best[room]), filling(pick, sizes, room)
+
+
+def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = 600, per_round: int = 40) -> list[tuple[dict[int, int], float]]:
     """Patterns (item -> count) and how often to use them, so that demand is met with about the fewest patterns."""
     n = len(sizes)
+    # to start with, sequences filled with the largest that fits, as often as the first of their classes lasts: a class
+    # used up is in no later pattern, so these patterns are a basis
     columns = [{i: int(room // sizes[i])} for i in range(n)]
-    inverse = np.diag(1.0 / np.array([c[i] for i, c in enumerate(columns)]))
-    x = inverse @ demand
-    bound = 0.0
+    left = demand.astype(float)
+    while (left > 0).any():
+        free, column = room, {}
+        for i in range(n - 1, -1, -1):
+            if left[i] > 0 and (k := free // int(sizes[i])):
+                column[i] = k
+                free -= k * int(sizes[i])
+        times, first = min((left[i] / k, i) for i, k in column.items())
+        for i, k in column.items():
+            left[i] = max(0.0, left[i] - times * k)
+        left[first] = 0.0
+        columns[first] = column
+    matrix = np.zeros((n, n))
+    for j, column in enumerate(columns):
+        matrix[list(column), j] = list(column.values())
+    inverse = np.linalg.inv(matrix)
+    x = np.maximum(inverse @ demand, 0.0)
+    least = float(sizes @ demand) / room  # what fills all sequences to the end
+    bound, centre, pull = 0.0, np.zeros(n), PULL
     for _ in range(rounds):
-        prices = np.maximum(inverse.sum(axis=0), 0.0)
-        worth, column = knapsack(prices, sizes, room)
-        bound = max(bound, float(prices @ demand) / worth)  # prices / worth are feasible in the dual
-        if worth <= 1 + 1e-9 or x.sum() <= (1 + gap) * bound:
-            break
-        a = np.zeros(n)
-        for i, c in column.items():
-            a[i] = c
-        step = inverse @ a
-        up = step > 1e-9
-        if not up.any():
+        now = np.maximum(inverse.sum(axis=0), 0.0)
+        prices = pull * centre + (1 - pull) * now  # prices that swing less settle sooner
+        best, pick = fillings(prices, sizes, room)
+        if (low := float(prices @ demand) / best[room]) > bound:  # prices / worth are feasible in the dual
+            bound, centre = low, prices / best[room]
+        if best[room] <= 1 + 1e-9 and not pull or x.sum() <= (1 + gap) * max(bound, least):
             break
-        ratio = np.where(up, x / np.where(up, step, 1), np.inf)
-        out = int(ratio.argmin())
-        theta = ratio[out]
-        x = x - theta * step
-        x[out] = theta
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
-        columns[out] = column
+        moved = False
+        # the best filling, and the best ones that hold each item, while they still pay at the prices of the moment
+        worth = prices + best[room - sizes]
+        for i in np.argsort(-worth, kind="stable")[:per_round].tolist():
+            column = filling(pick, sizes, room - int(sizes[i]))
+            column[i] = column.get(i, 0) + 1
+            a = np.zeros(n)
+            a[list(column)] = list(column.values())
+            step = inverse @ a
+            up = step > 1e-9
+            if step.sum() <= 1 + 1e-9 or not up.any():
+                continue
+            ratio = np.where(up, x / np.where(up, step, 1), np.inf)
+            out = int(ratio.argmin())
+            x = x - ratio[out] * step
+            x[out] = ratio[out] = max(0.0, float(ratio[out]))
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+            columns[out] = column
+            moved = True
+        pull = PULL if moved else 0.0
     return [(c, float(v)) for c, v in zip(columns, x, strict=True) if v > 1e-9]
 
 
@@ -138,11 +204,12 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, key
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut_up, ", ".join(f"{n} long" for n in names))
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, unit: int = UNIT, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, fine: int = FINE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces with sequence_id and offset; offsets in a sequence run from 0 without gaps."""
     spark = docs.sparkSession
     order = ["size", "doc_id", "start", "ids_crc32"]
-    sized = pieces(docs, path, length, end, key, text).withColumn("size", F.ceil(F.col("length") / unit).cast("int"))
+    ends = F.array(*[F.lit(int(e)) for e in upper_ends(length, fine)])
+    sized = pieces(docs, path, length, end, key, text).withColumn("size", F.element_at(ends, F.col("length").cast("int") + 1))
     ranged = cut(cut(sized, "pieces").repartitionByRange(partitions(spark), *order).withColumn("_part", F.spark_partition_id()), "ranked-pieces")
     histogram: dict[int, int] = {}
     bases = []
@@ -152,7 +219,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, unit:
         histogram[size] = histogram.get(size, 0) + n
     places: dict[int, list[tuple[int, int, int, int]]] = {}  # class -> (first rank, pieces a sequence, first sequence, place of the first)
     sequence = 0
-    for pattern, times in plan(histogram, length // unit):
+    for pattern, times in plan(histogram, length):
         at = 0
         for size, count in pattern:
             had = places.setdefault(size, [])
