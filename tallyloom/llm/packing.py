@@ -37,13 +37,12 @@ PULL = 0.8
 Pattern = tuple[tuple[int, int], ...]  # (class, pieces), by class
 
 
-def upper_ends(length: int, fine: int = FINE, widest: int = WIDEST) -> np.ndarray:
-    """By a piece's tokens, from 0, the upper end of its class; the last one is the sequence length."""
-    n = np.arange(length + 1)
-    width = np.ones_like(n)
-    for double in (1 << k for k in range(1, widest.bit_length())):
-        width[n > fine * double // 2] = double
-    return np.minimum(-(-n // width) * width, length)
+def upper_end(n, length: int = LENGTH, fine: int = FINE, widest: int = WIDEST) -> F.Column:
+    """The upper end of the class that a piece of n tokens is in."""
+    out = n
+    for width in (1 << k for k in range(1, widest.bit_length())):
+        out = F.when(n > fine * width // 2, F.ceil(n / width) * width).otherwise(out)
+    return F.least(out, F.lit(length)).cast("int")
 
 
 def fillings(value: np.ndarray, sizes: np.ndarray, room: int, block: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +94,27 @@ def knapsack(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, di
     return float(best[room]), filling(pick, sizes, room)
 
 
+def against(inverse: np.ndarray, column: dict[int, int]) -> np.ndarray:
+    """A pattern in terms of the basis."""
+    return inverse[:, list(column)] @ np.array(list(column.values()), dtype=float)
+
+
+def replace(inverse: np.ndarray, columns: list[dict[int, int]], out: int, column: dict[int, int]) -> None:
+    """Puts a pattern in the place of one of the basis."""
+    step = against(inverse, column)
+    row = inverse[out] / step[out]
+    inverse -= np.outer(step, row)
+    inverse[out] = row
+    columns[out] = column
+
+
 def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = 600, per_round: int = 40) -> list[tuple[dict[int, int], float]]:
     """Patterns (item -> count) and how often to use them, so that demand is met with about the fewest patterns."""
     n = len(sizes)
     # to start with, sequences filled with the largest that fits, as often as the first of their classes lasts: a class
     # used up is in no later pattern, so these patterns are a basis
     columns = [{i: int(room // sizes[i])} for i in range(n)]
+    inverse = np.diag(1.0 / np.array([c[i] for i, c in enumerate(columns)]))
     left = demand.astype(float)
     while (left > 0).any():
         free, column = room, {}
@@ -112,11 +126,7 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
         for i, k in column.items():
             left[i] = max(0.0, left[i] - times * k)
         left[first] = 0.0
-        columns[first] = column
-    matrix = np.zeros((n, n))
-    for j, column in enumerate(columns):
-        matrix[list(column), j] = list(column.values())
-    inverse = np.linalg.inv(matrix)
+        replace(inverse, columns, first, column)
     x = np.maximum(inverse @ demand, 0.0)
     least = float(sizes @ demand) / room  # what fills all sequences to the end
     bound, centre, pull = 0.0, np.zeros(n), PULL
@@ -134,9 +144,7 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
         for i in np.argsort(-worth, kind="stable")[:per_round].tolist():
             column = filling(pick, sizes, room - int(sizes[i]))
             column[i] = column.get(i, 0) + 1
-            a = np.zeros(n)
-            a[list(column)] = list(column.values())
-            step = inverse @ a
+            step = against(inverse, column)
             up = step > 1e-9
             if step.sum() <= 1 + 1e-9 or not up.any():
                 continue
@@ -144,10 +152,7 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
             out = int(ratio.argmin())
             x = x - ratio[out] * step
             x[out] = ratio[out] = max(0.0, float(ratio[out]))
-            row = inverse[out] / step[out]
-            inverse -= np.outer(step, row)
-            inverse[out] = row
-            columns[out] = column
+            replace(inverse, columns, out, column)
             moved = True
         pull = PULL if moved else 0.0
     return [(c, float(v)) for c, v in zip(columns, x, strict=True) if v > 1e-9]
@@ -208,8 +213,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, fine:
     """The pieces with sequence_id and offset; offsets in a sequence run from 0 without gaps."""
     spark = docs.sparkSession
     order = ["size", "doc_id", "start", "ids_crc32"]
-    ends = F.array(*[F.lit(int(e)) for e in upper_ends(length, fine)])
-    sized = pieces(docs, path, length, end, key, text).withColumn("size", F.element_at(ends, F.col("length").cast("int") + 1))
+    sized = pieces(docs, path, length, end, key, text).withColumn("size", upper_end(F.col("length"), length, fine))
     ranged = cut(cut(sized, "pieces").repartitionByRange(partitions(spark), *order).withColumn("_part", F.spark_partition_id()), "ranked-pieces")
     histogram: dict[int, int] = {}
     bases = []
