@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,10 +110,10 @@ def links(held: DataFrame, distinct: DataFrame, words: int, least: float, tile:
     rows = distinct.select("key", F.explode("bands").alias("band"))
     heads = rows.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("k")).where("k > 1").select("band", "head")
     shared = rows.join(heads, "band").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    cells = cut(components(shared, "near-cells").select(F.col("node").alias("key"), "root").join(distinct.select("key", "n"), "key"), "near-cells")
+    cells = cut(components(shared, "near-cells").select(F.col("node").alias("key"), "root").join(distinct.select("key", "n", "at"), "key"), "near-cells")
     sides = cells.groupBy("root").agg(F.ceil(F.sum("n") / tile).cast("int").alias("g"))
-    placed = cut(cells.join(sides, "root").select("key", "root", "g"), "near-placed")  # its size is known: texts stay where they are if it is small
-    texts = held.where("text IS NOT NULL").select("key", "text").join(placed, "key").dropDuplicates(["key"]).select("key", "root", "g", "text")
+    placed = cut(cells.join(sides, "root").select("key", "at", "root", "g"), "near-placed")  # its size is known: texts stay where they are if it is small
+    texts = held.where("at IS NOT NULL").select("at", "text").join(placed, "at").select("key", "root", "g", "text")
 
     def cut_up(batches):
         for batch in batches:
@@ -155,24 +156,28 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, tile: int
 
     def run(batches):
         seen: set[int] = set()
+        row = TaskContext.get().partitionId() << 40  # names the row whose text stands for its set
         for batch in batches:
-            keys, texts, sizes, bands = [], [], [], []
+            keys, texts, sizes, bands, ats = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 some = shingles(t, words)
                 k = xxhash.xxh3_64_intdigest(some.tobytes(), SEED) if len(some) else 0
                 keys.append(k - (1 << 64) if k >> 63 else k)
-                texts.append(None if k in seen else t)
-                bands.append(None if k in seen else band_keys(some))
+                new = k not in seen
+                texts.append(t if new else None)
+                bands.append(band_keys(some) if new else None)
+                ats.append(row if new else None)
+                row += 1
                 sizes.append(len(some))
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(k)
-            cols = [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "bands", "text"])
+            cols = [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(ats, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "bands", "at", "text"])
 
-    held = cut(docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, key long, n long, bands array<long>, text string"), "shingle-sets")
+    held = cut(docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, key long, n long, bands array<long>, at long, text string"), "shingle-sets")
     named = held.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    marks = held.where("bands IS NOT NULL").select("key", "bands").dropDuplicates(["key"])
+    marks = held.where("at IS NOT NULL").select("key", "at", "bands").dropDuplicates(["key"])
     distinct = cut(named.join(marks, "key"), "distinct-sets")
     roots = components(links(held, distinct, words, least, tile), "near-copies")
     rooted = distinct.select("key", "least").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
