@@ -3,7 +3,9 @@
 A commit is a batch of changes, (sign, source, lang, tokenizer, docs, tokens): inserts +, deletes -, a revised count as
 the old one - and the new one +. It is summed by key and written to a folder named after the batch; a batch whose folder
 is complete is not written again, so a repeated commit changes nothing. Totals are sums over the committed folders.
-compact() folds the committed folders into a snapshot that remembers their names.
+compact() folds the folders committed when it starts, and no others, into a snapshot that remembers their names;
+vacuum() deletes folders that the snapshot before the last one holds already, so readers that began under the last one
+still find theirs. Names of batches stay in tables: the driver sees those of folders not yet vacuumed.
 
 Defined cases: null sources, languages and texts are values of their own (a null text has no tokens); repeated rows
 count each; an empty batch is committed and adds nothing; keys whose documents are all gone drop out of the totals.
@@ -39,16 +41,27 @@ class Rollup:
         found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
         return sorted(n for n in found if n.startswith(prefix))
 
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        """The latest whole snapshot and the names of the batches that it holds."""
-        for name in reversed(self._names("snapshot=")):
-            if self._done(f"{name}/batches"):
-                return name, {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.uri}/{name}/batches").collect()}
-        return None, set()
+    def _snapshots(self) -> list[str]:
+        """The whole snapshots, latest first."""
+        return [n for n in reversed(self._names("snapshot=")) if self._done(f"{n}/batches")]
+
+    def _held(self, snapshot: str | None, batches: list[str]) -> set[str]:
+        """Which of these batches the snapshot holds."""
+        if not snapshot or not batches:
+            return set()
+        listed = self.spark.read.schema("batch string").parquet(f"{self.uri}/{snapshot}/batches")
+        return {r.batch for r in listed.where(F.col("batch").isin(batches)).collect()}
+
+    def _state(self) -> tuple[str | None, list[str]]:
+        """The latest snapshot, and the committed batches that it does not hold."""
+        snapshot = next(iter(self._snapshots()), None)
+        there = [n.removeprefix("batch=") for n in self._names("batch=") if self._done(n)]
+        held = self._held(snapshot, there)
+        return snapshot, [n for n in there if n not in held]
 
     def committed(self, batch: str) -> bool:
         """A batch is committed when Spark's writer has finished its folder, or when a snapshot holds it."""
-        return self._done(f"batch={batch}") or batch in self._snapshot()[1]
+        return self._done(f"batch={batch}") or bool(self._held(next(iter(self._snapshots()), None), [batch]))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """True if the batch was new. changes has KEYS, sign, docs and tokens."""
@@ -58,28 +71,39 @@ class Rollup:
         signed.write.mode("overwrite").parquet(f"{self.uri}/batch={batch}")
         return True
 
-    def deltas(self) -> DataFrame:
-        snapshot, held = self._snapshot()
-        names = [n for n in self._names("batch=") if n.removeprefix("batch=") not in held and self._done(n)]
-        folders = [f"{self.uri}/{snapshot}/totals"] * bool(snapshot) + [f"{self.uri}/{n}" for n in names]
+    def _deltas(self, snapshot: str | None, batches: list[str]) -> DataFrame:
+        folders = [f"{self.uri}/{snapshot}/totals"] * bool(snapshot) + [f"{self.uri}/batch={n}" for n in batches]
         return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
+    def deltas(self) -> DataFrame:
+        return self._deltas(*self._state())
+
+    @staticmethod
+    def _sums(deltas: DataFrame) -> DataFrame:
+        return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+
     def totals(self) -> DataFrame:
-        summed = self.deltas().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return summed.where("docs <> 0 OR tokens <> 0")
+        return self._sums(self.deltas())
 
     def compact(self) -> None:
-        """Folds all committed batches into a snapshot. It counts from the moment its list of batches is whole, which is
-        written last; before that readers use the old folders, after it those are not read and can go."""
-        snapshot, held = self._snapshot()
-        names = [n for n in self._names("batch=") if self._done(n)]
+        """Folds what is committed now into a snapshot: totals and names come from the same list of folders, so a commit
+        meanwhile is left to the next one. The snapshot counts from the moment its names are whole, which come last."""
+        snapshot, batches = self._state()
         new = f"snapshot={int(snapshot.removeprefix('snapshot=')) + 1 if snapshot else 0:08d}"
-        self.totals().write.mode("overwrite").parquet(f"{self.uri}/{new}/totals")
-        listed = sorted(held | {n.removeprefix("batch=") for n in names})
-        self.spark.createDataFrame([(n,) for n in listed], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.uri}/{new}/batches")
-        for n in names:
-            fs, path = self._path(n)
+        self._sums(self._deltas(snapshot, batches)).write.mode("overwrite").parquet(f"{self.uri}/{new}/totals")
+        names = self.spark.createDataFrame([(n,) for n in batches], "batch string")
+        if snapshot:
+            names = names.unionByName(self.spark.read.schema("batch string").parquet(f"{self.uri}/{snapshot}/batches"))
+        names.write.mode("overwrite").parquet(f"{self.uri}/{new}/batches")
+
+    def vacuum(self) -> int:
+        """Deletes folders of batches that the last snapshot but one holds; how many went."""
+        there = [n.removeprefix("batch=") for n in self._names("batch=")]
+        gone = self._held(next(iter(self._snapshots()[1:]), None), there)
+        for n in gone:
+            fs, path = self._path(f"batch={n}")
             fs.delete(path, True)
+        return len(gone)
 
 
 def counts(docs: DataFrame, path: str, extra: tuple[str, ...] = ("source", "lang"), key: str = "doc_id", text: str = "text") -> DataFrame:
