@@ -1,7 +1,7 @@
 """Quality by hashed n-grams: a calibrated logistic regression over word and character n-grams.
 
-Features are shares: of a text's words and word pairs, and of its byte 3-, 4- and 5-grams, in BUCKETS hash buckets a
-kind. A score is a bias and, for each kind, the mean weight of the text's n-grams, so an Arrow batch is scored by table
+Features are shares: of a text's words and word pairs, and of its character (code point) 3-, 4- and 5-grams, in BUCKETS
+hash buckets a kind. A score is a bias and, for each kind, the mean weight of the text's n-grams, so an Arrow batch is scored by table
 look-ups and sums by text. The regression is fitted on a bounded sample of labelled rows (SAMPLE rows of at most
 SAMPLE_BYTES bytes each, least by hash of id); a part of it, HELD of ten, only calibrates the probability.
 
@@ -25,8 +25,8 @@ BUCKETS = 1 << 14
 SAMPLE, SAMPLE_BYTES, HELD = 1500, 8_192, 3
 #: A text is kept at this probability of good quality or more.
 THRESHOLD = 0.5
-BYTE_GRAMS = (3, 4, 5)
-KINDS = 2 + len(BYTE_GRAMS)
+CHAR_GRAMS = (3, 4, 5)
+KINDS = 2 + len(CHAR_GRAMS)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
@@ -63,9 +63,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 def hashed(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of n-gram its bucket at every position, and the number of the text at each position."""
-    raws = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
-    data = np.frombuffer(b"".join(raws), dtype=np.uint8).astype(np.uint64)
-    sizes = np.array([len(r) for r in raws], dtype=np.int64)
+    data = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     out = []
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -81,9 +80,9 @@ def hashed(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     pair = of[1:] == of[:-1]
     out.append((_bucket(words[:-1] * MIX + words[1:])[pair], of[1:][pair]))
     h = data + np.uint64(1)
-    for n in range(2, max(BYTE_GRAMS) + 1):
+    for n in range(2, max(CHAR_GRAMS) + 1):
         h = h[:-1] * ODD + data[n - 1 :] + np.uint64(1)
-        if n in BYTE_GRAMS:
+        if n in CHAR_GRAMS:
             inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
             out.append((_bucket(h)[inside], owner[: len(owner) - n + 1][inside]))
     return out
