@@ -324,14 +324,14 @@ def test_myers_and_matches():
         assert decontaminate.myers(a, b)[0] == plain_distance(a, b)
     item = decontaminate.normal("That and onesen erblest it hein ti inenan eranenes whom therouou thon the. Than heoron eratsh therin blees sh in esheon")
     k = decontaminate.budget(item)
-    made = decontaminate.automaton(((7, item),), decontaminate.BUDGET)
+    made = decontaminate.Pieces(((7, item),), decontaminate.BUDGET)
     for _ in range(100):
         text = list(item)
         for _ in range(int(rng.integers(0, k + 3))):
             text[int(rng.integers(0, len(text)))] = "z"
         text = "some words before " + "".join(text) + " and after"
-        got = decontaminate.matches(text, ((7, item),), made)
-        d = plain_distance(item, text)
+        got = decontaminate.matches(decontaminate.normal(text), made)
+        d = plain_distance(item, decontaminate.normal(text))
         assert ([x[1] for x in got] == [d]) if d <= k else got == []
 
 
@@ -340,12 +340,42 @@ def test_decontamination(spark, docs, odd, none):
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()}
     bench = [(r.item_id, decontaminate.normal(r.text)) for r in items.collect()]
     want = {(r.doc_id, i) for r in docs.collect() for i, t in bench if t in decontaminate.normal(r.text)}
-    assert want <= got and len(got) < 2 * len(want) + 3
+    assert want and want <= got
     blocks = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items, block_bytes=500).collect()}
     assert blocks == got
     assert decontaminate.find(odd, items).count() == 0 and decontaminate.find(none, items).count() == 0 and decontaminate.find(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_equals_the_distance_to_every_item(spark, docs):
+    """Every item against every short text, by the distance alone, with items planted at all distances around the budget."""
+    rng = np.random.default_rng(11)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").limit(12).collect()
+    texts = [r.text for r in docs.where("length(text) < 900").limit(60).collect()]
+    for n in range(90):
+        text = list(decontaminate.normal(items[n % 12].text))
+        for _ in range(int(rng.integers(0, decontaminate.budget("".join(text)) + 4))):
+            at, kind = int(rng.integers(0, len(text))), rng.integers(0, 3)
+            text[at : at + 1] = [["z"], [], [text[at], "q"]][kind]
+        texts.append(f"{texts[n % 60][: int(rng.integers(0, 80))]} {''.join(text)} {texts[n % 60][:30]}" * (1 + n % 2))
+    want = {}
+    for i, t in enumerate(texts):
+        for item in items:
+            part, whole = decontaminate.normal(item.text), decontaminate.normal(t)
+            if (d := decontaminate.myers(part, whole)[0]) <= decontaminate.budget(part):
+                want[i, item.item_id] = d
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.find(df, spark.createDataFrame(items)).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in got} == want and len(got) == len(want)
+    assert 20 < len(want) and len(set(want.values())) > 4
+
+
+def test_items_match_whole_words_and_short_ones_are_reported(spark):
+    items = spark.createDataFrame([(1, "cat"), (2, "the cat sat down"), (3, None), (4, "?!"), (5, "a b c d e")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "to concatenate is to bathe cat sat downs"), (2, "So: the cat -- sat down!"), (3, "cat"), (4, "xa b c d ex and a  b c d e")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()} == {(2, 2), (4, 5)}
+    assert [r.item_id for r in decontaminate.too_short(items).collect()] == [1]
+
+
 def test_secrets(spark, docs, odd, none):
     def brute(t):
         out = []
