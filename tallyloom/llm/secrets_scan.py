@@ -2,12 +2,17 @@
 
 A value that stands where a credential would is split, by a dynamic program over its characters, into words, dates,
 repeats, keyboard walks and brute-force spans so that the guesses for all parts, in bits, are least; a value that costs
-THRESHOLD bits or more is a secret, whatever its letters. Places that only name one (a word of WORDS, a date, "changeme")
-cost less and stay; other words are costed by their letters, so a long ordinary word in such a place counts as well.
-A value may itself be a context word ("secret password ..."): the search goes on at the start of each value.
+THRESHOLD bits or more is a secret, whatever its letters and its length. Words are those of WORDS, then the commonest of
+the corpus itself (the words of most texts, outside credential contexts), by rank: so what such a place often holds in
+prose ("the secret ingredient", "token counts") is cheap and stays. A value may itself be a context word ("secret
+password ..."): the search goes on at the start of each value.
+
+Only places that are reached below the threshold are gone on from, so a long value costs no more than its cheap part.
+Parts have sizes of their own: words up to the longest of the dictionary, units of repeats and keyboard walks up to UNIT
+characters (a longer walk is several), repeats of any length.
 
 Defined cases: null and empty texts have no spans; positions are code points of the whole text; repeated rows are
-scanned each; values longer than LONGEST characters are costed in parts of that length and the costs added.
+scanned each; an empty corpus leaves the fixed words.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import lru_cache
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +37,21 @@ CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?(?:\x20*(?:[:=]{1,2}|=>|is)\x20*|\x20+)["'`]?([^\s"'`,;<>]+)""",
     re.IGNORECASE | re.ASCII,
 )
+#: Every match of ASSIGN or CONTEXT holds one of these, in lower case.
+NAMES = ("passw", "passp", "passc", "pwd", "secret", "token", "credential", "bearer", *(a + b + "key" for a in ("api", "access", "private") for b in ("", "_", "-")))
+#: By byte: "x" for what a match of HEX is made of; lower-case letters for letters.
+HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
+LETTERS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 for b in range(256))
 #: Bits of guesses from which a value counts as a secret, and its least length.
-THRESHOLD, SHORTEST, LONGEST = 36.0, 8, 128
+THRESHOLD, SHORTEST = 36.0, 8
+#: Characters of a repeated unit or a walk, at most.
+UNIT = 64
+#: Words of the corpus that guessers know, at most, and the texts that such a word is in, at least.
+DICTIONARY, LEAST_TEXTS = 20_000, 2
+#: Different words that a task counts before it hands its counts over.
+HELD_WORDS = 200_000
+#: Values whose cost a worker remembers.
+REMEMBERED = 20_000
 
 #: Words that guessers try first, most common first.
 WORDS = """password pass admin login welcome letmein monkey dragon master qwerty abc test user root guest default changeme
@@ -40,7 +59,6 @@ secret token key access private public example sample demo hello world love mone
 baseball soccer hockey computer internet system server database backup service account change update temporary temp
 null none true false undefined required string value here your the and for with from this that not are was have
 """.split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 READ_AS = str.maketrans("013457@$!", "oieastasi")
 #: Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -54,66 +72,155 @@ def brute(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def _parts(value: str):
-    """(start, end, bits) of everything that a guesser would try whole."""
-    low = value.lower()
-    read = low.translate(READ_AS)
-    n = len(value)
-    for s in (low, read):
-        for i in range(n):
-            for j in range(i + 3, min(n, i + 12) + 1):
-                if (rank := RANK.get(s[i:j])) is not None:
+def runs(value: str, unit: int = UNIT) -> list[tuple[int, int, int]]:
+    """(start, end, period) of every part of two periods or more that no letter on either side continues; the period is
+    the least one."""
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    out = []
+    for p in range(1, min(unit, len(value) // 2) + 1):
+        same = np.diff(np.concatenate([[0], (codes[p:] == codes[:-p]).view(np.int8), [0]]))
+        for a, b in zip(np.flatnonzero(same == 1).tolist(), np.flatnonzero(same == -1).tolist(), strict=True):
+            part = value[a : a + p]
+            if b - a >= p and (part + part).find(part, 1) == p:
+                out.append((a, b + p, p))
+    return out
+
+
+class Guesser:
+    """What a value costs to one who knows these words, most common first."""
+
+    def __init__(self, words=()):
+        self.rank = {}
+        for w in [*WORDS, *words]:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        self.known: dict[tuple[str, float], float] = {}
+
+    def words_at(self, value: str, low: str, read: str, i: int):
+        for s in (low,) if read == low else (low, read):
+            for j in range(i + 3, min(len(value), i + self.longest) + 1):
+                if (rank := self.rank.get(s[i:j])) is not None:
                     caps = sum(c.isupper() for c in value[i:j])
                     bits = math.log2(rank + 1) + (0 if caps == 0 else 1 if caps == j - i or value[i].isupper() and caps == 1 else math.log2(math.comb(j - i, min(caps, (j - i) // 2 or 1)) + 1))
-                    yield i, j, bits + (s is read and read != low)
-    for i in range(n):
+                    yield j, bits + (s is read and read != low)
+
+    def parts_at(self, value: str, low: str, read: str, i: int):
+        """(end, bits) of each word, date and walk that begins at i."""
+        yield from self.words_at(value, low, read, i)
         if m := DATE.match(value, i):
-            yield i, m.end(), math.log2(365 * 120) + 2 * bool(m[1] or m[2]) if m.end() - i > 4 else math.log2(120)
-        j = i
-        while j + 1 < n and (low[j], low[j + 1]) in NEXT:
-            j += 1
-        for k in range(i + 2, j + 1):
-            turns = sum(low[x + 1] == low[x - 1] for x in range(i + 1, k))
-            yield i, k + 1, math.log2(47 * (k - i + 1)) + 2 * turns
-    for m in re.finditer(r"(.+?)\1+", value):
-        unit = m[1]
-        yield m.start(), m.end(), cost(unit) + math.log2(len(m[0]) // len(unit)) if len(unit) < len(value) else n * 5.0
-
-
-@lru_cache(maxsize=20_000)
+            yield m.end(), math.log2(365 * 120) + 2 * bool(m[1] or m[2]) if m.end() - i > 4 else math.log2(120)
+        turns, k = 0, i
+        while k + 1 < min(len(value), i + UNIT) and (low[k], low[k + 1]) in NEXT:
+            k += 1
+            turns += k - 2 >= i and low[k] == low[k - 2]
+            if k >= i + 2:
+                yield k + 1, math.log2(47 * (k - i + 1)) + 2 * turns
+
+    def cost(self, value: str, limit: float = math.inf) -> float:
+        """Bits of the cheapest segmentation, or limit if that is no less; a bit more for each word, date,
+        walk or repeat after the first, for the order tried."""
+        if (value, limit) not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[value, limit] = self._cost(value, limit)
+        return self.known[value, limit]
+
+    def _cost(self, value: str, limit: float) -> float:
+        n, low = len(value), value.lower()
+        if len(low) != n:  # letters whose lower case is longer
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        read = low.translate(READ_AS)
+        best = np.full(n + 1, limit)
+        best[0] = 0.0
+        repeats: dict[int, list[tuple[int, int]]] = {}
+        found = None
+        reach = 0  # the last place below the limit
+        for i in range(n):
+            if i > reach:
+                break
+            here = float(best[i])
+            if here >= limit:
+                continue
+            more = here + (i > 0)
+            ends = [(i + 1, here + brute(value[i]))]
+            ends += [(j, more + bits) for j, bits in self.parts_at(value, low, read, i)]
+            for j, bits in ends:
+                if bits < best[j]:
+                    best[j] = bits
+                    reach = max(reach, j)
+            if n > 1:
+                if found is None:
+                    found = runs(value)
+                    for a, b, p in found:  # a repeat begins in the run's first unit, or behind a part that straddles its start
+                        for s in range(a, min(b - 2 * p, a + p + UNIT) + 1):
+                            repeats.setdefault(s, []).append((b, p))
+                for b, p in repeats.get(i, ()):
+                    times = np.arange(2, (b - i) // p + 1)
+                    bits = more + self.cost(value[i : i + p], limit) + np.log2(times)
+                    at = slice(i + 2 * p, i + p * int(times[-1]) + 1, p)
+                    better = bits < best[at]
+                    if better.any():
+                        best[at] = np.where(better, bits, best[at])
+                        reach = max(reach, i + p * int(times[np.flatnonzero(better)[-1]]))
+        return float(best[n])
+
+
+PLAIN = Guesser()
+
+
 def cost(value: str) -> float:
-    """Bits of the cheapest segmentation; a bit more for each part after the first, for the order tried."""
-    if len(value) > LONGEST:
-        return sum(cost(value[i : i + LONGEST]) for i in range(0, len(value), LONGEST))
-    n = len(value)
-    by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, bits in _parts(value) if n > 1 else ():
-        by_end[j].append((i, bits))
-    best = [0.0] + [math.inf] * n
-    for j in range(1, n + 1):
-        best[j] = best[j - 1] + brute(value[j - 1])
-        for i, bits in by_end[j]:
-            if (now := best[i] + bits + (i > 0)) < best[j]:
-                best[j] = now
-    return best[n]
-
-
-def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+    """Bits of the cheapest segmentation by the fixed words alone."""
+    return PLAIN.cost(value)
+
+
+def named(text: str) -> bool:
+    """Whether a text can hold a context at all."""
+    low = text.lower()
+    return any(name in low for name in NAMES)
+
+
+def spans(text: str | None, threshold: float = THRESHOLD, guesser: Guesser = PLAIN) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all spans, by start and kind."""
     if not text:
         return []
-    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    out = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20] if "AKIA" in text else []
+    if b"x" * 24 in text.encode("utf-8", "surrogatepass").translate(HEX_BYTES):
+        out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if not named(text):
+        return sorted(out)
+    out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     at = 0
     while m := CONTEXT.search(text, at):
         at = m.start(1)
         value = m[1].rstrip(".)]}:!?")
-        if len(value) >= SHORTEST and cost(value) >= threshold:
+        if len(value) >= SHORTEST and guesser.cost(value, threshold) >= threshold:
             out.append((at, 3, at + len(value)))
     return sorted(out)
 
 
+def dictionary(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_TEXTS, text: str = "text") -> list[str]:
+    """The words of most texts, most common first, without those that only credential contexts hold. Tasks count, then
+    Spark sums; only so many words reach the driver."""
+
+    def count(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    plain = CONTEXT.sub(" ", t) if named(t) else t
+                    held.update({w for w in plain.encode("utf-8", "surrogatepass").translate(LETTERS).split() if 3 <= len(w) <= 24})
+                if len(held) >= HELD_WORDS:
+                    yield given(held)
+                    held = Counter()
+        yield given(held)
+
+    def given(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["word", "texts"])
+
+    counted = docs.select(text).mapInArrow(count, "word string, texts long").groupBy("word").agg(F.sum("texts").alias("texts"))
+    return [r.word for r in counted.where(F.col("texts") >= least).orderBy(F.desc("texts"), "word").limit(most).collect()]
+
+
 def written(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
@@ -135,15 +242,17 @@ def redact(text: str | None, found: list[tuple[int, int, int]], mark: str = "[se
     return "".join(out)
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess) of every row."""
+def scan(docs: DataFrame, words: list[str] = (), threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess) of every row; words as dictionary() gives them."""
+    sent = docs.sparkSession.sparkContext.broadcast(list(words))
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"]
 
     def run(batches):
+        guesser = Guesser(sent.value)
         for batch in batches:
             rows = []
             for t in batch.column(1).to_pylist():
-                found = spans(t, threshold)
+                found = spans(t, threshold, guesser)
                 n = [sum(k == i for _, k, _ in found) for i in range(4)]
                 rows.append((*n[:3], hashlib.sha256(written([x for x in found if x[1] < 3]).encode()).hexdigest(), written(found), n[3]))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
@@ -153,13 +262,15 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
-def redacted(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, words: list[str] = (), threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs with the text's secrets replaced; n_chars, where it is there, follows."""
     at = docs.columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(list(words))
 
     def run(batches):
+        guesser = Guesser(sent.value)
         for batch in batches:
-            new = pa.array([redact(t, spans(t, threshold)) for t in batch.column(at).to_pylist()], pa.string())
+            new = pa.array([redact(t, spans(t, threshold, guesser)) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     out = docs.mapInArrow(run, docs.schema)
@@ -167,4 +278,5 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text")
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("n_guess")
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, dictionary(docs)).drop("n_guess")

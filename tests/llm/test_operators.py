@@ -411,6 +411,56 @@ def test_secrets_of_any_letters_behind_any_context(text, want):
     assert secrets_scan.redact(text, [x for x in found if x[1] == 3]) == want
 
 
+def every_segmentation(g, value):
+    """The least cost over all segmentations, each part found by looking at every span of the value."""
+    n = len(value)
+    low = value.lower()
+    parts = {}
+    for i in range(n):
+        parts.setdefault((i, i + 1), []).append(secrets_scan.brute(value[i]))
+        for j, bits in g.parts_at(value, low, low.translate(secrets_scan.READ_AS), i):
+            parts.setdefault((i, j), []).append(bits + (i > 0))
+        for j in range(i + 2, n + 1):
+            for p in range(1, (j - i) // 2 + 1):
+                if (j - i) % p == 0 and value[i : i + p] * ((j - i) // p) == value[i:j] and (value[i : i + p] * 2).find(value[i : i + p], 1) == p:
+                    parts.setdefault((i, j), []).append(every_segmentation(g, value[i : i + p]) + np.log2((j - i) // p) + (i > 0))
+
+    def rest(i):
+        return 0.0 if i == n else min(min(bits) + rest(b) for (a, b), bits in parts.items() if a == i)
+
+    return rest(0)
+
+
+def test_guess_cost_equals_every_segmentation():
+    rng = np.random.default_rng(12)
+    g = secrets_scan.Guesser(["harbour", "lantern"])
+    values = ["Password1", "p4ssw0rd!", "abcabcab", "qwertyxx", "aaaabbbb", "2023-1-5", "19991999", "Harbour7", "xqzvkj", "asdasd12", "testtest", "1q2w3e4r"]
+    values += ["".join(rng.choice(list(letters), int(rng.integers(1, 9)))) for letters in ("ab", "qwe1", "xyz$", "test", "12-") for _ in range(6)]
+    for v in values:
+        assert g.cost(v) == pytest.approx(every_segmentation(g, v)), v
+        assert g.cost(v, 20.0) == pytest.approx(min(20.0, g.cost(v))), v
+
+
+def test_long_values_have_whole_costs():
+    assert secrets_scan.cost("a" * 129) == pytest.approx(secrets_scan.cost("a" * 128), abs=0.1) and secrets_scan.cost("a" * 1000) < 16
+    unit = "correcthorse-"
+    assert secrets_scan.cost(unit * 40) == pytest.approx(secrets_scan.cost(unit) + np.log2(40))
+    assert secrets_scan.PLAIN.cost("x9$Kq2!vLp7z" * 20_000, 36.0) == 36.0
+    for value in ("xqzvkjwpmtrbnhgdyc", "x9$Kq2!vLp7z" * 40):
+        text = f"the passphrase is {value} now"
+        assert secrets_scan.redact(text, secrets_scan.spans(text)) == "the passphrase is [secret] now"
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    texts = ["the secret ingredient of the harbour lantern", "an ingredient that is common to it", "harbour lantern harbour, ingredient", None, "", "password: zvqkwjxprt and password: zvqkwjxprt", "lantern password: zvqkwjxprt, ÉTÉ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = secrets_scan.dictionary(df)
+    assert words == ["lantern", "harbour", "ingredient"] and secrets_scan.dictionary(df, most=1) == ["lantern"]
+    got = {r.doc_id: r.text for r in secrets_scan.redacted(df, words).collect()}
+    assert got[0] == texts[0] and "zvqkwjxprt" not in got[5] + got[6] and got[3] is None
+    assert secrets_scan.spans(texts[0]) != [] and secrets_scan.dictionary(df.limit(0)) == []
+
+
 def brute_fp(text, k=4):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -535,7 +585,8 @@ def test_pipeline(spark, docs):
     assert len(ids) == len(set(ids))
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(i in decontaminate.normal(r.text) for r in kept.collect() for i in items)
-    assert not any(secrets_scan.spans(r.text) for r in kept.collect())
+    guesser = secrets_scan.Guesser(secrets_scan.dictionary(before))  # before: what the stage of secrets was given
+    assert not any(secrets_scan.spans(r.text, secrets_scan.THRESHOLD, guesser) for r in kept.collect())
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(ids)
     assert len(corpus_pipeline.STAGES) == 5
