@@ -3,20 +3,28 @@
 Every page's containers are scored (letters in blocks of text, less those in links and in parts that are not article);
 the page votes for the path of its best container, generalised to tags and first classes without digits. Votes are
 counted by host in Spark, and all pages are read again with their host's winning path; a page without it, or with
-almost nothing in it, takes its own best container.
+almost nothing in it, takes its own best container. A best container inside an article stands for the whole article, and
+like-named ones side by side for the container that holds them all.
+
+A page is read in one pass whose work is in proportion to its length, whatever its tags: no place is searched for an end
+that is known to be missing, elements lie DEEPEST deep at most (as in browsers; deeper ones become siblings), and paths
+are numbers until one has won.
 
 Votes are summed before they are dealt out, so a host with many pages is no larger than its few paths. The winners, a row
 a host, are counted: up to MOST_BROADCAST they are broadcast and the pages stay where they are, beyond that both sides
 meet on host and a salt.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own; open, unknown and crossed tags
-are read as browsers would, roughly; repeated pages vote each; an empty table gives an empty result.
+are read as browsers would, roughly; a tag, comment or script without its end runs to the end of the page, as in browsers;
+an element that browsers do not show but whose tag is never closed hides what is inside it only up to the end of its
+parent; repeated pages vote each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,175 +42,269 @@ CONTAINERS = frozenset("article main section div body td".split())
 SHOWN, FOREIGN, UNSEEN = frozenset("button object".split()), frozenset("svg math".split()), frozenset("noscript template select canvas audio video".split())
 IN_HEAD = frozenset("base link meta title script style noscript template".split())
 CLOSES_P = BLOCKS - {"br"}
+INLINE = frozenset("a b i em strong span".split())
+#: What ends the one before it of its kind, and what such a one lies in.
+ENDS_LIKE, HOLDERS = frozenset("li td tr dt dd option".split()), frozenset("ul ol table dl select menu tbody tr".split())
+HOLDS_HTML = re.compile("<(?:foreignobject|desc|title|annotation-xml)", re.IGNORECASE)
 #: Class and id words of what is not article.
 NOT_ARTICLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w*|signup|login|menu|nav\w*|breadcrumbs?|side-?bar|widget|footer|masthead|toolbar|share|sharing|social|related|recommend\w*|more-stories|comments?|disqus|replies|respond|pagination|pager|skip-link|byline-tools|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-SPACE = re.compile(r"[\s​]+")
+#: A start tag to its end, quoted values whole; where a quote is never closed, to the first ">".
+OPEN = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>""")
+OPEN_BARE = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+SPACE = re.compile(r"\s+")
+DEEPEST = 512
 #: Words that say so only outside an article, where they stand over its title.
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner)(?:$|[\s_-])", re.IGNORECASE)
 #: A container with fewer letters than this share of the page's best one is not taken for the article.
-LEAST_SHARE = 0.25
+LEAST_SHARE = 0.08
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "hidden", "weight", "linked")
+    __slots__ = ("tag", "path", "parent", "hidden", "linked", "depth", "weight", "within")
+
+    def __init__(self, tag: str, path: int, parent: Node | None, hidden: bool, linked: bool):
+        self.tag, self.path, self.parent, self.hidden, self.linked = tag, path, parent, hidden, linked
+        self.depth = parent.depth + 1 if parent else 0
+        #: The nearest article, or else the nearest main, that it is or lies in.
+        self.within = self if tag == "article" or tag == "main" and not (parent.within and parent.within.tag == "article") else parent.within if parent else None
+        self.weight = 0
+
+
+class Paths:
+    """Paths as numbers; a path is its parent's and a step."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+
+    def below(self, path: int, step: str) -> int:
+        if (path, step) not in self.numbers:
+            self.numbers[path, step] = len(self.steps)
+            self.steps.append((path, step))
+        return self.numbers[path, step]
 
-    def __init__(self, tag: str, path: str, parent: Node | None, hidden: bool):
-        self.tag, self.path, self.parent, self.hidden = tag, path, parent, hidden
-        self.weight = self.linked = 0
+    def name(self, path: int) -> str:
+        out = []
+        while path > 0:
+            path, step = self.steps[path]
+            out.append(step)
+        return "".join(f"/{s}" for s in reversed(out))
+
+    def find(self, name: str) -> int | None:
+        path = 0
+        for step in name.split("/")[1:]:
+            path = self.numbers.get((path, step), -1)
+            if path < 0:
+                return None
+        return path
 
 
 def step_of(tag: str, attrs: dict[str, str]) -> str:
     """A tag and the first class that is no number or hash."""
     for c in attrs.get("class", "").split():
-        c = re.sub(r"\d+", "", c).strip("-_").lower()
-        if c and len(c) <= 40:
+        if c := re.sub(r"[\d/]+", "", c).strip("-_").lower():
             return f"{tag}.{c}"
     return tag
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
-    """The elements, and the page's text as (element, text, starts a new block)."""
-    root = Node("", "", None, False)
-    nodes, runs, here, at, fresh, in_link = [root], [], root, 0, True, 0
-    end = len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not here.hidden:
-            text = page[at:stop]
-            if text.strip():
-                runs.append((here, text, fresh))
-                fresh = False
-                size = len(text) - text.count(" ")
-                here.weight += size
-                if in_link:
-                    here.linked += size
-            elif runs and not fresh:
-                runs.append((here, " ", False))
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        tag = name.lower()
-        if m[1]:
-            n = here
-            while n is not root and n.tag != tag:
-                if tag in ("a", "b", "i", "em", "strong", "span") and n.tag in BLOCKS:
-                    n = root
-                    break
-                n = n.parent
-            if n is not root:
-                if tag == "a":
-                    in_link = 0
-                if tag in BLOCKS:
-                    fresh = True
-                here = n.parent
-            elif tag == "p":
-                fresh = True
-            continue
-        if tag in BLOCKS:
-            fresh = True
+class Page:
+    """The elements of a page, and its text as (element, text, starts a new block)."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.strict = page, page.rfind(">"), True
+        self.ends: dict[str, list[tuple[int, int]]] = {}
+        self.blocks: list[int] | None = None
+        self.paths = Paths()
+        self.root = self.here = Node("", 0, None, False, False)
+        self.nodes, self.runs, self.fresh = [self.root], [], True
+        at = 0
+        while at < len(page):
+            tag = self.next_tag(at)
+            self._text(at, tag[0] if tag else len(page))
+            if not tag:
+                break
+            _, at, closes, name, attrs = tag
+            if closes:
+                self._close(name)
+            elif name:
+                at = self._open(name, attrs, at)
+
+    def next_tag(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closes, name, attributes) of what next is no text; comments and the like have no name."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            c = page[at + 1 : at + 2]
+            if c in ("!", "?") and c:
+                if page.startswith("<!--", at):
+                    end = page.find("-->", at + 4) + 3
+                    end = at + 5 if page.startswith("<!-->", at) else end if end >= 3 else len(page)
+                else:
+                    end = page.find(">", at) + 1 if at < self.last else len(page)
+                return at, end, False, "", ""
+            letter = page[at + 2 : at + 3] if c == "/" else c
+            if not (letter.isascii() and letter.isalpha()):
+                at += 1
+            elif at > self.last:  # a tag without an end
+                return at, len(page), False, "", ""
+            elif c == "/":
+                end = page.find(">", at) + 1
+                return at, end, True, re.split(r"[\s/>]", page[at + 2 : end], maxsplit=1)[0].lower(), ""
+            else:
+                m = OPEN.match(page, at) if self.strict else None
+                if not m:  # no end but inside quotes: from here on quotes mean nothing
+                    self.strict = False
+                    m = OPEN_BARE.match(page, at)
+                return at, m.end(), False, m[1].lower(), m[2]
+        return None
+
+    def _text(self, at: int, stop: int) -> None:
+        if stop <= at or self.here.hidden:
+            return
+        text = self.page[at:stop]
+        if text.strip():
+            self.runs.append((self.here, text, self.fresh))
+            self.fresh = False
+            self.here.weight += len(text) - text.count(" ")
+        elif self.runs and not self.fresh:
+            self.runs.append((self.here, " ", False))
+
+    def _close(self, tag: str) -> None:
+        n = self.here
+        while n is not self.root and n.tag != tag:
+            if tag in INLINE and n.tag in BLOCKS:
+                return
+            n = n.parent
+        if n is not self.root:
+            self.fresh = self.fresh or tag in BLOCKS
+            self.here = n.parent
+        elif tag == "p":
+            self.fresh = True
+
+    def _open(self, tag: str, written: str, at: int) -> int:
+        """Takes a start tag in, and returns where to go on."""
+        self.fresh = self.fresh or tag in BLOCKS
         if tag in VOID:
-            continue
-        if tag in RAW and not m[4]:
-            close = _closing(page, tag, at)
-            if close:
-                at = close.end()
-                continue
+            return at
+        empty = written.rstrip().endswith("/")
+        if tag in RAW and not empty:
+            if (end := self._end_of(tag, at)) is not None:
+                return end
             if tag == "head":
-                at = _head_end(page, at)
-            elif tag in FOREIGN:
-                at = _next_block(page, at)
-            elif tag not in SHOWN | UNSEEN:
-                at = end
-            if tag not in UNSEEN:
-                continue
+                return self._head_end(at)
+            if tag in FOREIGN:
+                return self._next_block(at)
+            if tag not in SHOWN | UNSEEN:
+                return len(self.page)
+            if tag in SHOWN:
+                return at
         if tag in CLOSES_P:  # an open paragraph ends where a block begins
-            n = here
-            while n is not root and (n.tag == "p" or n.tag not in BLOCKS):
-                if n.tag == "p":
-                    here = n.parent
-                n = n.parent
-        if tag == "li" or tag in ("td", "tr", "dt", "dd", "option"):
-            n = here
-            while n is not root and n.tag not in ("ul", "ol", "table", "dl", "select", "menu", "tbody", "tr"):
-                if n.tag == tag:
-                    here = n.parent
-                    break
-                n = n.parent
-        attrs = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
+            self._up_to("p", BLOCKS)
+        if tag in ENDS_LIKE:
+            self._up_to(tag, HOLDERS)
+        attrs = {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(written)} if written.strip() else {}
+        if tag == "a" and self.here.linked and self.here.tag == "a":  # links do not nest
+            self.here = self.here.parent
+        here = self.here
         named = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
-        hidden = here.hidden or tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or (tag == "header" or bool(HEADER.search(named))) and not _in_article(here) or bool(NOT_ARTICLE.search(named) and tag not in ("html", "body", "article", "main"))
-        if m[4] and tag not in BLOCKS:
-            continue
-        here = Node(tag, f"{here.path}/{step_of(tag, attrs)}" if tag in BLOCKS else here.path, here, hidden)
-        if tag == "a":
-            in_link = 1
-        nodes.append(here)
-    return nodes, runs
-
-
-def _closing(page: str, tag: str, at: int) -> re.Match | None:
-    """The end tag of an element of RAW, if it is its own: a button or select ends where the next begins, a drawing where a
-    block does."""
-    close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-    if close and tag in ("button", "select") and re.compile(rf"<{tag}[\s>]", re.IGNORECASE).search(page, at, close.start()):
-        return None
-    if close and tag in FOREIGN and not re.compile("<(?:foreignobject|desc|title|annotation-xml)", re.IGNORECASE).search(page, at, close.start()) and _next_block(page, at) < close.start():
-        return None
-    return close
-
-
-def _next_block(page: str, at: int) -> int:
-    return next((m.start() for m in TAG.finditer(page, at) if m[2] and m[2].lower() in BLOCKS), len(page))
-
-
-def _head_end(page: str, at: int) -> int:
-    """Where the body begins in a page that does not end its head: at text, or a tag that no head holds."""
-    while m := TAG.search(page, at):
-        if page[at : m.start()].strip():
+        hidden = here.hidden or tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        hidden = hidden or (tag == "header" or bool(HEADER.search(named))) and here.within is None or bool(NOT_ARTICLE.search(named) and tag not in ("html", "body", "article", "main"))
+        if empty and tag not in BLOCKS:
             return at
-        tag = (m[2] or "").lower()
-        if tag and tag not in IN_HEAD:
-            return m.start()
-        at = m.end()
-        if tag in RAW and not m[1] and not m[4]:
-            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else len(page)
-    return at
-
-
-def _in_article(n: Node) -> bool:
-    while n is not None:
-        if n.tag in ("article", "main"):
-            return True
-        n = n.parent
-    return False
-
-
-def scores(nodes: list[Node]) -> dict[str, float]:
-    """By path of a container: letters of text that are not links, its own and, at a loss with each step, those below."""
-    out: dict[str, float] = {}
-    for n in nodes:
-        gain = n.weight - 2 * n.linked
-        if n.hidden or not n.weight:
-            continue
-        share, up = 1.0, n
-        while up is not None:
-            if up.tag in CONTAINERS or up.parent is None:  # the page itself, for pages without a body
-                out[up.path] = out.get(up.path, 0.0) + share * gain
-                share *= 0.9
-                if up.tag in ("article", "main"):
-                    out[up.path] += 0.2 * gain
-            up = up.parent
-    return out
+        parent = here if here.depth < DEEPEST else here.parent
+        path = self.paths.below(parent.path, step_of(tag, attrs)) if tag in BLOCKS else parent.path
+        self.here = Node(tag, path, parent, hidden, parent.linked or tag == "a" and "href" in attrs)
+        self.nodes.append(self.here)
+        return at
+
+    def _up_to(self, tag: str, stop: frozenset) -> None:
+        """Ends the nearest open element of that tag, if none of stop is between."""
+        n = self.here
+        while n is not self.root:
+            if n.tag == tag:
+                self.here = n.parent
+                return
+            if n.tag in stop:
+                return
+            n = n.parent
+
+    def _end_of(self, tag: str, at: int) -> int | None:
+        """Behind the end tag of an element of RAW, if it is its own: a button or select ends where the next begins, a
+        drawing where a block does."""
+        if tag not in self.ends:
+            self.ends[tag] = [(m.start(), m.end()) for m in re.finditer(rf"</{re.escape(tag)}(?:[\s/][^>]*)?>", self.page, re.IGNORECASE)]
+        k = bisect_left(self.ends[tag], (at, 0))
+        if k == len(self.ends[tag]):
+            return None
+        start, end = self.ends[tag][k]
+        if tag in ("button", "select"):
+            if tag + "<" not in self.ends:
+                self.ends[tag + "<"] = [(m.start(), 0) for m in re.finditer(rf"<{tag}[\s>]", self.page, re.IGNORECASE)]
+            if bisect_left(self.ends[tag + "<"], (at, 0)) < bisect_left(self.ends[tag + "<"], (start, 0)):
+                return None
+        if tag in FOREIGN and self._next_block(at) < start and not HOLDS_HTML.search(self.page, at, start):
+            return None
+        return end
+
+    def _next_block(self, at: int) -> int:
+        if self.blocks is None:
+            self.blocks = [m.start() for m in re.finditer(r"</?([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>])", self.page) if m[1].lower() in BLOCKS]
+        k = bisect_left(self.blocks, at)
+        return self.blocks[k] if k < len(self.blocks) else len(self.page)
+
+    def _head_end(self, at: int) -> int:
+        """Where the body begins in a page that does not end its head: at text, or a tag that no head holds."""
+        while tag := self.next_tag(at):
+            start, end, closes, name, written = tag
+            if self.page[at:start].strip():
+                return at
+            if name and name not in IN_HEAD:
+                return start
+            at = end
+            if name in RAW and not closes and not written.rstrip().endswith("/"):
+                at = self._end_of(name, at) or len(self.page)
+        return at
+
+    def scores(self) -> dict[int, float]:
+        """By path of a container: letters of text that are not links, its own and, at a loss with each step, those below."""
+        passed: dict[int, float] = {}
+        whole: dict[int, float] = {}
+        out: dict[int, float] = {}
+        for n in reversed(self.nodes):  # children come before their parents
+            gain = 0.0 if n.hidden else n.weight * (-1 if n.linked else 1)
+            k = id(n)
+            near, all_of = gain + passed.pop(k, 0.0), gain + whole.pop(k, 0.0)
+            seen = k in out  # something below has text
+            if n.weight and not n.hidden or seen:
+                out.pop(k, None)
+                if n.parent is not None:
+                    out[id(n.parent)] = 0.0
+                if n.tag in CONTAINERS or n.parent is None:  # the page itself, for pages without a body
+                    key = -1 - n.path
+                    out[key] = out.get(key, 0.0) + near + (0.2 * all_of if n.tag in ("article", "main") else 0.0)
+                    near *= 0.9
+            if n.parent is not None:
+                passed[id(n.parent)] = passed.get(id(n.parent), 0.0) + near
+                whole[id(n.parent)] = whole.get(id(n.parent), 0.0) + all_of
+        return {-1 - k: v for k, v in out.items() if k < 0}
+
+    def best(self, found: dict[int, float]) -> int:
+        """The path that scores best, or of what holds it: the article that all its elements are in, or their common
+        container where they stand side by side."""
+        path = min(found, key=lambda p: (-found[p], self.paths.name(p)))
+        held = [n for n in self.nodes if n.path == path and n.tag in CONTAINERS and not n.hidden]
+        around = {id(n.within): n.within for n in held}
+        if len(around) == 1 and (one := next(iter(around.values()))) is not None:
+            return one.path
+        parents = {id(n.parent): n.parent for n in held if n.parent is not None}
+        if len(held) > 1 and len(parents) == 1:
+            up = next(iter(parents.values()))
+            if up.tag in CONTAINERS and up.tag != "body":
+                return up.path
+        return path
 
 
 def host_of(url: str | None) -> str | None:
@@ -210,34 +312,38 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
-def vote(page: str | None) -> tuple[str, float] | None:
+def vote(html: str | None) -> tuple[str, float] | None:
     """The path of the page's best container, and its score."""
-    found = scores(parse(page)[0]) if page else {}
-    return min(found.items(), key=lambda x: (-x[1], x[0])) if found else None
+    if not html:
+        return None
+    page = Page(html)
+    found = page.scores()
+    if not found:
+        return None
+    path = page.best(found)
+    return page.paths.name(path), found.get(path, 0.0)
 
 
-def extract(page: str | None, path: str | None) -> str:
+def extract(html: str | None, path: str | None) -> str:
     """The blocks of the elements at path, in page order; of the page's best container where path has next to nothing."""
-    if not page:
+    if not html:
         return ""
-    nodes, runs = parse(page)
-    found = scores(nodes)
+    page = Page(html)
+    found = page.scores()
     if not found:
         return ""
-    best = min(found, key=lambda p: (-found[p], p))
-    if path is None or found.get(path, 0.0) < LEAST_SHARE * found[best]:
-        path = best
+    at = page.paths.find(path) if path is not None else None
+    if at is None or found.get(at, 0.0) < LEAST_SHARE * max(found.values()):
+        at = page.best(found)
     blocks: list[list[str]] = []
-    inside: dict[int, bool] = {}
+    inside: set[int] = set()
+    for n in page.nodes:  # parents come before their children
+        if n.path == at or n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
     fresh = True
-    for node, text, starts in runs:
+    for node, text, starts in page.runs:
         fresh = fresh or starts
-        if (k := id(node)) not in inside:
-            n = node
-            while n is not None and n.path != path:
-                n = n.parent
-            inside[k] = n is not None
-        if inside[k]:
+        if id(node) in inside:
             if fresh:
                 blocks.append([])
                 fresh = False

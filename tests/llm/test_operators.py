@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy, and on odd tables."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -206,6 +207,55 @@ def test_html_unclosed_elements_keep_the_page(broken):
     assert html_extract.extract(f"<head><title>No text</title>{first}", None) == first
 
 
+FIRST, LAST = "The first paragraph has quite some words to say.", "The last paragraph has quite some words as well."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<html><head><title>x</title><body><article><p>{FIRST}<p>{LAST}", f"{FIRST}\n{LAST}"),
+        (f"<body><div><a href=x>foo</div></a><article><p>{FIRST}</p><p>{LAST}</p></article>", f"{FIRST}\n{LAST}"),
+        (f"<body><article><a name=top><h1>Title</h1><p>{FIRST}</p><p>{LAST}</p></article>", f"Title\n{FIRST}\n{LAST}"),
+        (f"<body><article><h1>T</h1><p>Lead.</p><div class=part><p>{FIRST * 20}</p></div><div class=part><p>{LAST * 20}</p></div></article>", f"T\nLead.\n{FIRST * 20}\n{LAST * 20}"),
+        (f"<body><div class=post><h1>T</h1><div class=part><p>{FIRST * 20}</p></div><div class=part><p>{LAST * 20}</p></div></div><div class=end>x</div>", f"T\n{FIRST * 20}\n{LAST * 20}"),
+        (f"<body><article><p title=\"a>b\" class=it's>{FIRST}</p><p data-x='>'>{LAST}</p></article>", f"{FIRST}\n{LAST}"),
+        (f"<body><article><p>{FIRST} 1 < 2 &lt;b&gt; a\u200bb</p><!-- <p>no</p> --><p>{LAST}</p><!-- open", f"{FIRST} 1 < 2 <b> a\u200bb\n{LAST}"),
+        (f"<body><div class={'long' * 30}><p>{FIRST}</p><p>{LAST}</p></div><div class={'other' * 20}><a href=x>{FIRST * 3}</a></div>", f"{FIRST}\n{LAST}"),
+        (f"<body><article><p>{FIRST}</p><a href=/1>One<a href=/2>two</a> three<p>{LAST}</p></article>", f"{FIRST}\nOnetwo three\n{LAST}"),
+    ],
+)
+def test_html_as_browsers_read_it(html, want):
+    assert html_extract.extract(html, None) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', '<a x=">"', "<button>", "<div>x", "<b><p>x", "<svg>", "<!--", "<head>", "</", "<p a='>\""])
+def test_html_takes_time_in_proportion(unit):
+    times = []
+    for n in (100_000, 400_000):
+        at = time.perf_counter()
+        html_extract.extract(unit * (n // len(unit)), None)
+        times.append(time.perf_counter() - at)
+    assert times[1] < 8 * times[0] + 1.5
+
+
+def test_html_deep_and_long_pages_lose_nothing():
+    deep = "<div>" * 3000 + f"<p>{FIRST}</p>" + "</div>" * 3000 + "<p>after</p>"
+    assert FIRST in html_extract.extract(deep, None)
+    parts = [f"{i} {FIRST}" for i in range(20_000)]
+    assert html_extract.extract("<body><article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>", None) == "\n".join(parts)
+
+
+def test_html_host_path_overrules_the_page(spark):
+    """On one page readers wrote more than the author; the host's other pages say where the article is."""
+    page = lambda story, talk: f"<body><div class=story><p>{story}</p></div><div class=talk><p>{talk}</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", page(FIRST * 4, "Nice.")) for i in range(3)] + [(3, "http://h.org/3", page(FIRST, LAST * 10)), (4, "http://other.org/3", page(FIRST, LAST * 10))]
+    rows += [(5, "http://tie.org/1", page(FIRST, "x")), (6, "http://tie.org/2", page("x", FIRST)), (7, "http://h.org/7", "<body><article><p>Elsewhere.</p></article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("path", "host", "text", "_host", "_salt")})
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    assert got[3] == FIRST and got[4] == LAST * 10 and got[0] == FIRST * 4 and got[7] == "Elsewhere."
+    assert {got[5], got[6]} == {FIRST}  # a tie goes by name, and a page with next to nothing there takes its own
+
+
 def test_html_pages(spark):
     rows = registry.QUERIES["op5_html_extraction"](spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
