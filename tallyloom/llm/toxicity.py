@@ -1,14 +1,16 @@
 """Toxicity by a subsequence string kernel.
 
-The kernel compares words by their common four-letter subsequences within a span of SPAN letters, each occurrence
-weighted DECAY to the letters it spans, so an insult with letters inserted or doubled stays near the insult. Before that
-letters are folded (case, accents, digits that stand for letters), marks inside words are taken out, and letters that
-stand alone in a row are joined.
-
-Training: distinct sentences of labelled documents carry the document's label. Words that occur in toxic sentences far
-more than in clean ones, and words of clean sentences, are landmarks (at most LANDMARKS); kernel values against them,
-whitened (Nyström), feed a squared-hinge support vector machine on words. Words of toxic sentences that it then finds
-toxic join the positives for ROUNDS more fits. A document is rated by its two most toxic words, through a logistic fit.
+The kernel compares words, with a mark at either end, by their common four-letter subsequences within a span of SPAN
+letters, each occurrence weighted DECAY to the letters it spans, so an insult with letters inserted or doubled stays near
+the insult. Before that letters are folded (case, accents, digits that stand for letters), marks inside words are taken
+out, and letters that stand alone in a row are joined. Words have two letters or more.
+
+Training rows are the distinct sentences of labelled documents; a sentence has its document's label, and one that is also
+in a clean document is clean. Kernel values against landmarks (at most LANDMARKS words of toxic and of clean sentences),
+whitened (Nyström), feed a squared-hinge support vector machine; a sentence enters it through its most toxic word, as a
+toxic sentence has one such word at least and a clean one has none. At first these are words that toxic sentences hold far
+more often than clean ones; ROUNDS more fits take the words that the last one rates highest, and leave out sentences of
+toxic documents in which it finds nothing. A document is rated by its two most toxic words, through a logistic fit.
 
 As subsequences of four letters are few, landmarks and machine fold into one table of CLASSES^4 weights: a text of any
 length is scored by look-ups, in Arrow batches, with no more than a block of it unpacked at once.
@@ -37,16 +39,16 @@ SPAN, DECAY = 6, 0.6
 LANDMARKS, ROUNDS, PENALTY = 320, 2, 3e-4
 #: Labelled rows that are fitted on, at most, and the bytes of the longest.
 SAMPLE, SAMPLE_BYTES = 6_000, 16_384
-#: Words whose only evidence is clean that are fitted on, at most.
-CLEAN_WORDS = 6_000
+#: Sentences of either label are fitted on through so many different words, at most; the highest rated come first.
+MOST_WORDS = 6_000
 #: A first positive is this many times as likely in toxic as in clean contexts; the log-likelihood ratio of that beats
 #: the number of units tried by so much.
 LEAST_RATIO, SURE = 10.0, 4.0
 THRESHOLD = 0.5
 
-#: 0 white space, 1..26 letters, 27..31 other letters by code point.
+#: 0 white space, 1..26 letters, 27..30 other letters by code point, 31 either end of a word.
 CLASSES = 32
-MARK = 255
+MARK, EDGE = 255, 31
 #: Digits and signs read as letters.
 READ_AS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
@@ -61,7 +63,7 @@ def _classes() -> np.ndarray:
         elif "a" <= base <= "z":
             out[i] = ord(base) - 96
         elif c.isalnum():
-            out[i] = 27 + i % 5
+            out[i] = 27 + i % 4
     return out
 
 
@@ -69,14 +71,14 @@ LOW = _classes()
 
 
 def letters(text: str) -> np.ndarray:
-    """Classes of a text's letters and gaps, starting and ending with a gap."""
+    """Classes of a text's letters, the ends of its words and gaps, starting and ending with a gap; words of one letter go."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = LOW[np.minimum(points, 0x24F)]
     if (high := points >= 0x250).any():
         out = out.copy()
         for i in np.unique(points[high]).tolist():
             c = chr(i)
-            out[points == i] = 0 if c.isspace() else 27 + i % 5 if c.isalpha() else MARK
+            out[points == i] = 0 if c.isspace() else 27 + i % 4 if c.isalpha() else MARK
     out = np.concatenate([np.zeros(1, np.uint8), out[out != MARK], np.zeros(1, np.uint8)])
     # single letters in a row: the gaps between them go
     gap = out == 0
@@ -86,7 +88,13 @@ def letters(text: str) -> np.ndarray:
         drop = np.zeros(len(out), dtype=bool)
         drop[1:-1] = gap[1:-1] & lone[:-2] & lone[2:]
         out = out[~drop]
-    return out
+    starts, ends = word_bounds(out)
+    alone = ends - starts < 2
+    keep = np.ones(len(out), dtype=bool)
+    keep[starts[alone]] = False
+    at = np.concatenate([starts[~alone], ends[~alone]])
+    shift = np.cumsum(keep) - keep  # places before each in what is kept
+    return np.insert(out[keep], shift[at], np.uint8(EDGE))
 
 
 GAPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
@@ -107,14 +115,16 @@ def word_bounds(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
 
 
-#: Norm of a word's features by its length, as if no subsequence came twice.
-NORMS = np.sqrt(np.array([sum(max(0, n - c) * DECAY ** (2 * (c + 1)) for *_, c in GAPS) for n in range(64)]) + 1e-12)
+def norms(sizes: np.ndarray) -> np.ndarray:
+    """Norm of a word's features by its letters and ends, as if no subsequence came twice."""
+    return np.sqrt(sum(np.maximum(0, sizes - c) * DECAY ** (2 * (c + 1)) for *_, c in GAPS) + 1e-12)
+
+
 NO_WORD = -4.0
 
 
 def word_scores(seq: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's value for every word of four letters or more; weights has a 0 wherever a gap takes part, and
-    subsequences that would cross a gap are cut off."""
+    """The machine's value for every word; subsequences that would cross a gap are cut off."""
     starts, ends = word_bounds(seq)
     if not len(starts):
         return np.zeros(0)
@@ -127,9 +137,7 @@ def word_scores(seq: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray
         part[np.arange(b, b + n) >= end_of[:n]] = 0
         total[:n] += part
     sums = np.add.reduceat(total, starts) if len(starts) else np.zeros(0)
-    size = ends - starts
-    value = sums / NORMS[np.minimum(size, 63)] + bias
-    return value[size >= 4]
+    return sums / norms(ends - starts) + bias
 
 
 def two_most(values: np.ndarray) -> tuple[float, float]:
@@ -141,18 +149,20 @@ def two_most(values: np.ndarray) -> tuple[float, float]:
     return float(max(top[1], NO_WORD)), float(max(top[0], NO_WORD))
 
 
-#: Letters that are unpacked at once.
+#: Letters that are unpacked at once, and where a text may be cut behind the white space.
 BLOCK = 1 << 18
+SEAM = re.compile(r"[^\W_]{2}\s(?=[^\W_]{2})")
 
 
 def rate(text: str, weights: np.ndarray, bias: float) -> tuple[float, float]:
-    """The values of a whole text's two most toxic words. Long texts go in blocks cut at white space."""
+    """The values of a whole text's two most toxic words. Long texts go in blocks cut at white space between words of two
+    letters or digits or more; where a block has none, it goes on to the next."""
     best: list[float] = []
     at = 0
     while at < len(text):
-        end = min(len(text), at + BLOCK)
-        if end < len(text) and (space := max(text.rfind(" ", at, end), text.rfind("\n", at, end))) > at:
-            end = space + 1
+        end = len(text)
+        if at + BLOCK < end and (m := SEAM.search(text, at + BLOCK)):
+            end = m.start() + 3
         best += two_most(word_scores(letters(text[at:end]), weights, bias))
         at = end
     return two_most(np.array(best))
@@ -164,7 +174,7 @@ def parts(words: list[str]):
     seq = np.frombuffer("\0".join(words).encode("latin-1"), dtype=np.uint8)
     owner = np.repeat(np.arange(len(words)), size + 1)[: len(seq)]
     seq = np.where(seq > 0, seq - 96, 0).astype(np.uint8)
-    norm = NORMS[np.minimum(size, 63)]
+    norm = norms(size)
     for n, codes, weight in subsequences(seq):
         b = len(seq) - n
         ok = np.flatnonzero((owner[:n] == owner[b:]) & (seq[:n] != 0) & (seq[b:] != 0))
@@ -175,7 +185,7 @@ def plain_words(sentence: str) -> list[str]:
     """The words of a sentence as strings of classes, in the same folding as the scorer's."""
     seq = letters(sentence)
     starts, ends = word_bounds(seq)
-    return ["".join(map(chr, (seq[a:b] + 96).tolist())) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a >= 4]
+    return ["".join(map(chr, (seq[a:b] + 96).tolist())) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def machine(kernel: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
@@ -200,8 +210,9 @@ def machine(kernel: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
     return w[:-1], float(w[-1])
 
 
-def nystrom(positive: list[str], negative: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:
-    """Kernel values against the landmarks, whitened, through the machine, and folded into weights of subsequences."""
+def nystrom(positive: Counter, negative: Counter, landmarks: list[str]) -> tuple[np.ndarray, float]:
+    """Kernel values against the landmarks, whitened, through the machine, and folded into weights of subsequences. A word
+    weighs as the root of the sentences it stands for, so none stands for all."""
     cells, rows_of, weight = (np.concatenate(c) for c in zip(*((c, r, w) for r, c, w in parts(landmarks)), strict=True))
     used, cells = np.unique(cells, return_inverse=True)
     dense = np.zeros((len(used) + 1, len(landmarks)), np.float32)  # the last row is for subsequences of no landmark
@@ -224,9 +235,10 @@ def nystrom(positive: list[str], negative: list[str], landmarks: list[str]) -> t
                     out[at + rows_of[firsts]] += np.add.reduceat(dense[cells] * weight[:, None], firsts)
         return out @ whiten
 
-    k = np.vstack([against(positive), against(negative)]).astype(np.float64)
+    k = np.vstack([against(list(positive)), against(list(negative))]).astype(np.float64)
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    w, bias = machine(k, y, np.concatenate([np.full(len(positive), 0.5 / len(positive)), np.full(len(negative), 0.5 / max(1, len(negative)))]))
+    share = [np.sqrt(np.array(list(c.values()), float)) for c in (positive, negative)]
+    w, bias = machine(k, y, np.concatenate([0.5 * x / max(1e-9, x.sum()) for x in share]))
     weights = np.zeros(CLASSES**4, np.float32)
     weights[used] = dense[:-1] @ (whiten @ w)
     return weights, bias
@@ -246,7 +258,7 @@ def units(word: str) -> set[str]:
 
 
 def enriched(clean: Counter, toxic: Counter) -> list[str]:
-    """Toxic words with a unit whose share of toxic contexts chance does not explain, most frequent first."""
+    """Toxic words with a unit whose share of toxic sentences chance does not explain, most frequent first."""
     in_clean, in_toxic = Counter(), Counter()
     for words, into in ((clean, in_clean), (toxic, in_toxic)):
         for w, k in words.items():
@@ -265,38 +277,52 @@ def enriched(clean: Counter, toxic: Counter) -> list[str]:
     return sorted((w for w in toxic if any(u in good for u in units(w)) and toxic[w] / n1 >= LEAST_RATIO * clean[w] / n0), key=lambda w: (-toxic[w], w))
 
 
-def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights of subsequences, bias, and the logistic fit over (1, most, second) of a document, on (text, label)."""
-    none = np.zeros(CLASSES**4, np.float32), 0.0, np.array([-40.0, 0.0, 0.0])
-    words: tuple[set, set] = (set(), set())  # (before, word, after) of distinct sentences: copies add nothing
+def sentences(rows: list[tuple[str, int]]) -> tuple[list[list[str]], list[list[str]]]:
+    """The words of the distinct clean and of the distinct toxic sentences."""
+    out: tuple[list, list] = ([], [])
     seen: set[str] = set()
+    one: dict[str, str] = {}  # a word is held once
     for label in (0, 1):  # a sentence that is in a clean document is clean
         for text, mark in rows:
             if mark == label:
                 for s in re.split(r"[.!?\n]+", text):
                     if s not in seen:
                         seen.add(s)
-                        found = plain_words(s)
-                        words[label].update(zip(["", *found], found, [*found[1:], ""], strict=False))
-    if not words[0] or not words[1]:
+                        if found := plain_words(s):
+                            out[label].append([one.setdefault(w, w) for w in found])
+    return out
+
+
+def chosen(bags: list[list[str]], value: dict[str, float], least: float = -np.inf) -> Counter:
+    """The highest rated word of each sentence that has one above least, with the sentences it stands for."""
+    best = (max(bag, key=lambda w: (value[w], w)) for bag in bags)
+    found = Counter(w for w in best if value[w] > least)
+    return Counter(dict(sorted(found.items(), key=lambda x: (-value[x[0]], x[0]))[:MOST_WORDS]))
+
+
+def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights of subsequences, bias, and the logistic fit over (1, most, second) of a document, on (text, label)."""
+    none = np.zeros(CLASSES**4, np.float32), 0.0, np.array([-40.0, 0.0, 0.0])
+    clean, toxic = sentences(rows)
+    if not clean or not toxic:
         return none
-    clean, toxic = (Counter(w for _, w, _ in x) for x in words)
-    sure = enriched(clean, toxic)
+    held = [Counter(w for bag in bags for w in set(bag)) for bags in (clean, toxic)]
+    sure = enriched(*held)
     if not sure:
         return none
     by_hash = lambda w: zlib.crc32(w.encode())
-    known = set(sure)
-    rest = sorted((w for w in clean if w not in known), key=by_hash)
-    maybe = sorted((w for w in toxic if w not in known and not clean[w]), key=by_hash)[:CLEAN_WORDS]
-    every = {"rest": rest, "maybe": maybe}
-    negative, positive, hard = rest[:CLEAN_WORDS], sure, rest[: LANDMARKS // 2]
+    every = sorted({*held[0], *held[1]}, key=by_hash)
+    value = dict.fromkeys(every, 0.0) | dict.fromkeys(sure, 1.0)
+    rest = [w for w in every if held[0][w] and value[w] == 0]
+    hard = rest[: LANDMARKS // 2]
     for _ in range(ROUNDS + 1):
-        weights, bias = nystrom(positive, negative, sure[: LANDMARKS // 2] + hard)
-        values = {k: scores_of(w, weights, bias) for k, w in every.items()}
-        worst = [rest[i] for i in np.argsort(-values["rest"], kind="stable")[: CLEAN_WORDS // 2].tolist()]
-        hard = worst[: LANDMARKS // 2]  # the clean words that look most toxic are landmarks of the next fit
-        negative = list(dict.fromkeys(worst + rest[: CLEAN_WORDS // 2]))
-        positive = sure + [w for w, v in zip(maybe, values["maybe"], strict=True) if v > 0.5]
+        positive, negative = chosen(toxic, value, 0.5), chosen(clean, value)
+        negative |= Counter({w: held[0][w] for w in rest[: MOST_WORDS // 2]})  # and words of clean sentences as they come
+        marks = [w for w, _ in sorted(positive.items(), key=lambda x: (-x[1], x[0]))[: LANDMARKS // 2]]
+        weights, bias = nystrom(positive, negative, list(dict.fromkeys(marks + hard)))
+        value = dict(zip(every, scores_of(every, weights, bias).tolist(), strict=True))
+        # clean words that look most toxic are landmarks of the next fit
+        hard = [w for w in chosen(clean, value) if w not in positive][: LANDMARKS // 2]
     x = np.array([(1.0, *rate(t, weights, bias)) for t, _ in rows])
     y = np.array([m for _, m in rows], dtype=float)
     b = np.zeros(3)
