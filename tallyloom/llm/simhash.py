@@ -33,22 +33,29 @@ SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes; unsigned."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hash of every run of so many words, repeats included."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not parts:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(parts) <= words:
-        return digest(b" ".join(parts), SEED)
+        return np.zeros(0, np.uint64)
+    runs = zip(*(parts[i:] for i in range(words)), strict=False) if len(parts) > words else [parts]
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.fromiter((digest(join(r), SEED) for r in runs), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; unsigned."""
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     sums = np.zeros(64, dtype=np.int64)
-    n = len(parts) - words + 1
-    for at in range(0, n, 1 << 16):
-        some = parts[at : at + (1 << 16) + words - 1]
-        shingles = map(b" ".join, zip(*(some[i:] for i in range(words)), strict=False))
-        h = np.array([digest(s, SEED) for s in shingles], dtype=">u8")
+    for at in range(0, len(hashes), 1 << 16):
+        h = hashes[at : at + (1 << 16)].astype(">u8")
         sums += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * sums > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:

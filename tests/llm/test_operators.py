@@ -605,6 +605,7 @@ def test_near_copies_equal_exact_jaccard(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for tile in (near_copies.TILE, 300):
         assert {r.doc_id: r.component_id for r in near_copies.classes(df, tile=tile).collect()} == dict(enumerate(root))
+    assert sorted(r.doc_id for r in near_copies.survivors(df, most_broadcast=0).collect()) == sorted(set(root))
     kept = corpus_pipeline.near_copies_stage(spark, df, SF)
     assert {r.doc_id for r in kept.collect()} == set(root)
 
@@ -625,6 +626,25 @@ def test_near_copies_odd(spark, odd, none):
     assert {(1, 1), (2, 2), (3, 2), (6, 2), (None, None), (4, 4), (5, 5)} == found
 
 
+def test_survivors_of_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f g h", "x"), (1, "a b c d e f g h", "y"), (1, "quite another text of some more words", "x"), (2, "quite another text of some more words", "x"), (None, "a b c d e f g h", "x"), (3, None, "x"), (4, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _mark string")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in near_copies.survivors(df).collect())
+    assert got == [(False, 0, "a b c d e f g h"), (True, 1, "a b c d e f g h"), (True, 1, "quite another text of some more words"), (True, 3, "")]
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none):
+    for df in (odd, none.withColumn("extra", F.lit("x"))):
+        kept = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = spark.createDataFrame(stage(spark, kept, SF).collect(), kept.schema)  # as each stage is written and read
+            assert kept.columns == df.columns, name
+        texts = Counter((r.doc_id, r.text) for r in kept.collect())
+        want = Counter({(1, ODD[0][1]): 1, (2, None): 1, (None, "no id here"): 1, (4, LONG): 1, (5, ODD[6][1]): 1}) if df is odd else Counter()
+        assert texts == want
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).select("doc_id").distinct().count() == len(want)
+
+
 def test_pipeline(spark, docs):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
