@@ -23,12 +23,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked shingle sets the row of least doc_id stays, once where the row is repeated. Rows without
-    an id cannot be told apart and stay."""
-    keyed = docs.select("doc_id", "text")
-    least = near_copies.classes(keyed, SHINGLE_WORDS, SIMILARITY).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    kept = docs.join(least.select("doc_id"), "doc_id", "left_semi")
-    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    """Of every group of near copies, found by SimHash anchors and min-hashes and confirmed by their shingles, the row of
+    least doc_id stays."""
+    return near_copies.survivors(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
