@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes of an Arrow batch that are unpacked at once.
+UNPACKED = 4 << 20
+
+
+def small(batches: Iterator[pa.RecordBatch], size: int = UNPACKED) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes, one row at least: a batch of thousands of texts is not unpacked,
+    worked on and packed again as a whole."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(at, step)
+
+
 class Store:
     """A folder of files behind a URI, for code that runs in tasks. A file appears whole under its name or not at all,
     so a repeated or speculative attempt only replaces equal bytes."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import small, table
 
 #: Edits as a share of the item's length, and the least letters of a piece.
 BUDGET, PIECE = 0.06, 8
@@ -152,7 +152,7 @@ def too_short(items: DataFrame, item_key: str = "item_id", text: str = "text") -
     """(item_id, text) of the items that are not judged."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array([0 < len(normal(t)) < PIECE for t in batch.column(1).to_pylist()], pa.bool_()))
 
     return items.select(F.col(item_key).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(run, "item_id long, text string")
@@ -185,7 +185,7 @@ def find(docs: DataFrame, items: DataFrame, share: float = BUDGET, key: str = "d
 
         def run(batches):
             made = pieces(sent.value, share)
-            for batch in batches:
+            for batch in small(batches):
                 out = [(k, sent.value[n][0], d, e) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for n, d, e in matches(normal(t), made)]
                 cols = list(zip(*out, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(np.array(cols[2], np.int32)), pa.array(cols[3], pa.int64())], names=["doc_id", "item_id", "distance", "end"])

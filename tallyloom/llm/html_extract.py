@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import cut, table
+from tallyloom.llm.common import cut, small, table
 
 # Elements by what they mean for the text.
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -358,7 +358,7 @@ def winners(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """(host, path): the path with most votes of the host's pages; score, then name, break ties."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = [(host_of(u), *v) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := vote(h))]
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array([round(x) for x in cols[2]], pa.int64())], names=["host", "path", "score"])
@@ -381,7 +381,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     held = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("_host", F.coalesce(host, F.lit(""))).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [extract(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, cut, partitions
+from tallyloom.llm.common import components, cut, partitions, small
 from tallyloom.llm.simhash import BITS, SEED, majority, shingle_hashes
 from tallyloom.llm.simhash import links as simhash_links
 
@@ -130,7 +130,7 @@ def links(held: DataFrame, distinct: DataFrame, words: int, least: float, tile:
     texts = held_texts.join(F.broadcast(placed) if placed.count() <= most_broadcast else placed.hint("merge"), "at").select("key", "root", "g", "text")
 
     def cut_up(batches):
-        for batch in batches:
+        for batch in small(batches):
             sets = pa.array([shingles(t, words).tobytes() for t in batch.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], names=["key", "root", "g", "shingles"])
 
@@ -172,7 +172,7 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, tile: int
     def run(batches):
         seen: set[int] = set()
         row = TaskContext.get().partitionId() << 40  # names the row whose text stands for its set
-        for batch in batches:
+        for batch in small(batches):
             keys, texts, sizes, bands, ats, prints = [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 every = shingle_hashes(t, words)

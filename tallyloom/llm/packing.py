@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import cut, partitions, table
+from tallyloom.llm.common import cut, partitions, small, table
 from tallyloom.llm.tokens import encoder, slices, vocabulary
 
 END = 1
@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, key
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
     def cut_up(batches):
-        for batch in batches:
+        for batch in small(batches):
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 rows = []

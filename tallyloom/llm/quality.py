@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import small, table
 from tallyloom.llm.tokens import slices
 
 BUCKETS = 1 << 14
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
 
     def rate(batches):
         weights, bias = held.value
-        for batch in batches:
+        for batch in small(batches):
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts, 1_000_000):
                 base = np.array([base_counts(t) for t in texts[a:b]], dtype=np.int64).reshape(-1, 5)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import small, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -204,7 +204,7 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_TEXTS
 
     def count(batches):
         held: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for t in batch.column(0).to_pylist():
                 if t:
                     plain = CONTEXT.sub(" ", t) if named(t) else t
@@ -249,7 +249,7 @@ def scan(docs: DataFrame, words: list[str] = (), threshold: float = THRESHOLD, k
 
     def run(batches):
         guesser = Guesser(sent.value)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 found = spans(t, threshold, guesser)
@@ -269,7 +269,7 @@ def redacted(docs: DataFrame, words: list[str] = (), threshold: float = THRESHOL
 
     def run(batches):
         guesser = Guesser(sent.value)
-        for batch in batches:
+        for batch in small(batches):
             new = pa.array([redact(t, spans(t, threshold, guesser)) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, cut, partitions, table
+from tallyloom.llm.common import components, cut, partitions, small, table
 
 WORDS, BITS = 4, 4
 TILE = 4096
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import cut, new_folder, table
+from tallyloom.llm.common import cut, new_folder, small, table
 from tallyloom.llm.tokens import encoder, slices, vocabulary
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -110,7 +110,7 @@ def counts(docs: DataFrame, path: str, extra: tuple[str, ...] = ("source", "lang
     """(doc_id, extra columns, text_key, bpe, words): token counts of every whole text by two tokenizers."""
 
     def count(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             bpe = [len(ids) // 4 for a, b in slices(texts) for ids in encoder(path).ids(texts[a:b])]
             words = [len(t.encode().split()) for t in texts]

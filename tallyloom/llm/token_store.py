@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Store, new_folder, partitions, table
+from tallyloom.llm.common import Store, new_folder, partitions, small, table
 from tallyloom.llm.tokens import encoder, slices, vocabulary
 
 #: Fixed values of the seekable format: skippable frame for the seek table, footer, and a skippable frame of our own.
@@ -141,7 +141,7 @@ def write(docs: DataFrame, uri: str, path: str, key: str = "doc_id", text: str =
     def files(batches):
         part, store, docs_in, ids_in = TaskContext.get().partitionId(), Store(uri), 0, 0
         name, out, made = f"ids-{part:06d}.tokens.zst", None, encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows == 0:
                 continue
             if out is None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import small, table
 from tallyloom.llm.tokens import slices
 
 SPAN, DECAY = 6, 0.6
@@ -360,7 +360,7 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD, key: str = "doc_
 
     def run(batches):
         weights, bias, b = sent.value
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             x = np.array([(1.0, *rate(t, weights, bias)) for t in texts]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
