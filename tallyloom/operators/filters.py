@@ -62,14 +62,26 @@ def violates(left: list[str], right: list[str], tolerance: float = 0.01) -> Colu
     return there & (F.abs(add(left) - add(right)) > tolerance)
 
 
+#: What a plan that only reads is made of, as the parser names it.
+READS = frozenset("""Project Filter Aggregate Join UnresolvedRelation UnresolvedSubqueryColumnAliases SubqueryAlias Sort GlobalLimit LocalLimit
+Offset Distinct Deduplicate Union Intersect Except UnresolvedWith Window WithWindowDefinition UnresolvedHaving OneRowRelation UnresolvedInlineTable
+ResolvedInlineTable LocalRelation LateralJoin Generate Pivot Unpivot Sample UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedHint""".split())
+
+
 def is_query(spark, text: str) -> bool:
-    """True if the text parses to a plan that only reads."""
+    """True if the text parses to a plan all of whose parts only read; what is not known to is refused."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception:
         return False
-    name = plan.getClass().getName()
-    return ".plans.logical." in name and not any(x in name for x in ("Command", "Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Set"))
+    left = [plan]
+    while left:
+        node = left.pop()
+        if node.getClass().getSimpleName().removesuffix("$") not in READS:
+            return False
+        for below in (node.children(), node.innerChildren()):
+            left += [below.apply(i) for i in range(below.size())]
+    return True
 
 
 def lineage(df: DataFrame, key: str, ids: list | None = None, low: Any = None, high: Any = None, equal: dict[str, Any] | None = None) -> DataFrame:

@@ -6,8 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zlib
 from collections import defaultdict, deque
+from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +61,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
     return rank
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the least id that can be reached."""
+def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(id, component): the least id that can be reached. Labels are followed from label to label, so rounds grow with the
+    logarithm of the longest path; if they should run out, that is an error and no result."""
     e = settle(undirected(edges).select("src", "dst"))
     label = settle(e.groupBy(F.col("src").alias("id")).agg(F.least("src", F.min("dst")).alias("component")))
     for _ in range(rounds):
@@ -69,8 +74,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.where("was <> component").limit(1).count()
         label = new.select("id", "component")
         if not changed:
-            break
-    return label
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
@@ -90,14 +95,15 @@ def neighbours(edges: DataFrame, node) -> DataFrame:
     return undirected(edges).where(F.col("src") == F.lit(node)).select(F.col("dst").alias("id"), "weight")
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 10) -> list | None:
-    """A path with the fewest edges, by levels; each level is one join against the frontier."""
+def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> list | None:
+    """A path with the fewest edges, by levels, of at most so many edges if that is asked; None where there is none. Each
+    level is one join against the frontier; levels go on until they reach the end or nothing new."""
     e = settle(undirected(edges).select("src", "dst"))
     spark = edges.sparkSession
     kind = e.schema["src"].dataType
     level = settle(spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(None).cast(kind).alias("via")))
     seen, trail = level, [level]
-    for _ in range(most):
+    while most is None or len(trail) <= most + 1:
         if level.where(F.col("id") == F.lit(end)).count():
             path = [end]
             for step in reversed(trail[1:]):
@@ -112,41 +118,66 @@ def shortest_path(edges: DataFrame, start, end, most: int = 10) -> list | None:
     return None
 
 
-def betweenness(edges: DataFrame, most_nodes: int = 5000, sources: int = 500) -> DataFrame:
-    """(id, betweenness) by Brandes' method for graphs of at most so many vertices; larger ones are refused. Above 500
-    vertices, `sources` of them, least by hash, stand for all."""
+#: Edges, in both directions, that are sent to every task: 16 bytes each there.
+MOST_EDGES = 4_000_000
+
+
+def betweenness(edges: DataFrame, sources: int = 500, most_edges: int = MOST_EDGES) -> DataFrame:
+    """(id, betweenness) by Brandes' method. Above 500 vertices, `sources` of them, least by checksum, stand for all (give
+    their number for the exact value). Sources are dealt out over tasks and their shares added up; each task holds the
+    edges, so graphs of more than `most_edges` of them are refused."""
     spark = edges.sparkSession
-    e = undirected(edges)
-    if (n := e.select("src").distinct().count()) > most_nodes:
-        raise ValueError(f"{n} vertices are too many for one machine")
-    around = defaultdict(list)
-    for r in e.select("src", "dst").orderBy("src", "dst").collect():
+    e = settle(undirected(edges).select("src", "dst"))
+    if (k := e.count()) > most_edges:
+        raise ValueError(f"{k} edges are too many to send to every task")
+    kind = e.schema["src"].dataType.simpleString()
+    around: dict = defaultdict(list)
+    for r in e.orderBy("src", "dst").toLocalIterator():
         around[r["src"]].append(r["dst"])
     names = sorted(around)
-    some = names if n <= 500 else sorted(names, key=lambda v: hash((str(v), 42)))[:sources]
-    total = dict.fromkeys(names, 0.0)
-    for s in some:
-        order, before, paths, far = [], defaultdict(list), defaultdict(float), {s: 0}
-        paths[s] = 1.0
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in around[v]:
-                if w not in far:
-                    far[w] = far[v] + 1
-                    queue.append(w)
-                if far[w] == far[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        gain = defaultdict(float)
-        for w in reversed(order):
-            for v in before[w]:
-                gain[v] += paths[v] / paths[w] * (1 + gain[w])
-            if w != s:
-                total[w] += gain[w]
-    scale = (n / len(some)) / max(1.0, (n - 1) * (n - 2)) if some else 0
-    return spark.createDataFrame([(v, x * scale) for v, x in total.items()], f"id {e.schema['src'].dataType.simpleString()}, betweenness double")
+    if not (n := len(names)):
+        return spark.createDataFrame([], f"id {kind}, betweenness double")
+    some = names if n <= 500 else sorted(names, key=lambda v: (zlib.crc32(str(v).encode()), str(v)))[:sources]
+    number = {v: i for i, v in enumerate(names)}
+    sent = spark.sparkContext.broadcast([[number[w] for w in around[v]] for v in names])
+
+    def shares(batches):
+        near = sent.value
+        total = np.zeros(n)
+        for pdf in batches:
+            for s in pdf["source"]:
+                _brandes(near, int(s), total)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"number": at, "share": total[at]})
+
+    started = spark.createDataFrame([(number[v],) for v in some], "source long").repartition(min(len(some), 4 * spark.sparkContext.defaultParallelism))
+    scale = (n / len(some)) / max(1.0, (n - 1) * (n - 2))
+    summed = started.mapInPandas(shares, "number long, share double").groupBy("number").agg((F.sum("share") * scale).alias("betweenness"))
+    ids = spark.createDataFrame(list(enumerate(names)), f"number long, id {kind}")
+    return ids.join(summed, "number", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def _brandes(near: list[list[int]], s: int, total: np.ndarray) -> None:
+    """Adds to total what shortest paths from s give each vertex."""
+    order, before, paths, far = [], defaultdict(list), defaultdict(float), {s: 0}
+    paths[s] = 1.0
+    queue = deque([s])
+    while queue:
+        v = queue.popleft()
+        order.append(v)
+        for w in near[v]:
+            if w not in far:
+                far[w] = far[v] + 1
+                queue.append(w)
+            if far[w] == far[v] + 1:
+                paths[w] += paths[v]
+                before[w].append(v)
+    gain: dict[int, float] = defaultdict(float)
+    for w in reversed(order):
+        for v in before[w]:
+            gain[v] += paths[v] / paths[w] * (1 + gain[w])
+        if w != s:
+            total[w] += gain[w]
 
 
 def chains(events: DataFrame, entity: str, year: str, gap: int = 2) -> DataFrame:
@@ -167,12 +198,14 @@ def merge_entities(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame
     return one, links
 
 
-def hierarchy(themes: DataFrame, most: int = 10) -> DataFrame:
-    """(id, path, depth) of (id, parent): parents are followed level by level; what lies on a cycle is left out."""
+def hierarchy(themes: DataFrame) -> DataFrame:
+    """(id, path, depth) of (id, parent): parents are followed level by level to the deepest; what lies on a cycle is left
+    out."""
     done = themes.where("parent IS NULL").select("id", F.array("id").alias("path"), F.lit(0).alias("depth"))
     level = done
-    for k in range(1, most + 1):
-        level = settle(themes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("up")), "parent").select("id", F.concat("up", F.array("id")).alias("path"), F.lit(k).alias("depth")))
+    for k in count(1):
+        below = themes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("up")), "parent").where(~F.array_contains("up", F.col("id")))
+        level = settle(below.select("id", F.concat("up", F.array("id")).alias("path"), F.lit(k).alias("depth")))
         if not level.limit(1).count():
             break
         done = done.unionByName(level)

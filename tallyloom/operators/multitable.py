@@ -38,24 +38,41 @@ def bare(name: str, strip_prefix: bool) -> str:
     return re.sub(r"^[a-z]{1,2}_", "", name.lower()) if strip_prefix else name.lower()
 
 
-def discover(tables: dict[str, DataFrame], strip_prefix: bool = False) -> DataFrame:
-    """Relations by equal column names with a common value; confidence is the common share of the smaller key set."""
+def value_counts(tables: dict[str, DataFrame], strip_prefix: bool = False) -> DataFrame | None:
+    """(table, column, name, v, n) over the columns that another table has under the same name and with the same kind of
+    type; a table is read once for all of its columns."""
+    named: dict[tuple[str, str], set[str]] = {}
+    for t, df in tables.items():
+        for f in df.schema:
+            named.setdefault((bare(f.name, strip_prefix), f.dataType.typeName()[:3]), set()).add(t)
     out = None
-    names = sorted(tables)
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            for x in tables[a].columns:
-                for y in tables[b].columns:
-                    if bare(x, strip_prefix) == bare(y, strip_prefix) and bare(x, strip_prefix) not in NEVER_KEYS and tables[a].schema[x].dataType.typeName()[:3] == tables[b].schema[y].dataType.typeName()[:3]:
-                        s = common_keys(tables[a], tables[b], x, y).where("common > 0")
-                        one_a, one_b = F.col("n_a") == F.col("rows_a"), F.col("n_b") == F.col("rows_b")
-                        kind = F.when(one_a & one_b, "one_to_one").when(one_a, "one_to_many").when(one_b, "many_to_one").otherwise("many_to_many")
-                        row = s.select(F.lit(a).alias("from_table"), F.lit(x).alias("from_col"), F.lit(b).alias("to_table"), F.lit(y).alias("to_col"), kind.alias("relation_type"), "common", (F.col("common") / F.least("n_a", "n_b")).alias("confidence"))
-                        out = row if out is None else out.unionByName(row)
-    if out is None:
+    for t in sorted(tables):
+        some = [(f.name, bare(f.name, strip_prefix), f.dataType.typeName()[:3]) for f in tables[t].schema]
+        some = [(c, name, kind) for c, name, kind in some if name not in NEVER_KEYS and len(named[name, kind]) > 1]
+        if some:
+            cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(f"{name}:{kind}").alias("name"), F.col(c).cast("string").alias("v")) for c, name, kind in some])
+            counts = tables[t].select(F.explode(cells).alias("x")).select(F.lit(t).alias("table"), "x.*").where("v IS NOT NULL").groupBy("table", "column", "name", "v").agg(F.count("*").alias("n"))
+            out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def discover(tables: dict[str, DataFrame], strip_prefix: bool = False) -> DataFrame:
+    """Relations by equal column names with a common value; confidence is the common share of the smaller key set. Columns
+    meet by name and value after their values are counted, so a hot value is a row a column."""
+    counts = value_counts(tables, strip_prefix)
+    if counts is None:
         spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], SCHEMA)
-    return out
+    size = counts.groupBy("table", "column").agg(F.count("*").alias("values"), F.sum("n").alias("rows"))
+    # at one value of a name there is a row for each column that has it: tables are few
+    held = counts.groupBy("name", "v").agg(F.array_sort(F.collect_list(F.struct("table", "column"))).alias("x")).where(F.size("x") > 1)
+    pairs = F.flatten(F.transform("x", lambda p, i: F.transform(F.filter(F.slice("x", i + 2, F.size("x")), lambda q: q["table"] != p["table"]), lambda q: F.struct(p["table"].alias("from_table"), p["column"].alias("from_col"), q["table"].alias("to_table"), q["column"].alias("to_col")))))
+    common = held.select(F.explode(pairs).alias("p")).groupBy("p.from_table", "p.from_col", "p.to_table", "p.to_col").agg(F.count("*").alias("common"))
+    for side, s in (("from", "a"), ("to", "b")):
+        common = common.join(F.broadcast(size.select(F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_col"), F.col("values").alias(f"n_{s}"), F.col("rows").alias(f"rows_{s}"))), [f"{side}_table", f"{side}_col"])
+    one_a, one_b = F.col("n_a") == F.col("rows_a"), F.col("n_b") == F.col("rows_b")
+    kind = F.when(one_a & one_b, "one_to_one").when(one_a, "one_to_many").when(one_b, "many_to_one").otherwise("many_to_many")
+    return common.select("from_table", "from_col", "to_table", "to_col", kind.alias("relation_type"), "common", (F.col("common") / F.least("n_a", "n_b")).alias("confidence"))
 
 
 def merge_relations(own: list[dict], found: list[dict]) -> list[dict]:
@@ -90,7 +107,8 @@ def main_table(tables: list[str], relations: list[dict]) -> str:
 
 
 def star_merge(tables: dict[str, DataFrame], relations: list[dict], main: str | None = None) -> DataFrame:
-    """Left joins from the main table outward, one relation a table; tables without one stay out."""
+    """Left joins from the main table outward, one relation a table; tables without one stay out. A row stays once for
+    each row of the other table with its key: joined from the many side, as main_table picks it, rows stay as they are."""
     main = main or main_table(list(tables), relations)
     out, merged = tables[main], {main}
     names = {(main, c): c for c in tables[main].columns}
@@ -102,9 +120,8 @@ def star_merge(tables: dict[str, DataFrame], relations: list[dict], main: str |
                 if here in merged and there in tables and there not in merged and (here, key) in names and other in tables[there].columns:
                     right = tables[there]
                     new = {c: f"{c}_{there}" if c in out.columns else c for c in right.columns}
-                    # a row of the left side must stay one row
-                    one = right.dropDuplicates([other]).select(*[F.col(c).alias(n) for c, n in new.items()])
-                    out = out.join(one, out[names[here, key]] == one[new[other]], "left")
+                    renamed = right.select(*[F.col(c).alias(n) for c, n in new.items()])
+                    out = out.join(renamed, out[names[here, key]] == renamed[new[other]], "left")
                     names |= {(there, c): n for c, n in new.items()}
                     merged.add(there)
                     moved = True

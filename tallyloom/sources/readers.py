@@ -65,9 +65,11 @@ def head_of(spark: SparkSession, path: str, size: int = 10_000) -> bytes:
     return bytes(df.first()["head"])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, schema=None, parse_dates: bool = True) -> DataFrame:
-    """Delimited text with a header; lines that do not fit are dropped. A schema saves the pass that infers one."""
-    reader = spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED").option("encoding", encoding or sniff_encoding(head_of(spark, path))).option("multiLine", False)
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, schema=None, parse_dates: bool = True, dropped: bool = False, multi_line: bool = True) -> DataFrame:
+    """Delimited text with a header; fields may hold line breaks inside quotes. Lines that do not fit keep what fits and
+    have nulls for the rest; dropped=True leaves them out, and malformed() counts them. A schema saves the pass that infers
+    one; with one, multi_line=False lets one file be read by many tasks."""
+    reader = spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED" if dropped else "PERMISSIVE").option("encoding", encoding or sniff_encoding(head_of(spark, path))).option("multiLine", multi_line).option("escape", '"')
     return tidy((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path), parse_dates)
 
 

@@ -18,12 +18,18 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def stream_rows(df: DataFrame, most: int = 10_000, batch: int = 100) -> Iterator[str]:
-    """JSON lines: meta, rows in batches, complete. A partition at a time reaches the driver."""
+def stream_rows(df: DataFrame, most: int | None = None, batch: int = 100) -> Iterator[str]:
+    """JSON lines: meta, rows in batches, and complete, or limited if there are more rows than asked for. A partition at a
+    time reaches the driver."""
     yield json.dumps({"type": "meta", "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema]})
     held: list = []
     n = 0
-    for r in df.select(F.to_json(F.struct(*df.columns)).alias("row")).limit(most).toLocalIterator():
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("row"))
+    more = False
+    for r in (rows if most is None else rows.limit(most + 1)).toLocalIterator():
+        if most is not None and n == most:
+            more = True
+            break
         held.append(json.loads(r["row"]))
         n += 1
         if len(held) == batch:
@@ -31,12 +37,19 @@ def stream_rows(df: DataFrame, most: int = 10_000, batch: int = 100) -> Iterator
             held = []
     if held:
         yield json.dumps({"type": "data", "rows": held})
-    yield json.dumps({"type": "complete", "rows": n})
+    yield json.dumps({"type": "limited" if more else "complete", "rows": n})
 
 
 def collect_small(results: dict[str, DataFrame], most: int = 1000) -> dict[str, list[dict]]:
-    """The first rows of each result as plain values: results are summaries, bounded by `most` rows each."""
-    return {name: [json.loads(x) for x in (r["j"] for r in df.select(F.to_json(F.struct(*df.columns)).alias("j")).limit(most).collect())] for name, df in results.items()}
+    """The first rows of each result as plain values: results are summaries, bounded by `most` rows each. A result with
+    more rows is followed by one that says so, named after it."""
+    out = {}
+    for name, df in results.items():
+        rows = [json.loads(r["j"]) for r in df.select(F.to_json(F.struct(*df.columns)).alias("j")).limit(most + 1).collect()]
+        out[name] = rows[:most]
+        if len(rows) > most:
+            out[f"{name} (first {most} rows)"] = [{"note": f"{name} has more rows than the {most} above"}]
+    return out
 
 
 def to_json(results: dict[str, DataFrame], most: int = 1000) -> str:
