@@ -13,9 +13,12 @@ BODIES = sorted("公司 集团 有限 股份 科技 网络 技术 软件 数据
 # Small stop-word lists, and words of feeling and denial.
 STOP_EN = "a an and are as at be been but by can did do does for from had has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when which who will with would you your".split()
 STOP_ZH = list("的了在是我有和就不人都一个上也很到说要去你会着没看好自己这那")
-POSITIVE = "good great excellent amazing wonderful best love like happy perfect nice beautiful awesome fantastic enjoy pleased satisfied success recommend improve".split()
-NEGATIVE = "bad terrible awful worst hate dislike poor sad angry horrible disappointing disappointed fail failure problem broken wrong useless worthless pathetic stupid trash disgusting idiot moron scum loser clown".split()
-DENIAL = "not no never neither nor none cannot cant dont doesnt didnt wont isnt arent wasnt".split()
+POSITIVE = "good great excellent perfect awesome amazing fantastic nice lovely beautiful wonderful superb outstanding happy pleased satisfied delighted grateful love like recommend support value fast quick easy simple clean clear stable cheap affordable worth best favorite".split()
+NEGATIVE = "bad terrible awful horrible poor worse worst disappointed disappointing frustrated annoying hate dislike complaint issue problem broken damaged defective faulty slow lag crash freeze expensive overpriced fake fraud scam useless waste".split()
+DENIAL = "no not never none cannot cant dont doesnt didnt wont isnt arent wasnt".split()
+POSITIVE_ZH = "好 不错 满意 喜欢 赞 棒 优秀 出色 精彩 完美 开心 高兴 愉快 幸福 感激 感谢 支持 推荐 值得 良心 厚道 贴心 周到 专业 高效 快速 便宜 实惠 性价比 超值 给力 牛逼 厉害 强大 先进 创新 清晰 流畅 稳定 耐用 美观 大气 时尚 舒适 环保 健康 安全 放心 靠谱 可信 真诚 热情".split()
+NEGATIVE_ZH = "差 差劲 糟糕 失望 讨厌 恨 垃圾 烂 恶心 难过 伤心 痛苦 愤怒 生气 抱怨 投诉 退款 退货 问题 毛病 故障 卡顿 闪退 死机 慢 贵 昂贵 坑 骗 假 劣质 粗糙 简陋 难用 麻烦 繁琐 混乱 差评 黑心 无良 虚假 欺骗 忽悠 敷衍 拖延 推诿".split()
+DENIAL_ZH = "不 没 无 非 莫 勿 别 未 不是 没有".split()
 
 
 def clean(c: Column, unicode_letters: bool = False) -> Column:
@@ -56,8 +59,8 @@ def bigrams_cjk(c: Column) -> Column:
 
 
 def without_stop_words(t: Column, extra: list[str] = ()) -> Column:
-    stop = F.array(*[F.lit(w) for w in [*STOP_EN, *STOP_ZH, *extra]])
-    return F.filter(t, lambda w: ~F.array_contains(stop, w) & (F.length(F.trim(w)) > 1))
+    stop = [*STOP_EN, *STOP_ZH, *extra]
+    return F.filter(t, lambda w: ~w.isin(stop) & (F.length(F.trim(w)) > 1))
 
 
 def noise_line(line: Column) -> Column:
@@ -88,18 +91,23 @@ def ngrams(t: Column, n: int, joined: str = "") -> Column:
 
 def sentiment(c: Column) -> Column:
     """struct(positive, negative, label, confidence). In a sentence a word of denial turns every later hit into half a
-    hit against its side; a sentence's scores are not under 0."""
-    pos, neg, deny = (F.array(*[F.lit(w) for w in words]) for words in (POSITIVE, NEGATIVE, DENIAL))
+    hit against its side; a sentence's scores are not under 0. Where over a fifth of the characters are CJK the Chinese
+    words count, the longest where several begin at one place, else the English ones."""
+    chinese = F.coalesce(F.try_divide(F.length(F.regexp_replace(c, f"[^{CJK}]", "")).cast("double"), F.length(c)) > 0.2, F.lit(False))
+    lexicon = sorted({*POSITIVE_ZH, *NEGATIVE_ZH, *DENIAL_ZH}, key=lambda w: (-len(w), w))
 
     def step(acc: Column, w: Column) -> Column:
         hit = F.when(acc["n"], F.lit(-0.5)).otherwise(F.lit(1.0))
-        return F.struct((acc["p"] + F.when(F.array_contains(pos, w), hit).otherwise(0.0)).alias("p"), (acc["q"] + F.when(F.array_contains(neg, w), hit).otherwise(0.0)).alias("q"), (acc["n"] | F.array_contains(deny, w)).alias("n"))
+        return F.struct((acc["p"] + F.when(w.isin([*POSITIVE, *POSITIVE_ZH]), hit).otherwise(0.0)).alias("p"), (acc["q"] + F.when(w.isin([*NEGATIVE, *NEGATIVE_ZH]), hit).otherwise(0.0)).alias("q"), (acc["n"] | w.isin([*DENIAL, *DENIAL_ZH])).alias("n"))
 
     start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.lit(False).alias("n"))
-    words = lambda s: F.transform(F.regexp_extract_all(F.lower(s), F.lit("[a-z']+"), F.lit(0)), lambda w: F.replace(w, F.lit("'"), F.lit("")))
-    each = F.transform(sentences(c), lambda s: F.aggregate(words(s), start, step, lambda a: F.struct(F.greatest(a["p"], F.lit(0.0)).alias("p"), F.greatest(a["q"], F.lit(0.0)).alias("q"))))
     zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-    total = F.aggregate(each, zero, lambda a, x: F.struct((a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q")))
+    latin = lambda s: F.transform(F.regexp_extract_all(F.lower(s), F.lit("[a-z']+"), F.lit(0)), lambda w: F.replace(w, F.lit("'"), F.lit("")))
+    cjk = lambda s: F.regexp_extract_all(s, F.lit("|".join(lexicon)), F.lit(0))
+
+    def total(words) -> Column:
+        each = F.transform(sentences(c), lambda s: F.aggregate(words(s), start, step, lambda a: F.struct(F.greatest(a["p"], F.lit(0.0)).alias("p"), F.greatest(a["q"], F.lit(0.0)).alias("q"))))
+        return F.aggregate(each, zero, lambda a, x: F.struct((a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q")))
 
     def told(a: Column) -> Column:
         p, q = a["p"], a["q"]
@@ -107,7 +115,7 @@ def sentiment(c: Column) -> Column:
         return F.struct(p.alias("positive"), q.alias("negative"), label.alias("label"), F.least(F.abs(p - q) / F.greatest(p, q, F.lit(1.0)), F.lit(1.0)).alias("confidence"))
 
     # bound to a variable of a lambda, the totals are computed once for all four fields
-    return F.get(F.transform(F.array(total), told), 0)
+    return F.get(F.transform(F.array(F.when(chinese, total(cjk)).otherwise(total(latin))), told), 0)
 
 
 def entities_latin(c: Column) -> Column:

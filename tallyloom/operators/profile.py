@@ -98,6 +98,11 @@ def time_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     return counted.groupBy("column").agg(F.sum("k").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"), F.count("*").alias("n_unique")).withColumn("span_days", F.floor((F.unix_timestamp("last") - F.unix_timestamp("first")) / 86400))
 
 
+def identifiers(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, n_unique, min, max) of identifiers, ends in the order of their values as text."""
+    return value_counts(df, cols).groupBy("column").agg(F.count("*").alias("n_unique"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width bins, the last one closed: bin, low, high, n. Two passes: extremes, then counts by bin."""
     value = F.col(col).cast("double")
@@ -117,9 +122,10 @@ def normality(df: DataFrame, cols: list[str], sample: int = 5000) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("column").orderBy("h", "value"))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
     few = df.select(F.xxhash64(*df.columns).alias("h"), F.explode(cells).alias("x")).select("h", "x.column", "x.value").where("value IS NOT NULL AND NOT isnan(value)")
-    # a filter by hash keeps about twice the sample before rows meet for the exact rank
-    most = max([r["n"] for r in stats.values()], default=0)
-    kept = few.where(F.pmod("h", F.lit(1 << 20)) < F.lit(min(1 << 20, math.ceil((1 << 20) * 2 * sample / max(1, most)))))
+    # a filter by hash keeps about twice each column's sample before rows meet for the exact rank
+    share = {c: min(1 << 20, math.ceil((1 << 20) * 2 * sample / r["n"])) for c, r in stats.items()}
+    shares = F.create_map(*[F.lit(x) for c, k in share.items() for x in (c, k)]) if share else F.create_map(F.lit(""), F.lit(0))
+    kept = few.where(F.pmod("h", F.lit(1 << 20)) < shares[F.col("column")])
     values: dict[str, list[float]] = {}
     for r in kept.withColumn("r", rank).where(F.col("r") <= sample).select("column", "value").collect():
         values.setdefault(r["column"], []).append(r["value"])

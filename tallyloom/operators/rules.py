@@ -125,10 +125,12 @@ def signs(vector: np.ndarray, cols: list[str], same: float = 0.5) -> tuple[list[
 def sums(df: DataFrame, cols: list[str], confidence: float = 0.5) -> DataFrame:
     """Sums of fields that equal a field or a sum of others: the least direction of the covariance gives a candidate;
     the field of least weight goes and the next is tried, until three are left; then all candidates are held against all
-    rows in one pass. The covariance is computed once; only matrices of a row a column are on the driver."""
+    rows in one pass. The covariance is computed once; only matrices of a row a column are on the driver. Rows that break a
+    rule bend the covariance, so directions of small parts of a bounded sample (robust_sums) are candidates too."""
     cols = usable(df, cols)
     seen: dict[frozenset, tuple[list[str], list[str]]] = {}
-    for group in column_clusters(df, cols):
+    # a small part of a sum may correlate with nothing: only wide tables are split by correlation
+    for group in [cols] if len(cols) <= 12 else column_clusters(df, cols):
         if len(group) < 3:
             continue
         cov, n = moments(df, group)
@@ -143,6 +145,8 @@ def sums(df: DataFrame, cols: list[str], confidence: float = 0.5) -> DataFrame:
                 if (rule := signs(v, [group[i] for i in left])) and frozenset(rule[0] + rule[1]) not in seen:
                     seen[frozenset(rule[0] + rule[1])] = rule
                 left = [i for k, i in enumerate(left) if k != int(np.argmin(np.abs(v) * scale[left]))]
+        for rule in robust_sums(df, group):
+            seen.setdefault(frozenset(rule[0] + rule[1]), rule)
         if len(group) <= 12:  # small groups: every three fields
             for three in combinations(range(len(group)), 3):
                 _, v = smallest_direction(cov[np.ix_(three, three)])
@@ -151,6 +155,35 @@ def sums(df: DataFrame, cols: list[str], confidence: float = 0.5) -> DataFrame:
     return verify(df, list(seen.values())).where(F.col("confidence") >= confidence)
 
 
+#: Rows of the sample that candidates for sums with exceptions come from, trials, rows a trial, and the share of the sample
+#: that a candidate must hold for.
+SAMPLE, TRIALS, TRIAL_ROWS, INLIERS = 2000, 20, 20, 0.5
+
+
+def robust_sums(df: DataFrame, cols: list[str], seed: int = 42) -> list[tuple[list[str], list[str]]]:
+    """Candidates for sums that hold for half of the rows or more: the least direction of a few random rows of a sample
+    (least by hash), for all columns and then without the one of least weight until three are left. A trial of three rows
+    more than columns has a fair chance to hit none that breaks the rule; sums are held against all rows later."""
+    held = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    x = np.array([list(r) for r in held.orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(SAMPLE).collect()], dtype=float).reshape(-1, len(cols))
+    if len(x) < 10:
+        return []
+    rng, out = np.random.default_rng(seed), {}
+    for trial in range(TRIALS * 4):
+        left = list(range(len(cols)))
+        while len(left) >= 3:
+            # few rows for few columns, so that a trial without exceptions is likely
+            size = min(len(x), TRIAL_ROWS if trial % 2 else len(left) + 2)
+            some = x[rng.choice(len(x), size, replace=False)][:, left]
+            direction = np.linalg.svd(some - some.mean(axis=0), full_matrices=False)[2][-1]
+            if rule := signs(direction, [cols[i] for i in left]):
+                a, b = (x[:, [cols.index(c) for c in side]].sum(axis=1) for side in rule)
+                if np.mean(np.abs(a - b) / np.maximum(1.0, np.maximum(np.abs(a), np.abs(b))) < TOLERANCE) >= INLIERS:
+                    out[frozenset(rule[0] + rule[1])] = rule
+            left.pop(int(np.argmin(np.abs(direction) * (x[:, left].std(axis=0) + 1e-12))))
+    return list(out.values())
+
+
 def verify(df: DataFrame, candidates: list[tuple[list[str], list[str]]], tolerance: float = TOLERANCE) -> DataFrame:
     """(rule, lhs, rhs, valid_rows, satisfied_rows, confidence) of given sums, all in one pass."""
     spark = df.sparkSession

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
+from tallyloom.operators.graph import settle
 
 
 def corpus(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -58,20 +59,21 @@ def top_tokens(docs: DataFrame, k: int = 50) -> DataFrame:
     return token_counts(docs).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
 
 
-def tfidf(docs: DataFrame, vocabulary: int = 5000) -> DataFrame:
+def tfidf(docs: DataFrame, vocabulary: int = 5000, n: int | None = None) -> DataFrame:
     """(doc_id, token, weight): smooth inverse document frequency, rows of length 1; the vocabulary is the most frequent
-    tokens, a bounded table that is broadcast."""
-    n = docs.count()
-    tf = token_counts(docs).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    tokens, a bounded table that is broadcast. Texts are cut into tokens once: their counts are written and read again."""
+    n = docs.count() if n is None else n
+    tf = settle(token_counts(docs).groupBy("doc_id", "token").agg(F.count("*").alias("tf")))
     words = tf.groupBy("token").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "token").limit(vocabulary)
     raw = tf.join(F.broadcast(words.select("token", "df")), "token").withColumn("w", F.col("tf") * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "token", (F.col("w") / F.col("norm")).alias("weight"))
+    # a document has a row for each different word of the vocabulary at most
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "token", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_terms(docs: DataFrame, k: int = 20) -> DataFrame:
     n = docs.count()
-    return tfidf(docs).groupBy("token").agg((F.sum("weight") / max(1, n)).alias("weight")).orderBy(F.desc("weight"), "token").limit(k)
+    return tfidf(docs, n=n).groupBy("token").agg((F.sum("weight") / max(1, n)).alias("weight")).orderBy(F.desc("weight"), "token").limit(k)
 
 
 def document_keywords(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -148,9 +150,11 @@ def entity_stats(docs: DataFrame, least: int = 2, k: int = 50) -> DataFrame:
 
 
 def frequent(items: DataFrame, most: int = 200) -> DataFrame:
-    """(doc_id, item) for the most frequent items only: pairs are formed over a bounded vocabulary."""
-    top = items.select("doc_id", "item").distinct().groupBy("item").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "item").limit(most)
-    return items.select("doc_id", "item").distinct().join(F.broadcast(top.select("item")), "item")
+    """(doc_id, item) for the most frequent items only: pairs are formed over a bounded vocabulary. Written and read again,
+    so what follows does not make the items anew."""
+    once = settle(items.select("doc_id", "item").distinct())
+    top = once.groupBy("item").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "item").limit(most)
+    return settle(once.join(F.broadcast(top.select("item")), "item").select("doc_id", "item"))
 
 
 def pair_counts(items: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def pair_counts(items: DataFrame) -> DataFrame:
 
 def pmi(items: DataFrame, least: float = 0.5, k: int = 30) -> DataFrame:
     """(a, b, n, pmi): pointwise mutual information over the pairs' own total."""
-    pairs = pair_counts(items)
+    pairs = settle(pair_counts(items))
     freq = items.groupBy("item").agg(F.count("*").alias("f"))
     total = pairs.agg(F.sum("n").cast("double").alias("t"))
     out = pairs.join(F.broadcast(total)).join(freq.select(F.col("item").alias("a"), F.col("f").alias("fa")), "a").join(freq.select(F.col("item").alias("b"), F.col("f").alias("fb")), "b")

@@ -60,6 +60,13 @@ def autocorrelation(s: DataFrame, lag: int) -> DataFrame:
     return s.withColumn("past", F.lag("value", lag).over(ordered())).groupBy("entity").agg(F.corr("value", "past").alias("r"), F.count("past").alias("n"))
 
 
+def seasonality(s: DataFrame, lag: int = 12, least: int = 24, over: float = 0.3) -> DataFrame:
+    """(entity, n, r, seasonal): the correlation at a lag, and whether it is over the limit in a series long enough."""
+    n = s.groupBy("entity").agg(F.count("*").alias("n"))
+    r = autocorrelation(s, lag).select("entity", "r")
+    return n.join(r, "entity").select("entity", "n", "r", F.coalesce((F.col("n") >= least) & (F.abs("r") > over), F.lit(False)).alias("seasonal"))
+
+
 def chains(df: DataFrame, entity: str, time: str, gap: str = "INTERVAL 30 MINUTES") -> DataFrame:
     """Numbers each entity's events by chain: a gap longer than `gap` starts a new one."""
     w = Window.partitionBy(entity).orderBy(time)
