@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import profiling, relations, series, texts  # noqa: F401  each registers its queries
+from tallyloom.plans import advice, profiling, relations, series, texts  # noqa: F401  each registers its queries
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

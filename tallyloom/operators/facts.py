@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import association as A
+from tallyloom.operators import multitable as M
 from tallyloom.operators import profile as P
 from tallyloom.operators import quality as Q
 from tallyloom.operators import rules as U
+from tallyloom.operators.advice import roles_in_models
 
 #: id -> (group, name, the fact that calls for it, least value of that fact, priority)
 SCENARIOS: dict[str, tuple[str, str, str, float, str]] = {
@@ -72,9 +74,12 @@ def execute(df: DataFrame, scenario: str, key: list[str], types: dict[str, str],
         "B2": lambda: A.categorical_pairs(df, cats), "B3": lambda: A.eta_squared(df, cats[0], cont[0]), "B5": lambda: A.redundant(df, cont), "C1": lambda: T.trend_line(series()), "C2": lambda: T.seasonal(df, times[0]), "C3": lambda: T.drift_forecast(series()),
         "C4": lambda: T.anomalous_dates(df, times[0], cont[:5]), "D1": lambda: segments(df, cont)[1], "D3": lambda: Q.concentration(df, cats), "E1": lambda: U.violations(df, key, more["rules"]), "E2": lambda: Q.outlier_rows(df, cont, key),
         "E3": lambda: Q.missing_patterns(df, key[0], df.columns), "E4": lambda: Q.duplicate_rows(df, key), "F4": lambda: P.summary(df, cont).where(F.abs("skew") > 1), "F5": lambda: T.anomalous_dates(df, times[0], cont[:5]),
+        "A4": lambda: M.discover(more["tables"], more.get("strip_prefix", False)), "B4": lambda: M.discover(more["tables"], more.get("strip_prefix", False)).select("from_table", "to_table", "relation_type", "common"),
+        "D2": lambda: roles_in_models(df, types), "F1": lambda: P.profile(df.select(*of("text"))) if of("text") else P.profile(df).limit(0), "F2": lambda: P.identifiers(df, of("identifier")),
+        "F3": lambda: M.common_keys(df, more["tables"][more["other"]], more["key"], more["other_key"]),
     }
-    if scenario not in table:
-        raise ValueError(f"{scenario} is told by its facts alone")
+    if scenario not in SCENARIOS:
+        raise ValueError(f"no scenario {scenario}")
     return table[scenario]()
 
 

@@ -50,7 +50,7 @@ def profile_sql(name: str, mode: str = "strict") -> str:
 
 for _t in KINDS:
     query(f"a01_profile_{_t}", profile_sql(_t))(lambda s, d, t=_t: P.profile(table(s, d, t)))
-    query(f"t13_types_loose_{_t}", profile_sql(_t, "loose"))(lambda s, d, t=_t: P.profile(table(s, d, t), mode="loose"))
+    query(f"a01_types_loose_{_t}", profile_sql(_t, "loose"))(lambda s, d, t=_t: P.profile(table(s, d, t), mode="loose"))
 
 
 @query("a02_summary_lineitem", union([f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(quantile_cont({c}, 0.25), 6) AS q1, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(skewness({c}), 6) AS skew, round(kurtosis({c}), 6) AS kurtosis FROM lineitem" for c in LINE]))

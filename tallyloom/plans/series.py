@@ -172,7 +172,7 @@ def _(s, d):
 
 # ---- graphs: customers' nations as vertices, trade between nations as edges
 
-TRADE = "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) * 1.0 AS weight FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate < TIMESTAMP '1995-03-01' GROUP BY 1, 2"
+TRADE = "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) * 1.0 AS weight FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"
 
 
 def trade(s, d):
@@ -194,13 +194,13 @@ def _(s, d):
     return G.neighbours(trade(s, d), 3)
 
 
-SAME = "SELECT p_partkey AS src, p_partkey + 1000 AS dst FROM part WHERE p_size = 7 UNION ALL SELECT p_partkey, p_partkey + 3 FROM part WHERE p_size < 20"
+SAME = "SELECT p_partkey AS src, p_partkey + 1000 + 100000 * p_size AS dst FROM part UNION ALL SELECT p_partkey, p_partkey + p_size FROM part"
 
 
 @query("g05_components", f"WITH RECURSIVE e AS (SELECT src, dst FROM ({SAME}) UNION SELECT dst, src FROM ({SAME})), r(id, seen) AS (SELECT src, src FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON r.seen = e.src) SELECT id, min(seen) AS component FROM r GROUP BY 1")
 def _(s, d):
     p = table(s, d, "part")
-    e = p.where("p_size = 7").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1000).alias("dst")).unionByName(p.where("p_size < 20").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 3).alias("dst")))
+    e = p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1000 + 100000 * F.col("p_size")).alias("dst")).unionByName(p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst")))
     return G.components(e)
 
 

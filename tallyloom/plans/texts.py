@@ -31,7 +31,10 @@ def _(s, d):
     return T.language_mix(docs(s, d))
 
 
-@query("x03_sentences")
+SENTENCES = "list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?\\n]+[。！？.!?\\n]?'), lambda x: trim(replace(x, chr(10), ''))), lambda x: length(x) > 0)"
+
+
+@query("x03_sentences", f"SELECT doc_id, CAST(len({SENTENCES}) AS INT) AS n_sentences FROM documents")
 def _(s, d):
     return docs(s, d).select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_sentences"))
 
@@ -51,7 +54,10 @@ def _(s, d):
     return docs(s, d).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) < 20)).cast("long").alias("n_short"))
 
 
-@query("x07_filtered_tokens")
+NO_WORD = " OR ".join(f"regexp_matches(x, '{p}')" for p in (r"^\d+(\.\d+)?$", r"^[06]\d{5}$", r"^\d{4}[-/.]?\d{0,2}[-/.]?\d{0,2}$", r"^\d+(\.\d+)?[a-z%]{1,3}$", "^[a-zA-Z]{1,2}$"))
+
+
+@query("x07_filtered_tokens", f"SELECT doc_id, CAST(len(list_filter({SPLIT}, lambda x: NOT ({NO_WORD}) AND regexp_matches(x, '[a-zA-Z\\x{{4e00}}-\\x{{9fff}}\\x{{c0}}-\\x{{24f}}]'))) AS INT) AS n FROM documents")
 def _(s, d):
     return docs(s, d).select("doc_id", F.size(X.filtered_tokens(X.tokens(F.col("text")))).alias("n"))
 
@@ -120,12 +126,22 @@ def _(s, d):
     return T.ngram_counts(docs(s, d))
 
 
-@query("x22_sentiment")
+def hits(words) -> str:
+    """The score of a sentence's words w of one side, d being the place of its first word of denial."""
+    return f"greatest(0, coalesce(list_sum(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains([{', '.join(map(repr, words))}], w[i]) THEN CASE WHEN d IS NULL OR i < d THEN 1.0 ELSE -0.5 END ELSE 0.0 END)), 0))"
+
+
+MOODS = f"""WITH s AS (SELECT doc_id, unnest({SENTENCES}) AS x FROM documents), t AS (SELECT doc_id, list_transform(regexp_extract_all(lower(x), '[a-z'']+'), lambda v: replace(v, chr(39), '')) AS w FROM s),
+p AS (SELECT *, list_min(list_filter(range(1, len(w) + 1), lambda i: list_contains([{', '.join(map(repr, X.DENIAL))}], w[i]))) AS d FROM t), b AS (SELECT doc_id, sum({hits(X.POSITIVE)}) AS p, sum({hits(X.NEGATIVE)}) AS q FROM p GROUP BY 1), a AS (SELECT doc_id, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM documents LEFT JOIN b USING (doc_id))
+SELECT doc_id, round(CAST(p AS DOUBLE), 6) AS positive, round(CAST(q AS DOUBLE), 6) AS negative, CASE WHEN p > q THEN 'positive' WHEN q > p THEN 'negative' ELSE 'neutral' END AS label, round(CAST(least(abs(p - q) / greatest(p, q, 1), 1) AS DOUBLE), 6) AS confidence FROM a"""
+
+
+@query("x22_sentiment", MOODS)
 def _(s, d):
     return rounded(T.sentiment(docs(s, d)))
 
 
-@query("x23_sentiment_distribution")
+@query("x23_sentiment_distribution", f"SELECT label, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM ({MOODS}) GROUP BY 1")
 def _(s, d):
     return rounded(T.sentiment_distribution(docs(s, d)))
 
