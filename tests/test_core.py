@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom import catalogue
 from tallyloom.functions import mathx
 from tallyloom.functions import text as X
+from tallyloom.operators import advice as D
 from tallyloom.operators import association as A
 from tallyloom.operators import filters as FI
 from tallyloom.operators import graph as G
@@ -42,9 +43,11 @@ def norm(x):
 
 
 #: A query of each family; the driver compares all of them.
-SOME = """a01_profile_lineitem t13_types_loose_orders a02_summary_lineitem a03_modes_lineitem a06_missing_events a07_outliers_events a08_duplicates_lineitem_key a16_histogram_price a18_score_orders a27_concentration_part
+SOME = """a01_profile_lineitem a01_types_loose_orders a02_summary_lineitem a03_modes_lineitem a06_missing_events a07_outliers_events a08_duplicates_lineitem_key a16_histogram_price a18_score_orders a27_concentration_part
 p02_date_features f03_between f06_is_outlier f13_preview_page r01_correlations r02_spearman_part r03_cramers_v_orders r03_yates_lineitem r04_eta2_lineitem j02_star_merge j04_discover_by_prefix u02_equalities u09_verify u11_dependencies_part
-u16_working_days u17_calendar w01_rolling t04_ljung_box t11_trend_line x13_prefix_duplicates x14_near_duplicates x17_tfidf_terms x28_pmi m08_classification_metrics i06_cross g05_components z01_stream_daily""".split()
+u16_working_days u17_calendar w01_rolling t04_ljung_box t11_trend_line x13_prefix_duplicates x14_near_duplicates x17_tfidf_terms x28_pmi m08_classification_metrics i06_cross g05_components z01_stream_daily
+t05_seasonality m15_roles_in_models m18_rule_advice u06_sums_with_exceptions t13_keywords_by_period x03_sentences x07_filtered_tokens x22_sentiment x23_sentiment_distribution x37_rising_topics x43_text_advice j08_profiles p10_display_names
+i03_execute_relations i03_execute_identifiers g01_undirected""".split()
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -278,3 +281,104 @@ def test_chinese_tokens_entities_and_summaries(spark):
     assert {(2, "王小明"), (2, "他在浙江省"), (2, "腾讯公司"), (2, "Anna Berg")} <= found
     text = "天地玄黄。今天天气很好我们出门。今天天气很好他们回家。宇宙洪荒。今天天气很好大家开心。日月盈昃。"
     assert O.summary_sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().summary == "今天天气很好我们出门。 今天天气很好他们回家。 今天天气很好大家开心。"
+
+
+def test_chinese_sentiment(spark):
+    texts = {"这个产品很好，非常满意": "positive", "太差了，垃圾产品": "negative", "今天天气不错": "positive", "": "neutral", "这个不好": "neutral", "not good": "neutral", "Great, I love it": "positive"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.s.label for r in df.select("t", X.sentiment(F.col("t")).alias("s")).collect()} == texts
+
+
+@pytest.mark.parametrize("text", ["WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "FROM t INSERT INTO u SELECT *", "CACHE TABLE x", "REFRESH TABLE x", "SET a=b", "TRUNCATE TABLE x", "CREATE TABLE x AS SELECT 1", "no sql"])
+def test_what_is_no_query_is_refused(spark, text):
+    assert not FI.is_query(spark, text)
+
+
+def test_queries_of_all_shapes_pass(spark):
+    assert FI.is_query(spark, "WITH a AS (SELECT 1 AS b) SELECT b, count(*) FROM a JOIN y USING (b) WHERE b IN (SELECT c FROM z) GROUP BY b HAVING count(*) > 1 ORDER BY b LIMIT 3")
+    assert all(FI.is_query(spark, q) for q in ("SELECT * FROM VALUES (1), (2) t(a)", "SELECT sum(a) OVER (PARTITION BY b) FROM t UNION SELECT 1", "SELECT * FROM t LATERAL VIEW explode(x) e AS y", "TABLE x"))
+
+
+def test_star_merge_keeps_all_rows_of_the_other_side(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    relation = [{"from_table": "l", "from_col": "k", "to_table": "r", "to_col": "k"}]
+    rows = M.star_merge({"l": left, "r": right}, relation, "l").collect()
+    assert sorted((r.k, r.v or "") for r in rows) == [(1, "a"), (1, "b"), (2, "c"), (3, "")]
+
+
+def test_long_paths_and_deep_trees_are_followed_to_the_end(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    assert G.shortest_path(path, 0, 12) == list(range(13)) and G.shortest_path(path, 0, 12, 5) is None and G.shortest_path(path, 0, 99) is None
+    assert {r.component for r in G.components(path).collect()} == {0}
+    tree = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(14)] + [("x", "y"), ("y", "x"), ("n3", "n13")], "id string, parent string")
+    got = G.hierarchy(tree).collect()
+    assert len(got) == 14 and max(r.depth for r in got) == 13
+
+
+def test_betweenness_of_a_star_and_a_path(spark):
+    star = spark.createDataFrame([(0, i) for i in range(1, 6)], "src long, dst long")
+    assert {r.id: round(r.betweenness, 9) for r in G.betweenness(star).collect()} == {0: 1.0, **dict.fromkeys(range(1, 6), 0.0)}
+    path = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    assert {r.id: round(r.betweenness * 12) for r in G.betweenness(path).collect()} == {0: 0, 1: 6, 2: 8, 3: 6, 4: 0}
+    with pytest.raises(ValueError):
+        G.betweenness(path, most_edges=3)
+
+
+def test_limits_of_reports_are_told(spark):
+    df = spark.range(30)
+    assert '"limited"' in list(S.stream_rows(df, 20))[-1] and '"complete", "rows": 30' in list(S.stream_rows(df))[-1] and '"complete"' in list(S.stream_rows(df, 30))[-1]
+    small = S.collect_small({"a": df, "b": spark.range(3)}, 10)
+    assert len(small["a"]) == 10 and "a (first 10 rows)" in small and list(small) == ["a", "a (first 10 rows)", "b"]
+
+
+def test_lines_that_do_not_fit_are_kept(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('id,note\n1,"two\nlines"\n2,"a ""quoted"" word"\n3\n')
+    rows = R.read_csv(spark, str(path)).orderBy("id").collect()
+    assert [r.id for r in rows] == [1, 2, 3] and rows[0].note == "two\nlines" and rows[1].note == 'a "quoted" word' and rows[2].note is None
+    assert R.read_csv(spark, str(path), dropped=True).count() <= 3
+
+
+def test_normality_of_a_sparse_column_beside_a_full_one(spark):
+    df = spark.range(60_000).select(F.randn(1).alias("full"), F.when(F.col("id") % 1200 == 0, F.randn(2)).alias("sparse"))
+    got = {r.column: r for r in P.normality(df, ["full", "sparse"]).collect()}
+    assert got["sparse"].n == 50 and got["sparse"].shapiro_w is not None and got["full"].shapiro_w is not None
+
+
+def test_series_advice(spark):
+    rng = np.random.default_rng(4)
+    x = [0.0]
+    for e in rng.normal(size=199):
+        x.append(0.7 * x[-1] + e)
+    made = {"ar": x, "noise": rng.normal(size=200), "walk": np.cumsum(rng.normal(size=200)), "short": rng.normal(size=12)}
+    rows = [(k, f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00", float(v)) for k, values in made.items() for i, v in enumerate(values)]
+    s = spark.createDataFrame(rows, "entity string, date string, value double").withColumn("date", F.to_timestamp("date"))
+    got = {r.entity: r for r in D.series_advice(s).collect()}
+    assert got["ar"].suitable and got["ar"].method == "ARIMA or SARIMA" and got["walk"].method == "ARIMA after differencing"
+    assert not got["noise"].suitable and not got["short"].suitable and got["short"].method == "mean or median"
+
+
+def test_roles_in_models(spark, people):
+    df = spark.createDataFrame([(i, 1.0, float(i), None if i % 3 else 2.0, "ab"[i % 2], "x") for i in range(30)], "id long, flat double, num double, sparse double, cat string, one string")
+    types = {"id": "identifier", "flat": "continuous", "num": "continuous", "sparse": "continuous", "cat": "categorical", "one": "categorical"}
+    got = {r.column: (r.feature, r.regression_target, r.classification_target) for r in D.roles_in_models(df, types).collect()}
+    assert got == {"id": (False, False, False), "flat": (False, False, False), "num": (True, True, False), "sparse": (False, False, False), "cat": (True, False, True), "one": (False, False, False)}
+
+
+def test_display_names(spark):
+    assert D.display_names("成员设计名 类型 中文名\nabc int 数量\nde string 名称 x\n\n") == {"abc": "数量", "de": "名称"}
+    assert D.display_names("amount：金额\nprice: 价格: 元\na=b\n无") == {"amount": "金额", "price": "价格: 元"}
+    assert D.renamed(spark.createDataFrame([(1, 2, 3)], "a int, b int, c int"), {"a": "x", "b": "x"}).columns == ["x", "x (b)", "c"]
+
+
+def test_insights(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = D.insights(
+        make([("e1", 150), ("e2", 20)], "entity string, n long"), make([("a", "b", 9, 4.0)], "a string, b string, n long, pmi double"), make([("positive", 6), ("negative", 1), ("neutral", 3)], "label string, n long"),
+        make([("c1", 60, 0.6, "p q r"), ("c2", 40, 0.4, "p s t")], "label string, size long, share double, words string"), make([("t", 30.0, 10.0), ("u", 1.0, 10.0)], "entity string, recent double, earlier double"), make([("m", "2024-01-05")], "entity string, date string").withColumn("date", F.to_timestamp("date")),
+    )
+    rows = {(r.kind, r.subject): (round(r.score, 3), r.priority) for r in got.collect()}
+    assert rows[("hot_entity", "e1")] == (1.0, "high") and rows[("hot_entity", "e2")] == (0.2, "medium") and rows[("strong_association", "a ~ b")] == (0.8, "high")
+    assert rows[("sentiment", "positive")] == (0.6, "high") and rows[("main_cluster", "c1")] == (0.6, "high") and rows[("contrast", "c1 / c2")] == (0.667, "medium")
+    assert rows[("trend", "t")] == (1.0, "high") and ("trend", "u") not in rows and rows[("sentiment_shift", "m 2024-01-05")] == (0.7, "high")
