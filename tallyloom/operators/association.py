@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
 from tallyloom.functions import mathx
+from tallyloom.functions.tables import running
 from tallyloom.operators import profile as P
 from tallyloom.operators import quality as Q
 
@@ -43,12 +44,7 @@ def redundant(df: DataFrame, cols: list[str]) -> DataFrame:
 def average_rank(df: DataFrame, col: str, to: str) -> DataFrame:
     """Rank with the mean rank for ties. Ranks come from counts by value, so equal values never pile up in a window; the
     running sum is over distinct values, dealt in ranges."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_k"))
-    ranged = counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
-    ranged = ranged.persist()  # its ranges must not move between the two reads
-    totals = ranged.groupBy("_p").agg(F.sum("_k").alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.join(F.broadcast(totals), "_p").withColumn(to, F.col("_base") + F.sum("_k").over(inside) - (F.col("_k") - 1) / 2)
+    placed = running(df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_k")), "_v").withColumn(to, F.col("_hi") - (F.col("_k") - 1) / 2)
     return df.join(placed.select("_v", to), df[col] == F.col("_v"), "left").drop("_v")
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import zlib
 from collections import defaultdict, deque
 from itertools import count
@@ -15,19 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder named in spark.checkpoint.dir and read again: iterations keep a short lineage
-    that survives lost executors. Only where that is unset, as in tests, a folder of this machine serves."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tallyloom-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tallyloom.functions.tables import settle
 
 
 def undirected(edges: DataFrame) -> DataFrame:

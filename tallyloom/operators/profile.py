@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
+from tallyloom.functions.tables import exact_quartiles
 from tallyloom.functions.mathx import k2, shapiro
 
 
@@ -62,12 +63,14 @@ def summary(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
         F.count("*").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
-        C.quartiles(exact=exact).alias("q"),
+        *([] if exact else [C.quartiles(exact=False).alias("q")]),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         C.sample_skew().alias("skew"),
         C.sample_kurtosis().alias("kurtosis"),
     )
+    if exact:
+        out = out.join(F.broadcast(exact_quartiles(held)), "column")  # a row a column
     return out.select("column", "n", "mean", "std", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "min", "max", "skew", "kurtosis")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
+from tallyloom.functions.tables import exact_quartiles
 from tallyloom.operators import profile as P
 
 WEIGHTS = {"completeness": 0.25, "accuracy": 0.25, "consistency": 0.20, "timeliness": 0.15, "uniqueness": 0.15}
@@ -37,7 +38,10 @@ def missing(df: DataFrame) -> DataFrame:
 def bounds(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """Outlier bounds by column: 1.5 interquartile ranges beyond the quartiles; columns without spread are left out."""
     held = C.long_form(df, cols).where(F.col("value").isNotNull())
-    q = held.groupBy("column").agg(F.count("*").alias("n"), C.quartiles(exact=exact).alias("q"))
+    if exact:
+        q = held.groupBy("column").agg(F.count("*").alias("n")).join(F.broadcast(exact_quartiles(held)), "column")  # a row a column
+    else:
+        q = held.groupBy("column").agg(F.count("*").alias("n"), C.quartiles(exact=False).alias("q"))
     iqr = F.col("q")[2] - F.col("q")[0]
     return q.where(iqr > 0).select("column", "n", (F.col("q")[0] - 1.5 * iqr).alias("low"), (F.col("q")[2] + 1.5 * iqr).alias("high"), iqr.alias("iqr"))
 

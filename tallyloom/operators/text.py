@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
-from tallyloom.operators.graph import settle
+from tallyloom.functions.tables import settle
 
 
 def corpus(df: DataFrame, text: str, key: str) -> DataFrame:
