@@ -28,9 +28,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tallyloom.llm.common import small, table
 from tallyloom.llm.tokens import slices
@@ -277,19 +278,23 @@ def enriched(clean: Counter, toxic: Counter) -> list[str]:
     return sorted((w for w in toxic if any(u in good for u in units(w)) and toxic[w] / n1 >= LEAST_RATIO * clean[w] / n0), key=lambda w: (-toxic[w], w))
 
 
-def sentences(rows: list[tuple[str, int]]) -> tuple[list[list[str]], list[list[str]]]:
-    """The words of the distinct clean and of the distinct toxic sentences."""
+def cut_up(text: str) -> list[tuple[int, str]]:
+    """A text's sentences that hold words: a hash of each as it is written, and its words with a 0 between them."""
+    return [(xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1, "\0".join(words)) for s in re.split(r"[.!?\n]+", text) if (words := plain_words(s))]
+
+
+def sentences(rows: list[tuple[list[tuple[int, str]], int]]) -> tuple[list[list[str]], list[list[str]]]:
+    """The words of the distinct clean and of the distinct toxic sentences, of cut up texts and their labels."""
     out: tuple[list, list] = ([], [])
-    seen: set[str] = set()
+    seen: set[int] = set()
     one: dict[str, str] = {}  # a word is held once
     for label in (0, 1):  # a sentence that is in a clean document is clean
-        for text, mark in rows:
+        for parts, mark in rows:
             if mark == label:
-                for s in re.split(r"[.!?\n]+", text):
-                    if s not in seen:
-                        seen.add(s)
-                        if found := plain_words(s):
-                            out[label].append([one.setdefault(w, w) for w in found])
+                for h, words in parts:
+                    if h not in seen:
+                        seen.add(h)
+                        out[label].append([one.setdefault(w, w) for w in words.split("\0")])
     return out
 
 
@@ -300,10 +305,11 @@ def chosen(bags: list[list[str]], value: dict[str, float], least: float = -np.in
     return Counter(dict(sorted(found.items(), key=lambda x: (-value[x[0]], x[0]))[:MOST_WORDS]))
 
 
-def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights of subsequences, bias, and the logistic fit over (1, most, second) of a document, on (text, label)."""
+def fit(rows: list[tuple[str, int]], parts: list[list[tuple[int, str]]] | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights of subsequences, bias, and the logistic fit over (1, most, second) of a document, on (text, label); parts
+    are the texts cut up, where that is done already."""
     none = np.zeros(CLASSES**4, np.float32), 0.0, np.array([-40.0, 0.0, 0.0])
-    clean, toxic = sentences(rows)
+    clean, toxic = sentences([(p, y) for p, (_, y) in zip(parts or [cut_up(t) for t, _ in rows], rows, strict=True)])
     if not clean or not toxic:
         return none
     held = [Counter(w for bag in bags for w in set(bag)) for bags in (clean, toxic)]
@@ -342,13 +348,21 @@ def held_out(key) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, key: str = "doc_id", text: str = "text"):
-    """Fits on the labelled rows of least hash that are not held out; toxic rows come first."""
+    """Fits on the labelled rows of least hash that are not held out; toxic rows come first. Tasks cut the texts into words;
+    the driver has the bounded sample."""
     marked = labels.select(F.col(key).alias("_k"), F.col("toxic").alias("_y")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col(key)))
     order = [F.xxhash64("_k"), F.col("_k"), F.col("_y")]
     # of either class so many rows: the rarer one would else be thin
     picked = marked.where("_y = 1").orderBy(*order).limit(sample // 3).unionByName(marked.where("_y = 0").orderBy(*order).limit(sample - sample // 3))
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.octet_length("_t") <= sample_bytes).join(F.broadcast(picked), "_k").select("_t", "_y").collect()
-    return fit(sorted((r._t, r._y) for r in rows))
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.octet_length("_t") <= sample_bytes).join(F.broadcast(picked), "_k").select("_t", "_y")
+
+    def run(batches):
+        for batch in small(batches):
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[{"h": h, "words": w} for h, w in cut_up(t)] for t in texts], pa.list_(pa.struct([("h", pa.int64()), ("words", pa.string())])))], names=["_t", "_y", "parts"])
+
+    held = sorted(((r._t, r._y, [(x.h, x.words) for x in r.parts]) for r in rows.mapInArrow(run, StructType([*rows.schema, StructField("parts", ArrayType(StructType([StructField("h", LongType()), StructField("words", StringType())])))])).collect()), key=lambda r: r[:2])
+    return fit([r[:2] for r in held], [r[2] for r in held])
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:

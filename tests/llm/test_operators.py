@@ -119,39 +119,50 @@ def test_character_grams_are_of_code_points():
 
 
 def test_toxicity(spark, odd, none):
-    d = "/root/testdata/sf0.01"
+    """Held-out rows: a constant answer has an area of 0.5 and a recall or a precision of 0."""
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = toxicity.train(docs, labels)
-    rows = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
-    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.85
-    assert all(0 <= r.score <= 1 for r in rows)
+    held = docs.join(labels.where(toxicity.held_out(F.col("doc_id"))).select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.score(held, model).join(labels, "doc_id").collect()
+    right = sum(r.predicted and r.toxic for r in rows)
+    assert right / sum(r.toxic for r in rows) > 0.8 and right / sum(r.predicted for r in rows) > 0.8
+    assert auc([(r.score, r.toxic) for r in rows]) > 0.9 and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(none, model).count() == 0
     flat = toxicity.train(none, labels)
     assert {r.predicted for r in toxicity.score(odd, flat).collect()} == {0}
     clean, bad = toxicity.rate("a nice day by the sea", *model[:2]), toxicity.rate("what an i d i o t and a m.o.r.o.n", *model[:2])
     assert bad[0] > clean[0]
-    assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in [r.doc_id for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()])
+
+
+def test_long_texts_are_rated_as_a_whole(monkeypatch):
+    """Blocks are cut where neither a word nor a row of single letters is."""
+    rng = np.random.default_rng(2)
+    w = rng.normal(size=toxicity.CLASSES**4).astype(np.float32)
+    text = " ".join("".join(rng.choice(list("abcdef"), int(n))) for n in rng.integers(1, 9, 3000)) + " i d i o t " + "x" * 500
+    whole = toxicity.rate(text, w, 0.1)
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    assert toxicity.rate(text, w, 0.1) == pytest.approx(whole, abs=1e-4)
 
 
 def test_word_scores_equal_the_kernel():
     rng = np.random.default_rng(1)
     w = rng.normal(size=toxicity.CLASSES**4).astype(np.float32)
-    text = "abcdefg hijkl mno pqrstu"
+    text = "abcdefg hijkl mno pq u " + "xyz" * 40
     got = toxicity.word_scores(toxicity.letters(text), w, 0.5)
     want = []
     for word in text.split():
-        if len(word) < 4:
+        if len(word) < 2:
             continue
-        c = [ord(x) - 96 for x in word]
+        c = [toxicity.EDGE, *(ord(x) - 96 for x in word), toxicity.EDGE]
         total = 0.0
         for i in range(len(c)):
-            for x in range(i + 1, len(c)):
-                for y in range(x + 1, len(c)):
-                    for z in range(y + 1, len(c)):
-                        if z - i < toxicity.SPAN:
-                            total += w[((c[i] * 32 + c[x]) * 32 + c[y]) * 32 + c[z]] * toxicity.DECAY ** (z - i + 1)
-        want.append(total / toxicity.NORMS[len(c)] + 0.5)
-    assert np.allclose(got, want, atol=1e-4)
+            for x in range(i + 1, min(len(c), i + toxicity.SPAN)):
+                for y in range(x + 1, min(len(c), i + toxicity.SPAN)):
+                    for z in range(y + 1, min(len(c), i + toxicity.SPAN)):
+                        total += w[((c[i] * 32 + c[x]) * 32 + c[y]) * 32 + c[z]] * toxicity.DECAY ** (z - i + 1)
+        want.append(total / toxicity.norms(np.array([len(c)]))[0] + 0.5)
+    assert np.allclose(got, want, atol=1e-3)
 
 
 def test_token_store(spark, docs, odd, none, full, tmp_path):
