@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +61,16 @@ def small(batches: Iterator[pa.RecordBatch], size: int = UNPACKED) -> Iterator[p
         step = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for at in range(0, max(1, batch.num_rows), step):
             yield batch.slice(at, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what this worker no longer uses to the machine: workers serve many stages, and what one leaves behind would
+    be held beside the next one's tables."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
 
 
 class Store:

@@ -24,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, cut, partitions, small
+from tallyloom.llm.common import components, cut, give_back, partitions, small
 from tallyloom.llm.simhash import BITS, SEED, majority, shingle_hashes
 from tallyloom.llm.simhash import links as simhash_links
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 48, 7
 #: Shingles of a side of a tile.
-TILE = 1 << 19
+TILE = 1 << 18
 #: Sets in cells that are broadcast, 32 bytes each.
 MOST_BROADCAST = 1_000_000
 #: So many keys are remembered by a task, to write the text of copies once.
@@ -152,6 +152,8 @@ def links(held: DataFrame, distinct: DataFrame, words: int, least: float, tile:
                 group.append((key, side, some))
             yield made(done)
         yield made(pairs(group))
+        group.clear()
+        give_back()
 
     def pairs(group):
         if len(group) < 2:

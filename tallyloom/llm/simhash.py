@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, cut, partitions, small, table
+from tallyloom.llm.common import components, cut, give_back, partitions, small, table
 
 WORDS, BITS = 4, 4
 TILE = 4096
@@ -274,6 +274,8 @@ def links(fps: DataFrame, bits: int = BITS, n_blocks: int | None = None, tile: i
                 yield pairs(*linked_in_groups(edges, cols[3], cols[4].view(np.uint64), bits))
         if rest is not None:
             yield pairs(*linked_in_groups(np.array([0, len(rest[0])]), rest[3], rest[4].view(np.uint64), bits))
+            rest = None
+        give_back()
 
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
