@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import advice as D
+from tallyloom.operators import charts as CH
 from tallyloom.operators import facts as FA
 from tallyloom.operators import multitable as M
 from tallyloom.operators import rules as U
@@ -123,6 +124,20 @@ def _(s, d):
     return D.profiles(entities, next_one, line, themes)
 
 
+NUMBERS = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("k11_boxes_lineitem", union([f"SELECT '{c}' AS \"column\", round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, CAST(min({c}) FILTER ({c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS DOUBLE) AS low, CAST(max({c}) FILTER ({c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS DOUBLE) AS high, count(*) FILTER ({c} NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS q1, median({c}) AS median, quantile_cont({c}, 0.75) AS q3 FROM lineitem) GROUP BY q1, median, q3" for c in NUMBERS]))
+def _(s, d):
+    return rounded(CH.boxes(table(s, d, "lineitem"), list(NUMBERS)))
+
+
+@query("k11_chart_bars_part", "SELECT CASE WHEN r <= 5 THEN v ELSE 'other' END AS value, CAST(sum(n) AS BIGINT) AS n FROM (SELECT p_type AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1) GROUP BY 1")
+def _(s, d):
+    df = table(s, d, "part")
+    return CH.chart_data(df, FA.types_of(df))["bars of p_type"]()
+
+
 @query("p10_display_names", 'SELECT r_regionkey AS "Region", r_name AS "Name" FROM region')
 def _(s, d):
     return D.renamed(table(s, d, "region"), D.display_names("r_regionkey: Region\nr_name = Name\nunknown -> nothing"))

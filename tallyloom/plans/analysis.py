@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -17,6 +18,7 @@ from tallyloom.operators import quality as Q
 from tallyloom.operators import rules as U
 from tallyloom.operators import text as X
 from tallyloom.operators import timeseries as T
+from tallyloom.operators.charts import chart_data
 from tallyloom.sources import sinks
 
 
@@ -76,6 +78,9 @@ class Profile:
             out["date_rules"] = lambda: U.date_rules(df, times)
         return Results(out)
 
+    def charts(self) -> Results:
+        return Results(chart_data(self.df, self.types))
+
     def execute(self, scenario: str, **more: Any) -> DataFrame:
         return FA.execute(self.df, scenario, self.key, self.types, **more)
 
@@ -100,6 +105,13 @@ class Dataset:
     def profiles(self, **options: Any) -> dict[str, Profile]:
         return {name: Profile(df, **options) for name, df in self.tables.items()}
 
+    def report(self, most: int = 1000, **options: Any) -> str:
+        """One JSON document: relations, groups, and the results of the merged table and of every table."""
+        relations = self.relations()
+        merged = Profile(M.star_merge(self.tables, relations), **options)
+        results = {name: sinks.collect_small(p.run().frames(), most) for name, p in self.profiles(**options).items()}
+        return json.dumps({"relations": relations, "groups": M.groups(list(self.tables), relations), "merged": sinks.collect_small(merged.run().frames(), most), "tables": results}, ensure_ascii=False, default=str)
+
 
 class TextProfile:
     """Everything about a corpus."""

@@ -283,6 +283,20 @@ def test_chinese_tokens_entities_and_summaries(spark):
     assert O.summary_sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().summary == "今天天气很好我们出门。 今天天气很好他们回家。 今天天气很好大家开心。"
 
 
+def test_reports_and_charts_of_tables(spark):
+    import json
+
+    from tallyloom.plans.analysis import Dataset, Profile
+
+    made = Dataset({t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("nation", "region")}, [{"from_table": "nation", "from_col": "n_regionkey", "to_table": "region", "to_col": "r_regionkey"}])
+    told = json.loads(made.report())
+    assert set(told) == {"relations", "groups", "merged", "tables"} and set(told["tables"]) == {"nation", "region"} and told["groups"] == [["nation", "region"]]
+    assert len(told["merged"]["profile"]) == 5
+    charts = Profile(spark.read.parquet(f"{SF}/events.parquet")).charts()
+    assert {"boxes", "histogram of value", "bars of event_type", "line", "rolling", "weekdays", "months"} <= set(charts)
+    assert charts["boxes"]().count() >= 1 and charts["months"]().count() >= 1
+
+
 def test_chinese_sentiment(spark):
     texts = {"这个产品很好，非常满意": "positive", "太差了，垃圾产品": "negative", "今天天气不错": "positive", "": "neutral", "这个不好": "neutral", "not good": "neutral", "Great, I love it": "positive"}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
