@@ -134,7 +134,8 @@ def size_of(f) -> int:
 def write(docs: DataFrame, uri: str, path: str, key: str = "doc_id", text: str = "text") -> list[tuple[int, str, int, int]]:
     """Encodes and writes all rows in ascending order of key; (range, file, documents, ids) for every file.
 
-    A range of the order is a file. Its name depends on the range alone, so a repeated task replaces equal bytes.
+    A range of the order is a file. Its name depends on the range alone, so a repeated task replaces equal bytes. Ranges
+    look at the text's first letters too, so rows without an id, or with one id, are not all in one.
     """
     end = np.array([END], dtype="<u4").tobytes()
 
@@ -158,7 +159,7 @@ def write(docs: DataFrame, uri: str, path: str, key: str = "doc_id", text: str =
             ctx.__exit__(None, None, None)
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [docs_in], "ids": [ids_in]})
 
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(partitions(docs.sparkSession), "k").sortWithinPartitions("k", "t")
+    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(partitions(docs.sparkSession), "k", F.substring("t", 1, 64)).sortWithinPartitions("k", "t")
     return sorted(map(tuple, ordered.mapInArrow(files, "part long, file string, docs long, ids long").collect()))
 
 
