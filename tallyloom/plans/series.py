@@ -12,7 +12,7 @@ from tallyloom.operators import models as ML
 from tallyloom.operators import profile as P
 from tallyloom.operators import timeseries as T
 from tallyloom.plans.profiling import outlier_sql, profile_sql, rounded
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import ORACLE_SQL, query
 from tallyloom.session import table
 from tallyloom.streaming import events as Z
 
@@ -367,7 +367,8 @@ def _(s, d):
     return FA.scenarios(FA.facts(df, FA.types_of(df)))
 
 
-@query("i03_execute_outliers")
+#: Users' numbers have no outliers, so the records are those of the values.
+@query("i03_execute_outliers", ORACLE_SQL["u21_outlier_rows_events"])
 def _(s, d):
     df = table(s, d, "events")
     return rounded(FA.execute(df, "E2", ["event_id"], FA.types_of(df)))
