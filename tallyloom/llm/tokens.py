@@ -13,7 +13,7 @@ import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 #: Entries in a worker's table before it starts anew.
-TABLE = 200_000
+TABLE = 600_000
 #: NFC and lower case leave letters below this code point letters, one for one.
 SIMPLE_BELOW = "\u0250"
 #: Neither letters, digits, white space nor the apostrophe, which has rules of its own.
