@@ -35,9 +35,16 @@ REGISTRY: dict[str, dict[str, tuple[type | None, dict[str, Any]]]] = {
 }
 
 
+#: Models that are operators of their own here, and where.
+OWN: dict[str, dict[str, str]] = {
+    "classification": {"knn": "neighbours.predict", "adaboost": "boosting.adaboost"}, "regression": {"knn": "neighbours.predict", "svr": "margins.fit"},
+    "clustering": {"dbscan": "density.dbscan", "agglomerative": "summaries.ward_clusters", "birch": "summaries.birch", "spectral": "neighbours.spectral"}, "timeseries": {"arima": "timeseries.arima_forecast", "sarima": "seasonal.sarima_forecast"},
+}
+
+
 def available(task: str) -> list[str]:
-    """Models that can be trained here; ARIMA is the time-series operator's own."""
-    return [k for k, (cls, _) in REGISTRY[task].items() if cls or k == "arima"]
+    """Models that can be trained here, by a class of the library or an operator."""
+    return [k for k, (cls, _) in REGISTRY[task].items() if cls or k in OWN[task]]
 
 
 def recommended(task: str, rows: int, classes: int = 2) -> list[str]:

@@ -318,7 +318,7 @@ def _(s, d):
     return rounded(ML.regression_metrics(ML.predict(model, table(s, d, "part")), "p_retailprice", "prediction"), 4)
 
 
-@query("m05_registry", "SELECT * FROM (VALUES ('classification', 8), ('clustering', 3), ('regression', 8), ('timeseries', 1)) t(task, n)")
+@query("m05_registry", "SELECT * FROM (VALUES ('classification', 10), ('clustering', 7), ('regression', 10), ('timeseries', 2)) t(task, n)")
 def _(s, d):
     return s.createDataFrame([(t, len(ML.available(t))) for t in ML.REGISTRY], "task string, n int")
 
