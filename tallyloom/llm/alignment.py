@@ -5,7 +5,7 @@ itself). Byte offsets where tokens of both end cut a text into groups; tokens wh
 
 Texts are cut before a single space or line break that stands between two visible characters: neither vocabulary has a
 token across such a place (checked when B is read), so a chunk's tokens do not depend on what is around it, and a bounded
-table of chunks already seen does most of the work. New chunks are encoded together and aligned in NumPy: ends by
+table of chunks already seen does most of the work. New chunks are encoded in rows and aligned in NumPy: ends by
 cumsum, common cuts by intersect1d, group numbers by searchsorted, links by repeat. A document with a chunk whose bytes
 do not come back is encoded again as a whole, and has no tokens if its bytes do not come back either.
 
@@ -36,8 +36,10 @@ from tallyloom.llm.tokens import slices, vocabulary
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A pair of ids is a * 2^B_BITS + b.
 B_BITS = 15
-#: Bytes of known chunks in a worker before it starts anew.
-TABLE_BYTES = 96 << 20
+#: Bytes of known chunks in a worker before it drops the rarer half.
+TABLE_BYTES = 128 << 20
+#: Chunks that are encoded in a row, and letters of the longest of them.
+ROW, LONG = 1000, 200
 #: Pairs whose counts go to every task, at most; 12 bytes each.
 HOT_PAIRS = 1 << 20
 #: Distinct pairs a task holds before it passes its sums on.
@@ -81,23 +83,38 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.groups: list[bytes | None] = []  # None: the bytes do not come back
         self.counts = np.zeros((0, 4), dtype=np.int64)  # tokens of A, of B, groups, links
+        self.used = np.zeros(0, dtype=np.int64)  # documents that had it
         self.first = np.zeros(1, dtype=np.int64)  # of each chunk's links
         self.links = np.zeros(0, dtype=np.int32)
         self.held = 0
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+    def encode(self, chunks: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of each chunk by A and by B."""
+        a = [np.array(e.ids, dtype=np.int64) for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return a, [x if c[0] == " " else x[1:] for x, c in zip(b, chunks, strict=True)]
+        return a, [np.array(x if c[0] == " " else x[1:], dtype=np.int64) for x, c in zip(b, chunks, strict=True)]
+
+    def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and of B over the chunks in a row, their ends in bytes, and the chunks' ends; None where bytes do not
+        come back or a token lies across a chunk's end, so that the chunks have to be looked at one by one."""
+        text = "".join(chunks)
+        (a,), (b,) = self.encode([text])
+        raw = text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != raw:
+            return None
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends = np.cumsum([len(c) for c in chunks] if len(raw) == len(text) else [len(c.encode()) for c in chunks])
+        return (a, b, ends_a, ends_b, ends) if np.isin(ends, ends_a, kind="sort").all() and np.isin(ends, ends_b, kind="sort").all() else None
 
     def align(self, chunks: list[str]) -> tuple[list[bytes | None], np.ndarray, np.ndarray, np.ndarray]:
-        """For each chunk its groups as bytes and its counts, then where its links start, and all links as pairs."""
-        a, b = self.encode(chunks)
-        good = [b"".join([self.bytes_a[i] for i in x]) == (raw := c.encode()) == b"".join([self.bytes_b[i] for i in y]) for c, x, y in zip(chunks, a, b, strict=True)]
-        a, b = ([x if ok else [] for x, ok in zip(of, good, strict=True)] for of in (a, b))
-        n_a, n_b = (np.array([len(x) for x in of], dtype=np.int64) for of in (a, b))
-        ids_a, ids_b = (np.array([i for x in of for i in x], dtype=np.int64) for of in (a, b))
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        """For each chunk its groups as bytes and its counts, then where its links end, and all links as pairs."""
+        if (found := self.joined(chunks)) is None:
+            if len(chunks) == 1:
+                return [None], np.zeros((1, 4), dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+            half = len(chunks) // 2
+            one, two = self.align(chunks[:half]), self.align(chunks[half:])
+            return one[0] + two[0], np.concatenate([one[1], two[1]]), np.concatenate([one[2], len(one[3]) + two[2]]), np.concatenate([one[3], two[3]])
+        ids_a, ids_b, ends_a, ends_b, ends = found
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         starts_a, starts_b = ends_a - self.size_a[ids_a], ends_b - self.size_b[ids_b]
@@ -105,25 +122,45 @@ class Aligner:
         n = high - low  # tokens of B that each token of A overlaps
         link_b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         links = (np.repeat(ids_a, n) << B_BITS | ids_b[link_b]).astype(np.int32)
-        of_a = np.repeat(np.arange(len(chunks)), n_a)
-        n_links = np.bincount(of_a, weights=n, minlength=len(chunks)).astype(np.int64)
-        of_cut = of_a[np.searchsorted(ends_a, cuts)]
-        n_groups = np.bincount(of_cut, minlength=len(chunks))
+        of_a, of_b, of_cut = (np.searchsorted(ends, x) for x in (ends_a, ends_b, cuts))
+        count = lambda of, weights=None: np.bincount(of, weights=weights, minlength=len(chunks)).astype(np.int64)
+        n_groups, n_links = count(of_cut), count(of_a, n)
         at_a, at_b = (np.searchsorted(g, np.arange(len(cuts) + 1)).tolist() for g in (group_a, group_b))
         text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        said = [f"{','.join(text_a[at_a[k] : at_a[k + 1]])}|{','.join(text_b[at_b[k] : at_b[k + 1]])}" for k in range(len(cuts))]
+        said = [f"{text_a[i] if j == i + 1 else ','.join(text_a[i:j])}|{text_b[k] if m == k + 1 else ','.join(text_b[k:m])}" for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
         at = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        groups = [";".join(said[at[k] : at[k + 1]]).encode() if good[k] else None for k in range(len(chunks))]
-        return groups, np.stack([n_a, n_b, n_groups, n_links], axis=1), np.cumsum(n_links), links
+        groups = [";".join(said[i:j]).encode() for i, j in zip(at, at[1:], strict=False)]
+        return groups, np.stack([count(of_a), count(of_b), n_groups, n_links], axis=1), np.cumsum(n_links), links
 
     def learn(self, chunks: list[str]) -> None:
-        groups, counts, ends, links = self.align(chunks)
-        self.known |= {c: k for k, c in enumerate(chunks, len(self.groups))}
-        self.groups += groups
-        self.counts = np.concatenate([self.counts, counts])
-        self.first = np.concatenate([self.first, len(self.links) + ends])
-        self.links = np.concatenate([self.links, links])
-        self.held += sum(4 * len(c) for c in chunks) + sum(len(g or b"") for g in groups) + 4 * len(links) + 300 * len(chunks)
+        """Chunks that are a space or a line break and visible characters are encoded in a row, others one by one."""
+        even = [c for c in chunks if len(c) <= LONG and not UNEVEN.search(c, 1) and c[1:2].strip() and " " not in c[1:] and "\n" not in c[1:]]
+        odd = set(chunks).difference(even)
+        made = [self.align(even[k : k + ROW]) for k in range(0, len(even), ROW)] + [self.align([c]) for c in odd]
+        self.known |= {c: k for k, c in enumerate([*even, *odd], len(self.groups))}
+        links, at = [self.links], len(self.links)
+        first = [self.first]
+        for groups, _, ends, new in made:
+            self.groups += groups
+            first.append(at + ends)
+            links.append(new)
+            at += len(new)
+        self.counts = np.concatenate([self.counts, *(m[1] for m in made)])
+        self.used = np.concatenate([self.used, np.zeros(len(chunks), dtype=np.int64)])
+        self.first, self.links = np.concatenate(first), np.concatenate(links)
+        self.held += sum(map(len, chunks)) + sum(len(g or b"") for m in made for g in m[0]) + 4 * sum(len(m[3]) for m in made) + 350 * len(chunks)
+
+    def shrink(self) -> None:
+        """Keeps the half of the chunks that most documents had."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: len(self.used) // 2])
+        names = list(self.known)
+        n = self.first[keep + 1] - self.first[keep]
+        self.links = self.links[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[keep], n)]
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        self.counts, self.used = self.counts[keep], self.used[keep] // 2
+        self.groups = [self.groups[k] for k in keep.tolist()]
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.held = sum(map(len, self.known)) + sum(len(g or b"") for g in self.groups) + 4 * len(self.links) + 350 * len(keep)
 
     def document(self, chunks: list[str]) -> tuple:
         """n_a, n_b, n_groups, n_links, hash of the groups, distinct pairs and how often each is linked."""
@@ -131,6 +168,7 @@ class Aligner:
         groups = [self.groups[k] for k in of]
         if None not in groups:
             distinct, times = np.unique(np.array(of), return_counts=True)
+            self.used[distinct] += 1
             counts = times @ self.counts[distinct]
             n = self.first[distinct + 1] - self.first[distinct]
             links = self.links[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[distinct], n)]
@@ -148,10 +186,10 @@ class Aligner:
 
     def documents(self, texts: list[str]) -> list[tuple]:
         split = [chunks_of(" " + t) if t else [] for t in texts]
-        if self.held > TABLE_BYTES:
-            self.clear()
-        if new := list(dict.fromkeys(c for s in split for c in s if c not in self.known)):
-            self.learn(new)
+        while self.held > TABLE_BYTES and self.groups:
+            self.shrink()
+        if new := set().union(*split).difference(self.known):
+            self.learn(list(new))
         return [self.document(s) if s else NOTHING for s in split]
 
 

@@ -102,7 +102,7 @@ def test_alignment_of_odd_tables(odd, none, aligner, monkeypatch):
     assert alignment.linked(none, vocabulary(alignment.BYTE_BPE), vocabulary(alignment.PIECE_BPE)).count() == 0
     texts = ["some words here", "and others there", "some words again"] * 3
     want = [aligner.documents([t]) for t in texts]
-    monkeypatch.setattr(alignment, "TABLE_BYTES", 10)  # a table that starts anew each time changes nothing
+    monkeypatch.setattr(alignment, "TABLE_BYTES", 10)  # a table that is dropped each time changes nothing
     assert [aligner.documents([t]) for t in texts] == want
 
 
