@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
+from tallyloom.sources.workbook import read_workbook, typed
 
 #: Column names that hold dates, and name parts of columns that are rarely worth reading.
 DATE_NAMES = frozenset("date time datetime timestamp created_at updated_at create_time update_time order_date ship_date pay_date birth_date birthday start_date end_date start_time end_time visit_date register_date transaction_date due_date invoice_date".split())
-EXCLUDED = frozenset("password pwd remark memo attachment image photo picture blob guid uuid rowversion".split())
+EXCLUDED = frozenset("""tmstamp entrydt transferdt entrydate entrytime examine isdel synchronize isdelete deleted createuser updateuser createip updateip temp tmp bak
+backup sys system fwdate updatedate password pwd remark memo attachment image photo picture blob guid uuid rowversion""".split())
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 ENCODINGS = ("utf-8", "gb18030", "cp1252", "latin1")
 
@@ -36,12 +38,15 @@ def dates(df: DataFrame, names: frozenset[str] | set[str] = DATE_NAMES) -> DataF
     return df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in C.strings(df) if c.lower() in names})
 
 
-def excluded(name: str, words: frozenset[str] = EXCLUDED) -> bool:
-    return any(w in name.lower() for w in words)
+def excluded(name: str, words: frozenset[str] | set[str] = EXCLUDED, names: frozenset[str] | set[str] = frozenset()) -> bool:
+    """A name that holds one of the words, or is one of the names; letters in either case."""
+    low = name.lower()
+    return low in {n.lower() for n in names} or any(w.lower() in low for w in words)
 
 
-def without_excluded(df: DataFrame, words: frozenset[str] = EXCLUDED) -> DataFrame:
-    return df.select(*[c for c in df.columns if not excluded(c, words)])
+def without_excluded(df: DataFrame, words: frozenset[str] | set[str] = EXCLUDED, names: frozenset[str] | set[str] = frozenset()) -> DataFrame:
+    """df without those columns; `names` is the user's own list."""
+    return df.select(*[c for c in df.columns if not excluded(c, words, names)])
 
 
 def sniff_encoding(head: bytes) -> str:
@@ -60,15 +65,38 @@ def sniff_encoding(head: bytes) -> str:
 
 
 def head_of(spark: SparkSession, path: str, size: int = 10_000) -> bytes:
-    """The first bytes of a file or of the first file of a folder, through Spark."""
-    df = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, size).alias("head")).limit(1)
-    return bytes(df.first()["head"])
-
-
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, schema=None, parse_dates: bool = True, dropped: bool = False, multi_line: bool = True) -> DataFrame:
+    """The first bytes of a file, or of the first file of a folder or pattern, from an open stream: nothing else is read."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    waiting = sorted(fs.globStatus(at) or [], key=lambda s: s.getPath().toString(), reverse=True)
+    if not waiting:
+        raise FileNotFoundError(path)
+    while waiting:
+        status = waiting.pop()
+        if status.isDirectory():
+            inside = [s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith(("_", "."))]
+            waiting += sorted(inside, key=lambda s: s.getPath().toString(), reverse=True)
+        elif status.getLen() or not waiting:
+            stream = fs.open(status.getPath())
+            try:
+                return bytes(stream.readNBytes(size))
+            finally:
+                stream.close()
+    return b""
+
+
+def broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may hold a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, schema=None, parse_dates: bool = True, dropped: bool = False, multi_line: bool | None = None) -> DataFrame:
     """Delimited text with a header; fields may hold line breaks inside quotes. Lines that do not fit keep what fits and
-    have nulls for the rest; dropped=True leaves them out, and malformed() counts them. A schema saves the pass that infers
-    one; with one, multi_line=False lets one file be read by many tasks."""
+    have nulls for the rest; dropped=True leaves them out. Files are split among tasks unless a quoted line break is in
+    one, which a pass over the lines finds where multi_line does not say it. A schema saves the pass that infers one."""
+    multi_line = broken_lines(spark, path) if multi_line is None else multi_line
     reader = spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED" if dropped else "PERMISSIVE").option("encoding", encoding or sniff_encoding(head_of(spark, path))).option("multiLine", multi_line).option("escape", '"')
     return tidy((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path), parse_dates)
 
@@ -98,11 +126,12 @@ def from_json(spark: SparkSession, text: str) -> DataFrame:
     return lines.select(F.from_json("value", kind).alias("r")).select("r.*")
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A sheet, read on the driver: workbooks are small by nature. Needs one of pandas' Excel engines."""
-    import pandas as pd
-
-    return tidy(spark.createDataFrame(pd.read_excel(path, sheet_name=sheet)))
+def read_excel(spark: SparkSession, path: str, sheet: str | int | None = 0, parse_dates: bool = True) -> DataFrame:
+    """A sheet of a workbook or of a folder of workbooks (None: all sheets), a sheet a task; columns get the type that all
+    their values have. A file that is no workbook is read as delimited text."""
+    if head_of(spark, path, 2) != b"PK":
+        return read_txt(spark, path, parse_dates=parse_dates)
+    return tidy(typed(read_workbook(spark, path, sheet)), parse_dates)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, limit: int | None = None, order: str | None = None, **options: str) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.sources.workbook import write_book
+
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
@@ -75,9 +77,11 @@ def to_html(results: dict[str, DataFrame], title: str = "Report", most: int = 10
 
 
 def to_excel(results: dict[str, DataFrame], path: str, most: int = 10_000) -> None:
-    """A sheet a result; needs one of pandas' Excel engines."""
-    import pandas as pd
-
-    with pd.ExcelWriter(path) as book:
-        for name, rows in collect_small(results, most).items():
-            pd.DataFrame(rows).to_excel(book, sheet_name=name[:31], index=False)
+    """A sheet a result, of small results; write_workbooks is for large ones."""
+    tables = []
+    for name, rows in collect_small(results, most).items():
+        cols = list(dict.fromkeys(k for r in rows for k in r))
+        flat = [[json.dumps(v, ensure_ascii=False) if isinstance(v, list | dict) else v for v in map(r.get, cols)] for r in rows]
+        tables.append((name, cols, iter(flat)))
+    with open(path, "wb") as f:
+        write_book(f, tables)
