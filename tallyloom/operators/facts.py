@@ -72,8 +72,8 @@ def execute(df: DataFrame, scenario: str, key: list[str], types: dict[str, str],
     table = {
         "A1": lambda: P.profile(df), "A2": lambda: P.profile(df), "A3": lambda: Q.score(df, cont, times[0] if times else None, more.get("as_of", "1970-01-01")), "B1": lambda: A.high_correlations(df, cont, 0.3),
         "B2": lambda: A.categorical_pairs(df, cats), "B3": lambda: A.eta_squared(df, cats[0], cont[0]), "B5": lambda: A.redundant(df, cont), "C1": lambda: T.trend_line(series()), "C2": lambda: T.seasonal(df, times[0]), "C3": lambda: T.drift_forecast(series()),
-        "C4": lambda: T.anomalous_dates(df, times[0], cont[:5]), "D1": lambda: segments(df, cont)[1], "D3": lambda: Q.concentration(df, cats), "E1": lambda: U.violations(df, key, more["rules"]), "E2": lambda: Q.outlier_rows(df, cont, key),
-        "E3": lambda: Q.missing_patterns(df, key[0], df.columns), "E4": lambda: Q.duplicate_rows(df, key), "F4": lambda: P.summary(df, cont).where(F.abs("skew") > 1), "F5": lambda: T.anomalous_dates(df, times[0], cont[:5]),
+        "C4": lambda: T.anomalous_dates(df, times[0], cont), "D1": lambda: segments(df, cont)[1], "D3": lambda: Q.concentration(df, cats), "E1": lambda: U.violations(df, key, more["rules"]), "E2": lambda: Q.outlier_rows(df, cont, key),
+        "E3": lambda: Q.missing_patterns(df, key[0], df.columns), "E4": lambda: Q.duplicate_rows(df, key), "F4": lambda: P.summary(df, cont).where(F.abs("skew") > 1), "F5": lambda: T.anomalous_dates(df, times[0], cont),
         "A4": lambda: M.discover(more["tables"], more.get("strip_prefix", False)), "B4": lambda: M.discover(more["tables"], more.get("strip_prefix", False)).select("from_table", "to_table", "relation_type", "common"),
         "D2": lambda: roles_in_models(df, types), "F1": lambda: P.profile(df.select(*of("text"))) if of("text") else P.profile(df).limit(0), "F2": lambda: P.identifiers(df, of("identifier")),
         "F3": lambda: M.common_keys(df, more["tables"][more["other"]], more["key"], more["other_key"]),
@@ -136,12 +136,23 @@ def caption(kind: str, column: str, r: dict[str, Any]) -> str:
     return f"{column} goes {r['direction']} by {r['slope']:g} a step (r2 {r['r2']:.2f})."
 
 
-def intent(text: str, columns: list[str]) -> dict[str, Any]:
-    """What a request asks for, and the values that it names, by patterns."""
-    low = text.lower()
-    kind = next((k for k, words in {"predict": ("predict", "forecast", "estimate"), "query": ("show", "list", "which", "how many"), "explain": ("why", "explain")}.items() if any(w in low for w in words)), "other")
-    values = {c: m[1] for c in columns if (m := re.search(rf"{re.escape(c.lower())}\s*(?:=|is|of|:)\s*([-\w.]+)", low))}
-    return {"intent": kind, "values": values}
+#: Words of a request and what it asks for, the first that fits; fixed values.
+INTENTS = {"predict": ("predict", "forecast", "estimate"), "query": ("show", "list", "which", "how many"), "explain": ("why", "explain")}
+
+
+def intents(requests: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """requests with `intent` and `values`, a map from a column's name to the value that the text gives it, by patterns."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    kind = F.coalesce(*[F.when(low.rlike("|".join(words)), k) for k, words in INTENTS.items()], F.lit("other"))
+    named = [F.struct(F.lit(c).alias("key"), F.regexp_extract(low, rf"{re.escape(c.lower())}\s*(?:=|is|of|:)\s*([-\w.]+)", 1).alias("value")) for c in columns]
+    values = F.map_from_entries(F.filter(F.array(*named), lambda x: x["value"] != "")) if named else F.create_map().cast("map<string,string>")
+    return requests.withColumns({"intent": kind, "values": values})
+
+
+def intent(spark, text: str, columns: list[str]) -> dict[str, Any]:
+    """One request."""
+    r = intents(spark.createDataFrame([(text,)], "text string"), "text", columns).first()
+    return {"intent": r["intent"], "values": r["values"]}
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

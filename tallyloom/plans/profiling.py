@@ -340,7 +340,8 @@ def _(s, d):
 
 @query("s21_demo_sales")
 def _(s, d):
-    return R.demo(s)
+    """A made-up sale for each order, by the order's number."""
+    return R.demo(s, ids=table(s, d, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 @query("tidy_numbers", "SELECT count(value) AS n FROM events")

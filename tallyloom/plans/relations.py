@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import association as A
 from tallyloom.operators import multitable as M
+from tallyloom.operators import profile as P
 from tallyloom.operators import rules as U
-from tallyloom.plans.profiling import LINE, rounded, union
+from tallyloom.plans.profiling import LINE, profile_sql, rounded, union
 from tallyloom.plans.registry import query
 from tallyloom.session import table
 
@@ -173,9 +174,12 @@ def _(s, d):
     return M.discover({t: table(s, d, t) for t in TABLES})
 
 
-@query("j07_table_groups", "SELECT * FROM (VALUES ('customer,nation,orders,region'), ('supplier')) t(tables)")
+@query("j07_table_groups", f"""WITH RECURSIVE l AS (SELECT from_table AS a, to_table AS b FROM ({union([relation_sql(*r) for r in LINKS])}) WHERE common > 0), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT t, t FROM (VALUES {', '.join(f"('{t}')" for t in TABLES)}) v(t)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a, min(b) AS root FROM r GROUP BY 1) SELECT string_agg(a, ',' ORDER BY a) AS tables FROM g GROUP BY root""")
 def _(s, d):
-    return s.createDataFrame([(",".join(g),) for g in M.groups(list(TABLES), RELATIONS)], "tables string")
+    """Tables that relations found between their values connect."""
+    found = M.discover({t: table(s, d, t) for t in TABLES}, strip_prefix=True).collect()
+    return s.createDataFrame([(",".join(g),) for g in M.groups(list(TABLES), [r.asDict() for r in found])], "tables string")
 
 
 @query("j09_join_on_id", "SELECT d.doc_id, quality, toxic, n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
@@ -183,9 +187,10 @@ def _(s, d):
     return table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("doc_id", "quality", "toxic", "n_chars")
 
 
-@query("j11_merged_types", "SELECT * FROM (VALUES ('c_custkey', 'continuous'), ('paid', 'continuous'), ('user_id', 'identifier')) t(\"column\", semantic_type)")
+@query("j11_merged_types", f"""SELECT "column", CASE WHEN regexp_matches("column", '(^|_)(id|code|key)(_|$)') THEN 'identifier' ELSE semantic_type END AS semantic_type FROM ({profile_sql('orders')} UNION ALL {profile_sql('events')})""")
 def _(s, d):
-    merged = M.merged_types({"a": {"c_custkey": "continuous", "paid": "continuous"}, "b": {"user_id": "text", "paid": "text"}})
+    """Types of the columns of two tables, each by its own values, as a merged table would have them."""
+    merged = M.merged_types({t: {r["column"]: r["semantic_type"] for r in P.profile(table(s, d, t)).collect()} for t in ("orders", "events")})
     return s.createDataFrame(list(merged.items()), "column string, semantic_type string")
 
 

@@ -126,10 +126,14 @@ def _(s, d):
     return rounded(T.diagnose(daily(s, d)))
 
 
-@query("t06_verdict", "SELECT * FROM (VALUES (true, true, 'model directly'), (true, false, 'white noise'), (false, true, 'difference first'), (false, false, 'no structure')) t(stationary, correlated, verdict)")
+@query("t06_verdict", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS r, lag(value) OVER (PARTITION BY entity ORDER BY date) AS p FROM ({DAILY})),
+c AS (SELECT entity, coalesce(abs(avg(value) FILTER (r <= 7) / avg(value) FILTER (r > 7) - 1) < 0.02, false) AS stationary, coalesce(abs(corr(value, p)) > 0.1, false) AS correlated FROM r GROUP BY 1)
+SELECT entity, stationary, correlated, CASE WHEN stationary AND correlated THEN 'model directly' WHEN stationary THEN 'white noise' WHEN correlated THEN 'difference first' ELSE 'no structure' END AS verdict FROM c""")
 def _(s, d):
-    cases = s.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "stationary boolean, correlated boolean")
-    return cases.withColumn("verdict", T.verdict(F.col("stationary"), F.col("correlated")))
+    """Series whose last week keeps the level, and whose neighbouring days go together."""
+    level = T.recent_against_earlier(daily(s, d)).select("entity", F.coalesce(F.abs(F.col("recent") / F.col("earlier") - 1) < 0.02, F.lit(False)).alias("stationary"))
+    both = level.join(T.autocorrelation(daily(s, d), 1).select("entity", F.coalesce(F.abs("r") > 0.1, F.lit(False)).alias("correlated")), "entity")
+    return both.withColumn("verdict", T.verdict(F.col("stationary"), F.col("correlated")))
 
 
 @query("t14_arima_forecast")
@@ -232,9 +236,14 @@ def _(s, d):
     return G.merge_entities(p, none)[0].select("key", "name", "kind", F.size("attributes").cast("long").alias("n"))
 
 
-@query("x45_hierarchy", "SELECT * FROM (VALUES ('a', 'a', 0), ('b', 'a/b', 1), ('c', 'a/b/c', 2), ('d', 'a/d', 1)) t(id, path, depth)")
+@query("x45_hierarchy", """WITH t AS (SELECT 'r' || r_regionkey AS id, 'r' || r_regionkey AS path, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey || '/n' || n_nationkey, 1 FROM nation
+UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey || '/n' || n_nationkey || '/c' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT id, path, CAST(depth AS INTEGER) AS depth FROM t""")
 def _(s, d):
-    t = s.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("x", "y"), ("y", "x")], "id string, parent string")
+    """Customers under nations under regions."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    t = table(s, d, "region").select(name("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
+    t = t.unionByName(table(s, d, "nation").select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("parent")))
+    t = t.unionByName(table(s, d, "customer").select(name("c", "c_custkey").alias("id"), name("n", "c_nationkey").alias("parent")))
     return G.hierarchy(t).select("id", F.array_join("path", "/").alias("path"), "depth")
 
 
@@ -318,9 +327,11 @@ def _(s, d):
     return rounded(ML.regression_metrics(ML.predict(model, table(s, d, "part")), "p_retailprice", "prediction"), 4)
 
 
-@query("m05_registry", "SELECT * FROM (VALUES ('classification', 10), ('clustering', 7), ('regression', 10), ('timeseries', 2)) t(task, n)")
+@query("m05_registry", "SELECT event_type, CASE WHEN n < 1000 THEN 'logistic,tree,naive_bayes,forest,mlp' ELSE 'forest,logistic,tree,naive_bayes,mlp' END AS classifiers, CASE WHEN n < 1000 THEN 'linear,elastic_net,tree,gbt,forest' ELSE 'gbt,forest,linear,elastic_net,tree' END AS regressors FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def _(s, d):
-    return s.createDataFrame([(t, len(ML.available(t))) for t in ML.REGISTRY], "task string, n int")
+    """Models to try on the rows of each type of event."""
+    n = table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).collect()
+    return s.createDataFrame([(r.event_type, ",".join(ML.recommended("classification", r.n, 3)), ",".join(ML.recommended("regression", r.n))) for r in n], "event_type string, classifiers string, regressors string")
 
 
 @query("m07_grid_search")
@@ -400,9 +411,19 @@ def _(s, d):
     return s.createDataFrame([(q,) for q in FA.questions(FA.types_of(table(s, d, "orders")))], "question string")
 
 
-@query("i14_angles", "SELECT * FROM (VALUES ('trend'), ('contrast'), ('forecast'), ('anomaly'), ('association')) t(angle)")
+def angles_sql(name: str) -> str:
+    return f"""WITH t AS (SELECT count(*) FILTER (semantic_type = 'datetime') AS d, count(*) FILTER (semantic_type = 'continuous') AS c, count(*) FILTER (semantic_type = 'categorical') AS g FROM ({profile_sql(name)}))
+SELECT unnest(list_filter([CASE WHEN d > 0 AND c > 0 THEN 'trend' END, CASE WHEN g > 0 AND c > 0 THEN 'contrast' END, CASE WHEN c > 1 THEN 'correlation' END, CASE WHEN d > 0 AND c > 0 THEN 'forecast' END, CASE WHEN c > 0 THEN 'anomaly' END, CASE WHEN g > 1 THEN 'association' END], lambda x: x IS NOT NULL)) AS angle FROM t"""
+
+
+@query("i14_angles", angles_sql("orders"))
+def _(s, d):
+    return s.createDataFrame([(a,) for a in FA.angles(FA.types_of(table(s, d, "orders")))], "angle string")
+
+
+@query("i14_angles_events", angles_sql("events"))
 def _(s, d):
-    return s.createDataFrame([(a,) for a in FA.angles({"a": "datetime", "b": "continuous", "c": "categorical", "d": "categorical"})], "angle string")
+    return s.createDataFrame([(a,) for a in FA.angles(FA.types_of(table(s, d, "events")))], "angle string")
 
 
 @query("i13_compare", f"SELECT a.\"column\", a.n AS n_a, a.missing_pct AS missing_pct_a, a.n_unique AS n_unique_a, b.n AS n_b, b.missing_pct AS missing_pct_b, b.n_unique AS n_unique_b FROM ({profile_sql('orders')}) a JOIN ({profile_sql('orders').replace('FROM orders', 'FROM (SELECT * FROM orders WHERE o_custkey < 300)')}) b ON a.\"column\" = b.\"column\"")
@@ -425,10 +446,11 @@ def _(s, d):
     return s.createDataFrame([(FA.caption("histogram", "value", r),), (FA.caption("bar", "event_type", m),)], "caption string")
 
 
-@query("i12_intent", "SELECT 'predict' AS intent, 'price' AS field, '12.5' AS value")
+@query("i12_intent", """SELECT intent, coalesce(value, '') AS value, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(text), 'predict|forecast|estimate') THEN 'predict' WHEN regexp_matches(lower(text), 'show|list|which|how many') THEN 'query' WHEN regexp_matches(lower(text), 'why|explain') THEN 'explain' ELSE 'other' END AS intent, regexp_extract(lower(text), 'the\\s*(?:=|is|of|:)\\s*([-a-z0-9_.]+)', 1) AS value FROM (SELECT coalesce(text, '') AS text FROM conversations)) GROUP BY 1, 2""")
 def _(s, d):
-    got = FA.intent("Please predict the amount when price is 12.5", ["price", "size"])
-    return s.createDataFrame([(got["intent"], k, v) for k, v in got["values"].items()], "intent string, field string, value string")
+    """What each turn of a conversation asks for, and what it says `the` is."""
+    said = FA.intents(table(s, d, "conversations"), "text", ["the"])
+    return said.groupBy("intent", F.coalesce(F.col("values")["the"], F.lit("")).alias("value")).agg(F.count("*").alias("n"))
 
 
 @query("i15_named_results", "SELECT * FROM (VALUES ('duplicates'), ('facts'), ('missing'), ('modes'), ('outliers'), ('profile'), ('scenarios'), ('score'), ('series'), ('diagnostics'), ('trend'), ('suggestions'), ('summary'), ('top_values'), ('concentration')) t(name)")

@@ -185,9 +185,9 @@ def read_many(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
     return out
 
 
-def demo(spark: SparkSession, rows: int = 5000, seed: int = 42) -> DataFrame:
-    """A sales table of made-up rows that depend on the seed alone."""
+def demo(spark: SparkSession, rows: int = 5000, seed: int = 42, ids: DataFrame | None = None) -> DataFrame:
+    """A sales table of made-up rows that depend on the seed and their id alone; ids (id) where they are given."""
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(len(names))) + 1).cast("int"))
     u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1_000_000)) / 1_000_000
-    base = spark.range(rows).select("id", F.date_add(F.lit("2023-01-01").cast("date"), (u(1) * 730).cast("int")).cast("timestamp").alias("sale_date"), pick(["books", "toys", "food", "clothes", "tools"], 2).alias("category"), pick(["north", "south", "east", "west"], 3).alias("region"), (u(4) * 100 + 50).cast("int").alias("quantity"), F.round(u(5) * 90 + 10, 2).alias("unit_price"), pick([0.0, 0.05, 0.1, 0.2], 6).alias("discount"))
+    base = (spark.range(rows) if ids is None else ids).select("id", F.date_add(F.lit("2023-01-01").cast("date"), (u(1) * 730).cast("int")).cast("timestamp").alias("sale_date"), pick(["books", "toys", "food", "clothes", "tools"], 2).alias("category"), pick(["north", "south", "east", "west"], 3).alias("region"), (u(4) * 100 + 50).cast("int").alias("quantity"), F.round(u(5) * 90 + 10, 2).alias("unit_price"), pick([0.0, 0.05, 0.1, 0.2], 6).alias("discount"))
     return base.withColumn("amount", F.round(F.col("quantity") * F.col("unit_price") * (1 - F.col("discount")), 2))
