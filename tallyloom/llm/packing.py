@@ -5,6 +5,10 @@ lengths says how often to use each filling pattern; a knapsack dynamic program p
 patterns and an exact fill of what they leave become sequences; pieces, ranked inside their length class, take the
 patterns' places by rank. Only the histogram (a row per length class) and the ranges' totals reach the driver.
 
+Where the patterns leave much room, as where most remainders are just over half a sequence, pieces of the wasteful
+patterns are cut again: heads as long as the room that the others leave, and a tail, which are classes of their own in
+the next program. Cut pieces get their checksums from their texts, encoded once more; without cuts there is no such pass.
+
 Classes are one token wide up to FINE tokens and twice as wide each time the length doubles, so rounding to the upper
 end, which patterns count and which makes their pieces fit, costs under 1 in FINE of a piece and nothing of a short one.
 
@@ -34,6 +38,8 @@ WIDEST = 16
 GAP = 2e-3
 #: The share of the best prices so far in the prices that patterns are sought with.
 PULL = 0.8
+#: Pieces are cut again while sequences are over this share more than tokens fill, at most so many times; the shortest head.
+SLACK, CUT_ROUNDS, SHORTEST = 0.02, 6, 16
 Pattern = tuple[tuple[int, int], ...]  # (class, pieces), by class
 
 
@@ -190,23 +196,88 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[Pattern, int]]:
     return [(tuple(sorted((int(sizes[i]), c) for i, c in column.items())), k) for column, k in whole + fill_rest(sizes, left, room)]
 
 
+def recut(left: dict[int, int], patterns: list[tuple[Pattern, int]], room: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(size, pieces, parts): of each pattern that leaves room, a share of its sequences gives up its largest pieces that
+    are not cut yet, and these are cut into heads that fill what the rest of its sequences leave."""
+    out, left = [], dict(left)
+    for pattern, times in sorted(patterns, key=lambda p: -p[1] * (room - sum(s * c for s, c in p[0]))):
+        free = room - sum(s * c for s, c in pattern)
+        whole = [(s, c) for s, c in pattern if left.get(s) and s > free]
+        if free < SHORTEST or not whole:
+            continue
+        size, held = whole[-1]
+        heads = size // free
+        n = min(left[size], round(held * times / (1 + held * heads)))
+        if n:
+            out.append((size, n, (free,) * heads + ((size - heads * free,) if size % free else ())))
+            left[size] -= n
+    return out
+
+
+def plan_with_cuts(histogram: dict[int, int], room: int) -> tuple[list[tuple[Pattern, int]], list[tuple[int, int, tuple[int, ...]]]]:
+    """Patterns, and which pieces to cut again into which parts."""
+    best, cuts = plan(histogram, room), []
+    count, uncut = dict(histogram), dict(histogram)
+    least = -(-sum(s * n for s, n in histogram.items()) // room)
+    for _ in range(CUT_ROUNDS):
+        used = sum(times for _, times in best)
+        if used <= least * (1 + SLACK):
+            break
+        more = recut(uncut, best, room)
+        tried, still = dict(count), dict(uncut)
+        for size, n, parts in more:
+            tried[size] -= n
+            still[size] -= n
+            for x in parts:
+                tried[x] = tried.get(x, 0) + n
+        new = plan({s: n for s, n in tried.items() if n}, room) if more else best
+        if sum(times for _, times in new) >= used:
+            break
+        best, cuts, count, uncut = new, [*cuts, *more], tried, still
+    return best, cuts
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece: full ones, then the remainder."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, mark) of every piece: full ones, then the remainder. mark is a hash
+    of the text."""
     tail = np.array([end], dtype="<u4").tobytes()
-    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "mark")
 
     def cut_up(batches):
         for batch in small(batches):
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            keys, texts, marks = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
             for a, b in slices(texts):
                 rows = []
-                for k, ids in zip(keys[a:b], encoder(path).ids(texts[a:b]), strict=True):
+                for k, m, ids in zip(keys[a:b], marks[a:b], encoder(path).ids(texts[a:b]), strict=True):
                     ids += tail
                     n = len(ids) // 4
-                    rows += [(k, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
+                    rows += [(k, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), n, m) for s in range(0, n, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=list(names))
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut_up, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text).alias("mark")).mapInArrow(cut_up, ", ".join(f"{n} long" for n in names))
+
+
+def checksums(docs: DataFrame, parts: DataFrame, path: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """parts (doc_id, mark, start, length, ...) with ids_crc32, from the texts that they are of."""
+    tail = np.array([end], dtype="<u4").tobytes()
+    same = lambda a, b: a["mark"].eqNullSafe(b["mark"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+    wanted = parts.select("doc_id", "mark", "start", "length").distinct()
+    known = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    held = known.join(wanted.select("doc_id", "mark").distinct(), same(known, wanted), "left_semi").dropDuplicates(["doc_id", "mark"])
+
+    def run(batches):
+        for batch in small(batches):
+            texts = [t or "" for t in batch.column(4).to_pylist()]
+            starts, lengths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            crc = []
+            for a, b in slices(texts):
+                crc += [zlib.crc32((ids + tail)[4 * s : 4 * (s + n)]) for ids, s, n in zip(encoder(path).ids(texts[a:b]), starts[a:b], lengths[a:b], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], names=["doc_id", "mark", "start", "length", "crc"])
+
+    met = wanted.join(held.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "text"), F.col("mark").eqNullSafe(F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "mark", "start", "length", "text")
+    found = cut(met.mapInArrow(run, "doc_id long, mark long, start long, length long, crc long"), "part-sums").toDF("_d", "_m", "_s", "_l", "crc")
+    on = F.col("mark").eqNullSafe(F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("start") == F.col("_s")) & (F.col("length") == F.col("_l"))
+    return parts.join(found, on).withColumn("ids_crc32", F.col("crc")).select(*parts.columns)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, fine: int = FINE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,9 +292,10 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, fine:
     for part, size, n in sorted(map(tuple, ranged.groupBy("_part", "size").agg(F.count("*")).collect())):
         bases.append((part, size, histogram.get(size, 0)))
         histogram[size] = histogram.get(size, 0) + n
+    patterns, cuts = plan_with_cuts(histogram, length)
     places: dict[int, list[tuple[int, int, int, int]]] = {}  # class -> (first rank, pieces a sequence, first sequence, place of the first)
     sequence = 0
-    for pattern, times in plan(histogram, length):
+    for pattern, times in patterns:
         at = 0
         for size, count in pattern:
             had = places.setdefault(size, [])
@@ -232,26 +304,58 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, fine:
             at += count
         sequence += times
     tables = {size: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for size, rows in places.items()}
+    # the last pieces of a class are the cut ones; parts come after the whole pieces of their class
+    kept = {s: n - sum(k for size, k, _ in cuts if size == s) for s, n in histogram.items()}
+    next_cut, next_rank = dict(kept), dict(kept)
+    groups: dict[int, list[tuple[int, int, list[tuple[int, int, int]]]]] = {}  # class -> (first rank, pieces, (offset, size, rank of the first) of each part)
+    for size, n, parts in cuts:
+        made, at = [], 0
+        for x in parts:
+            made.append((at, x, next_rank.get(x, 0)))
+            next_rank[x] = next_rank.get(x, 0) + n
+            at += x
+        groups.setdefault(size, []).append((next_cut[size], n, made))
+        next_cut[size] += n
     base = spark.createDataFrame(bases or [(0, 0, 0)], "_part int, size int, _base long")
     ranked = ranged.join(F.broadcast(base), ["_part", "size"]).withColumn("rank", F.col("_base") + F.row_number().over(Window.partitionBy("_part", "size").orderBy(*order[1:])) - 1)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "mark"]
+
+    def placed_at(size: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, count, start, at, _ = tables[size]
+        k = np.searchsorted(first, rank, side="right") - 1
+        within = rank - first[k]
+        return start[k] + within // count[k], at[k] + within % count[k]
 
     def assign(batches):
         for batch in batches:
             size, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("size", "rank"))
-            sequence_id, place = np.empty_like(rank), np.empty_like(rank)
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+
+            def rows(at, sequence_id, place, columns=columns, **other):
+                new = {c: pa.array(v) for c, v in other.items()}
+                return pa.RecordBatch.from_arrays([*(new.get(c, columns[c].take(pa.array(at))) for c in names), pa.array(sequence_id), pa.array(place), pa.array(np.full(len(at), bool(other)))], names=[*names, "sequence_id", "place", "part"])
+
             for s in np.unique(size).tolist():
-                rows = np.flatnonzero(size == s)
-                first, count, start, at, _ = tables[s]
-                k = np.searchsorted(first, rank[rows], side="right") - 1
-                within = rank[rows] - first[k]
-                sequence_id[rows] = start[k] + within // count[k]
-                place[rows] = at[k] + within % count[k]
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence_id), pa.array(place)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place"])
-
-    placed = ranked.mapInArrow(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
+                of = np.flatnonzero(size == s)
+                whole = of[rank[of] < kept[s]]
+                if len(whole):
+                    yield rows(whole, *placed_at(s, rank[whole]))
+                for low, n, parts in groups.get(s, ()):
+                    some = of[(rank[of] >= low) & (rank[of] < low + n)]
+                    starts, lengths = (columns[c].take(pa.array(some)).to_numpy() for c in ("start", "length"))
+                    for at, x, first in parts:
+                        here = np.minimum(x, lengths - at)  # a class holds pieces a little shorter than its name
+                        there = here > 0
+                        if there.any():
+                            to = placed_at(x, first + rank[some[there]] - low)
+                            yield rows(some[there], *to, start=starts[there] + at, length=here[there])
+
+    placed = ranked.mapInArrow(assign, ", ".join(f"{n} long" for n in [*names, "sequence_id", "place"]) + ", part boolean")
+    if cuts:
+        placed = cut(placed, "placed")
+        placed = placed.where(~F.col("part")).unionByName(checksums(docs, placed.where("part"), path, end, key, text))
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("place")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("place", "mark", "part")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,3 +200,40 @@ def test_long_texts_are_read_whole(monkeypatch):
     monkeypatch.setattr(languages, "STRETCH", 1000)
     assert ["".join(languages.stretches(p)) for p in parts] == parts
     assert sum(len(s) for p in languages.blocks(parts) for s in p[1]) == sum(map(len, parts))
+
+
+@pytest.mark.parametrize("sizes", [[1100], [700], [1300, 1500], [1030, 1200, 1390]])
+def test_pieces_are_cut_where_that_fills_sequences(spark, sizes):
+    """Remainders just over half a sequence, of rows with ids of their own, repeated ids, null ids and equal rows."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm import packing
+
+    words = ["alpha", "beta", "gamma", "delta", "house", "river"]
+    rows = [(None if i % 50 == 3 else i // 2 if i % 2 else i, " ".join(words[(i * 7 + k * (1 + i % 3)) % 6] for k in range(sizes[i % len(sizes)] - 1))) for i in range(400)]
+    rows += rows[:40] + [(7, None), (8, "")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("x")).repartition(5), vocabulary()).collect()
+    full = Tokenizer.from_file(vocabulary())
+    ids = [(d, np.array([*full.encode(t or "", add_special_tokens=False).ids, packing.END], dtype="<u4")) for d, t in rows]
+    # by document and text, each id is in exactly one piece as often as the row is repeated
+    want, cover = Counter(), Counter()
+    for d, x in ids:
+        want.update((d, zlib.crc32(x[: packing.LENGTH].tobytes()), k) for k in range(len(x)))
+    texts = {(d, len(x), zlib.crc32(x.tobytes())): x for d, x in ids}
+    for r in got:
+        whole = [k for k, x in texts.items() if k[0] == r.doc_id and k[1] == r.doc_tokens and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32]
+        assert whole
+        cover[r.doc_id, r.doc_tokens] += r.length
+    total = Counter()
+    for d, x in ids:
+        total[d, len(x)] += len(x)
+    assert cover == total and sum(r.length for r in got) == len(want) + sum(want.values()) - len(want)
+    used = Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    for s in used:
+        inside = sorted((r.offset, r.length) for r in got if r.sequence_id == s)
+        assert [o for o, _ in inside] == [sum(n for _, n in inside[:i]) for i in range(len(inside))]
+    assert max(used.values()) <= packing.LENGTH and sum(used.values()) / (len(used) * packing.LENGTH) > 0.95
