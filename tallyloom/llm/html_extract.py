@@ -36,7 +36,7 @@ from tallyloom.llm.common import cut, small, table
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video head".split())
-NEVER = RAW | frozenset("nav footer aside form dialog menu".split())
+NEVER = RAW | frozenset("nav footer aside dialog menu".split())
 CONTAINERS = frozenset("article main section div body td".split())
 #: What of RAW holds tags, and so may lack its end without taking the rest of the page with it.
 SHOWN, FOREIGN, UNSEEN = frozenset("button object".split()), frozenset("svg math".split()), frozenset("noscript template select canvas audio video".split())
@@ -51,6 +51,16 @@ NOT_ARTICLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w*|signup|login|menu|nav\w*|breadcrumbs?|side-?bar|widget|footer|masthead|toolbar|share|sharing|social|related|recommend\w*|more-stories|comments?|disqus|replies|respond|pagination|pager|skip-link|byline-tools|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words for what readers wrote: such a part is no article, however long it is.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])", re.IGNORECASE)
+#: Classes that tell how a page looks, not what a part of it is.
+STATES = re.compile(r"(?<![\w-])(?:has|no|with|without|is|show|hide)-[\w-]+|[\w-]*-(?:no|has|with)-[\w-]+|[\w-]+-(?:open|opened|closed|active|enabled|disabled|visible|collapsed|expanded|less)(?![\w-])", re.IGNORECASE)
+#: What is typed or picked in a form; a form around a page is hidden by these alone.
+CONTROLS = frozenset("label legend datalist output meter progress".split())
+#: Why a part is left out: by its class, id or place; by an attribute; by what it is.
+BY_NAME, BY_ATTRIBUTE, BY_TAG = 1, 2, 3
+#: The longest article or main element leads if it has this share of the unlinked letters.
+LEADS = 0.2
 #: A start tag to its end, quoted values whole; where a quote is never closed, to the first ">".
 OPEN = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>""")
 OPEN_BARE = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -64,10 +74,13 @@ LEAST_SHARE = 0.08
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "hidden", "linked", "depth", "weight", "within")
+    __slots__ = ("tag", "path", "parent", "hidden", "linked", "depth", "weight", "within", "why", "never", "readers")
 
-    def __init__(self, tag: str, path: int, parent: Node | None, hidden: bool, linked: bool):
-        self.tag, self.path, self.parent, self.hidden, self.linked = tag, path, parent, hidden, linked
+    def __init__(self, tag: str, path: int, parent: Node | None, why: int, linked: bool, readers: bool = False):
+        self.tag, self.path, self.parent, self.hidden, self.linked = tag, path, parent, False, linked
+        #: Why it is left out itself (0: it is not); whether it or what it lies in is by its tag, and what readers wrote.
+        self.why, self.never = why, why == BY_TAG or bool(parent and parent.never)
+        self.readers = readers or bool(parent and parent.readers)
         self.depth = parent.depth + 1 if parent else 0
         #: The nearest article, or else the nearest main, that it is or lies in.
         self.within = self if tag == "article" or tag == "main" and not (parent.within and parent.within.tag == "article") else parent.within if parent else None
@@ -119,7 +132,7 @@ class Page:
         self.ends: dict[str, list[tuple[int, int]]] = {}
         self.blocks: list[int] | None = None
         self.paths = Paths()
-        self.root = self.here = Node("", 0, None, False, False)
+        self.root = self.here = Node("", 0, None, 0, False)
         self.nodes, self.runs, self.fresh = [self.root], [], True
         at = 0
         while at < len(page):
@@ -132,6 +145,43 @@ class Page:
                 self._close(name)
             elif name:
                 at = self._open(name, attrs, at)
+        self._hide()
+
+    def _hide(self) -> None:
+        """What is left out, now that all of the page is known. A part that only its name leaves out stays if it holds the
+        longest article, or, where no article leads, over half of the unlinked letters. If nothing is left, only tags and
+        names leave parts out; if still nothing is, only tags."""
+        letters: dict[int, int] = {}
+        for n in reversed(self.nodes):  # children come after their parents
+            letters[id(n)] = letters.get(id(n), 0) + (0 if n.linked or n.never or n.readers else n.weight)
+            if n.parent is not None:
+                letters[id(n.parent)] = letters.get(id(n.parent), 0) + letters[id(n)]
+        every = letters[id(self.root)]
+        leading = max((n for n in self.nodes if n.tag in ("article", "main")), key=lambda n: letters[id(n)], default=None)
+        keep: set[int] = set()
+        if leading is not None and letters[id(leading)] >= LEADS * every:
+            n = leading
+            while n is not None:
+                keep.add(id(n))
+                n = n.parent
+        else:
+            keep = {id(n) for n in self.nodes if 2 * letters[id(n)] > every}
+        weights = [n.weight for n in self.nodes]
+        for reasons in ((BY_NAME, BY_ATTRIBUTE, BY_TAG), (BY_NAME, BY_TAG), (BY_TAG,)):
+            for n, weight in zip(self.nodes, weights, strict=True):
+                named = n.why == BY_NAME and not (id(n) in keep and letters[id(n)])
+                n.hidden = bool(n.parent and n.parent.hidden) or n.why in reasons and (n.why != BY_NAME or named)
+                n.weight = 0 if n.hidden else weight
+            if any(n.weight for n in self.nodes):
+                break
+        runs, fresh = [], False
+        for node, text, starts in self.runs:
+            fresh = fresh or starts
+            if not node.hidden:
+                if runs or text.strip():
+                    runs.append((node, text, fresh))
+                fresh = False
+        self.runs = runs
 
     def next_tag(self, at: int) -> tuple[int, int, bool, str, str] | None:
         """(start, end, closes, name, attributes) of what next is no text; comments and the like have no name."""
@@ -162,7 +212,7 @@ class Page:
         return None
 
     def _text(self, at: int, stop: int) -> None:
-        if stop <= at or self.here.hidden:
+        if stop <= at or self.here.never:
             return
         text = self.page[at:stop]
         if text.strip():
@@ -210,13 +260,16 @@ class Page:
             self.here = self.here.parent
         here = self.here
         named = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
-        hidden = here.hidden or tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        hidden = hidden or (tag == "header" or bool(HEADER.search(named))) and here.within is None or bool(NOT_ARTICLE.search(named) and tag not in ("html", "body", "article", "main"))
+        why = BY_TAG if tag in NEVER or tag in CONTROLS else BY_ATTRIBUTE if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() else 0
+        said = STATES.sub(" ", named)
+        readers = tag not in ("html", "body", "article", "main") and bool(READERS.search(said))
+        if not why and ((tag == "header" or HEADER.search(said)) and here.within is None or tag == "form" or tag not in ("html", "body", "article", "main") and NOT_ARTICLE.search(said)):
+            why = BY_NAME
         if empty and tag not in BLOCKS:
             return at
         parent = here if here.depth < DEEPEST else here.parent
         path = self.paths.below(parent.path, step_of(tag, attrs)) if tag in BLOCKS else parent.path
-        self.here = Node(tag, path, parent, hidden, parent.linked or tag == "a" and "href" in attrs)
+        self.here = Node(tag, path, parent, why, parent.linked or tag == "a" and "href" in attrs, readers)
         self.nodes.append(self.here)
         return at
 
