@@ -7,9 +7,17 @@ the corpus itself (the words of most texts, outside credential contexts), by ran
 prose ("the secret ingredient", "token counts") is cheap and stays. A value may itself be a context word ("secret
 password ..."): the search goes on at the start of each value.
 
-Only places that are reached below the threshold are gone on from, so a long value costs no more than its cheap part.
-Parts have sizes of their own: words up to the longest of the dictionary, units of repeats and keyboard walks up to UNIT
-characters (a longer walk is several), repeats of any length.
+A value in quotes goes to its own closing quote, if no white space is before it; else it goes to white space, without
+brackets and stops at its end. Of an unquoted value with a comma, quote or the like inside, the part before that is
+judged where a letter and a digit are not in one part (prose), else the whole.
+
+Only places that are reached below the threshold are gone on from, so a long value costs no more than its cheap part;
+where all of a value is cheap, the costs of its ends are kept for the values that begin inside it. Parts have sizes of
+their own: words up to the longest of the dictionary, units of repeats and keyboard walks up to UNIT characters (a longer
+walk is several, a longer unit is spelt), repeats of any length. Words of the corpus have 3 to LONGEST letters: shorter
+ones are hardly cheaper than their letters, longer ones are two words or no word of prose. They count only where they
+stand in different company, so that a secret in copies of a text is not learnt. Seven characters of any kind cost 35.4
+bits at most, under the threshold, so shorter values than SHORTEST need no cost.
 
 Defined cases: null and empty texts have no spans; positions are code points of the whole text; repeated rows are
 scanned each; an empty corpus leaves the fixed words.
@@ -20,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,10 +42,17 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is a match of [0-9a-f]+ and no shorter run is kept
+#: A context up to the first character of its value; the group is the quote that opens it.
 CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?(?:\x20*(?:[:=]{1,2}|=>|is)\x20*|\x20+)["'`]?([^\s"'`,;<>]+)""",
+    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?(?:[\x20\t]*(?:[:=]{1,2}|=>|is)[\x20\t]*|[\x20\t]+)(["'`]?)(?=[^\s"'`,;<>])""",
     re.IGNORECASE | re.ASCII,
 )
+SPACE, INSIDE = re.compile(r"\s|\Z"), re.compile("[\"'`,;<>]")
+#: Where markup begins, a value ends. Names of elements that stand in text.
+MARKUP = re.compile(r"</?(?:a|b|br|code|dd|div|dl|dt|em|font|form|h[1-6]|hr|i|img|input|kbd|li|ol|p|pre|samp|script|small|span|strong|sub|sup|table|td|th|tr|tt|u|ul|var)\b", re.IGNORECASE)
+PART = re.compile(r"[^\s\"'`,;<>]+")
+#: What closes a sentence or a bracket is not of the value before it.
+AFTER = ".)]}:,;'\"`>"
 #: Every match of ASSIGN or CONTEXT holds one of these, in lower case.
 NAMES = ("passw", "passp", "passc", "pwd", "secret", "token", "credential", "bearer", *(a + b + "key" for a in ("api", "access", "private") for b in ("", "_", "-")))
 #: By byte: "x" for what a match of HEX is made of; lower-case letters for letters.
@@ -48,10 +64,17 @@ THRESHOLD, SHORTEST = 36.0, 8
 UNIT = 64
 #: Words of the corpus that guessers know, at most, and the texts that such a word is in, at least.
 DICTIONARY, LEAST_TEXTS = 20_000, 2
+#: Letters of such a word, at most.
+LONGEST = 24
 #: Different words that a task counts before it hands its counts over.
 HELD_WORDS = 200_000
-#: Values whose cost a worker remembers.
-REMEMBERED = 20_000
+#: Values whose cost a worker remembers, and letters of the longest of them.
+REMEMBERED, SHORT = 20_000, 200
+#: Characters of a value that are looked at first for repeats.
+WINDOW = 256
+#: A repeat of over MANY times is ended at one of the last LAST times only: to end sooner leaves more to spell than the
+#: logarithm of its times can save.
+MANY, LAST = 1024, 256
 
 #: Words that guessers try first, most common first.
 WORDS = """password pass admin login welcome letmein monkey dragon master qwerty abc test user root guest default changeme
@@ -77,7 +100,12 @@ def runs(value: str, unit: int = UNIT) -> list[tuple[int, int, int]]:
     the least one."""
     codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     out = []
-    for p in range(1, min(unit, len(value) // 2) + 1):
+    periods = np.arange(1, min(unit, len(value) // 2) + 1)
+    if len(codes) <= 4 * WINDOW and len(periods):  # periods with enough equal letters at all
+        at = np.arange(len(codes))[None] + periods[:, None]
+        equal = (at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == codes[None])
+        periods = periods[equal.sum(axis=1) >= periods]
+    for p in periods.tolist():
         same = np.diff(np.concatenate([[0], (codes[p:] == codes[:-p]).view(np.int8), [0]]))
         for a, b in zip(np.flatnonzero(same == 1).tolist(), np.flatnonzero(same == -1).tolist(), strict=True):
             part = value[a : a + p]
@@ -93,12 +121,15 @@ class Guesser:
         self.rank = {}
         for w in [*WORDS, *words]:
             self.rank.setdefault(w, len(self.rank) + 1)
-        self.longest = max(map(len, self.rank))
+        self.begins = {w[:k] for w in self.rank for k in range(3, len(w) + 1)}
         self.known: dict[tuple[str, float], float] = {}
+        self.bits = np.zeros(0)  # logarithms of whole numbers
 
     def words_at(self, value: str, low: str, read: str, i: int):
         for s in (low,) if read == low else (low, read):
-            for j in range(i + 3, min(len(value), i + self.longest) + 1):
+            for j in range(i + 3, len(value) + 1):
+                if s[i:j] not in self.begins:
+                    break
                 if (rank := self.rank.get(s[i:j])) is not None:
                     caps = sum(c.isupper() for c in value[i:j])
                     bits = math.log2(rank + 1) + (0 if caps == 0 else 1 if caps == j - i or value[i].isupper() and caps == 1 else math.log2(math.comb(j - i, min(caps, (j - i) // 2 or 1)) + 1))
@@ -107,7 +138,7 @@ class Guesser:
     def parts_at(self, value: str, low: str, read: str, i: int):
         """(end, bits) of each word, date and walk that begins at i."""
         yield from self.words_at(value, low, read, i)
-        if m := DATE.match(value, i):
+        if value[i].isdigit() and (m := DATE.match(value, i)):
             yield m.end(), math.log2(365 * 120) + 2 * bool(m[1] or m[2]) if m.end() - i > 4 else math.log2(120)
         turns, k = 0, i
         while k + 1 < min(len(value), i + UNIT) and (low[k], low[k + 1]) in NEXT:
@@ -119,50 +150,83 @@ class Guesser:
     def cost(self, value: str, limit: float = math.inf) -> float:
         """Bits of the cheapest segmentation, or limit if that is no less; a bit more for each word, date,
         walk or repeat after the first, for the order tried."""
+        if len(value) > SHORT:
+            return self.ends(value, limit)[0]
         if (value, limit) not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[value, limit] = self._cost(value, limit)
+            self.known[value, limit] = self.ends(value, limit)[0]
         return self.known[value, limit]
 
-    def _cost(self, value: str, limit: float) -> float:
+    def _repeats(self, value: str, found: dict[int, list[tuple[int, int]]], i: int, limit: float):
+        """(ends, bits) of the repeats that begin at i, without what comes before: found has the runs by i."""
+        for b, p in found.get(i, ()):
+            most = (b - i) // p
+            least = 2 if most <= MANY else most - LAST
+            if most >= len(self.bits):
+                self.bits = np.log2(np.maximum(1, np.arange(2 * most)))
+            yield slice(i + p * least, i + p * most + 1, p), self.cost(value[i : i + p], limit) + self.bits[least : most + 1]
+
+    @staticmethod
+    def _by_start(value: str) -> dict[int, list[tuple[int, int]]]:
+        found: dict[int, list[tuple[int, int]]] = {}
+        for a, b, p in runs(value):
+            for i in range(a, b - 2 * p + 1):
+                found.setdefault(i, []).append((b, p))
+        return found
+
+    def ends(self, value: str, limit: float = math.inf) -> tuple[float, np.ndarray | None]:
+        """The cost, and, where it is below limit, the cost of each end of the value, from there on."""
         n, low = len(value), value.lower()
         if len(low) != n:  # letters whose lower case is longer
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
         read = low.translate(READ_AS)
-        best = np.full(n + 1, limit)
-        best[0] = 0.0
-        repeats: dict[int, list[tuple[int, int]]] = {}
-        found = None
-        reach = 0  # the last place below the limit
-        for i in range(n):
-            if i > reach:
+        window = min(n, WINDOW)
+        parts: dict[int, list[tuple[int, float]]] = {}
+        while True:
+            # places are gone on from in order; repeats are those of the window
+            found = self._by_start(value[:window]) if n > 1 else {}
+            best = np.full(window + 1, limit)
+            best[0], reach, beyond = 0.0, 0, False
+            for i in range(window):
+                if i > reach:
+                    break
+                if (here := float(best[i])) >= limit:
+                    continue
+                if i not in parts:
+                    parts[i] = list(self.parts_at(value, low, read, i))
+                more = here + (i > 0)
+                for j, bits in [(i + 1, here + brute(value[i])), *((j, more + bits) for j, bits in parts[i])]:
+                    if j > window:
+                        beyond = beyond or bits < limit
+                    elif bits < best[j]:
+                        best[j] = bits
+                        reach = max(reach, j)
+                for at, bits in self._repeats(value, found, i, limit):
+                    better = np.flatnonzero(more + bits < best[at])
+                    if len(better):
+                        np.minimum(best[at], more + bits, out=best[at])
+                        reach = max(reach, at.start + at.step * int(better[-1]))
+            if window == n:
                 break
-            here = float(best[i])
-            if here >= limit:
-                continue
-            more = here + (i > 0)
-            ends = [(i + 1, here + brute(value[i]))]
-            ends += [(j, more + bits) for j, bits in self.parts_at(value, low, read, i)]
-            for j, bits in ends:
-                if bits < best[j]:
-                    best[j] = bits
-                    reach = max(reach, j)
-            if n > 1:
-                if found is None:
-                    found = runs(value)
-                    for a, b, p in found:  # a repeat begins in the run's first unit, or behind a part that straddles its start
-                        for s in range(a, min(b - 2 * p, a + p + UNIT) + 1):
-                            repeats.setdefault(s, []).append((b, p))
-                for b, p in repeats.get(i, ()):
-                    times = np.arange(2, (b - i) // p + 1)
-                    bits = more + self.cost(value[i : i + p], limit) + np.log2(times)
-                    at = slice(i + 2 * p, i + p * int(times[-1]) + 1, p)
-                    better = bits < best[at]
-                    if better.any():
-                        best[at] = np.where(better, bits, best[at])
-                        reach = max(reach, i + p * int(times[np.flatnonzero(better)[-1]]))
-        return float(best[n])
+            if reach < window - 2 * UNIT and not beyond:
+                return limit, None
+            window = min(n, 4 * window)
+        if best[n] >= limit or n <= SHORT:
+            return float(best[n]), None
+        # from the last place back: what follows a place costs the same whatever is before it; a part that begins the value
+        # costs a bit less than one that goes on
+        rest, alone = np.full(n + 1, limit), np.full(n + 1, limit)
+        rest[n] = 0.0
+        for i in range(n - 1, -1, -1):
+            if i not in parts:
+                parts[i] = list(self.parts_at(value, low, read, i))
+            part = min((bits + float(rest[j]) for j, bits in parts[i]), default=limit)
+            for at, bits in self._repeats(value, found, i, limit):
+                part = min(part, float((bits + rest[at]).min()))
+            letter = brute(value[i]) + float(rest[i + 1])
+            rest[i], alone[i] = min(letter, part + 1, limit), min(letter, part, limit)
+        return float(best[n]), alone
 
 
 PLAIN = Guesser()
@@ -189,36 +253,92 @@ def spans(text: str | None, threshold: float = THRESHOLD, guesser: Guesser = PLA
     if not named(text):
         return sorted(out)
     out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    at = 0
-    while m := CONTEXT.search(text, at):
-        at = m.start(1)
-        value = m[1].rstrip(".)]}:!?")
-        if len(value) >= SHORTEST and guesser.cost(value, threshold) >= threshold:
-            out.append((at, 3, at + len(value)))
+    kept: tuple[int, int, np.ndarray] | None = None  # (start, end, costs of its ends) of a value that is cheap as a whole
+    for _, at, stop in contexts(text):
+        if kept and at >= kept[0] and stop == kept[1]:
+            bits = kept[2][at - kept[0]]
+        elif stop - at < SHORTEST:
+            continue
+        elif stop - at > SHORT:
+            bits, rest = guesser.ends(text[at:stop], threshold)
+            kept = (at, stop, rest) if rest is not None else kept
+        else:
+            bits = guesser.cost(text[at:stop], threshold)
+        if bits >= threshold and stop - at >= SHORTEST:
+            out.append((at, 3, stop))
     return sorted(out)
 
 
+def contexts(text: str):
+    """(start of the context, start of its value, end of its value), of each context, also of those inside a value."""
+    at, space, inside, markup, code = 0, -1, -1, -1, (-1, -1)
+    while m := CONTEXT.search(text, at):
+        at = m.end()
+        if space < at:  # ends are looked for once for all values before them
+            space = SPACE.search(text, at).start()
+        stop = space
+        if m[1] and (quote := text.find(m[1], at, space)) >= 0:
+            stop = quote
+        else:
+            if markup < at:
+                markup = next((x.start() for x in MARKUP.finditer(text, at)), len(text))
+            stop = min(stop, markup)
+            if inside < at:
+                inside = next((x.start() for x in INSIDE.finditer(text, at)), len(text))
+            if inside < stop:
+                if code[0] < at:
+                    code = next((x.span() for x in PART.finditer(text, at) if re.search(r"\d", x[0]) and re.search("[A-Za-z]", x[0])), (len(text), len(text)))
+                if code[0] >= stop:
+                    stop = inside
+            while stop > at and text[stop - 1] in AFTER:
+                stop -= 1
+        yield m.start(), at, stop
+
+
+def without_contexts(text: str) -> str:
+    """The text without contexts and what stands in them."""
+    out, at = [], 0
+    for start, _, stop in contexts(text):
+        if start >= at:
+            out.append(text[at:start])
+        at = max(at, stop)
+    return " ".join([*out, text[at:]])
+
+
 def dictionary(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_TEXTS, text: str = "text") -> list[str]:
-    """The words of most texts, most common first, without those that only credential contexts hold. Tasks count, then
-    Spark sums; only so many words reach the driver."""
+    """The words of most texts, most common first, without those that only credential contexts hold, and without those that
+    always stand between the same two words, as copies of one text have them. Tasks count, then Spark sums; only so many
+    words reach the driver."""
 
     def count(batches):
-        held: Counter = Counter()
+        texts: Counter = Counter()
+        between: dict[bytes, list[int]] = {}  # the least and the greatest hash of a word's neighbours
         for batch in small(batches):
             for t in batch.column(0).to_pylist():
                 if t:
-                    plain = CONTEXT.sub(" ", t) if named(t) else t
-                    held.update({w for w in plain.encode("utf-8", "surrogatepass").translate(LETTERS).split() if 3 <= len(w) <= 24})
-                if len(held) >= HELD_WORDS:
-                    yield given(held)
-                    held = Counter()
-        yield given(held)
-
-    def given(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["word", "texts"])
-
-    counted = docs.select(text).mapInArrow(count, "word string, texts long").groupBy("word").agg(F.sum("texts").alias("texts"))
-    return [r.word for r in counted.where(F.col("texts") >= least).orderBy(F.desc("texts"), "word").limit(most).collect()]
+                    plain = without_contexts(t) if named(t) else t
+                    words = plain.encode("utf-8", "surrogatepass").translate(LETTERS).split()
+                    texts.update({w for w in words if 3 <= len(w) <= LONGEST})
+                    for a, w, b in set(zip([b"", *words], words, [*words[1:], b""], strict=False)):
+                        x = zlib.crc32(b, zlib.crc32(a))
+                        if (had := between.get(w)) is None:
+                            between[w] = [x, x]
+                        elif x < had[0]:
+                            had[0] = x
+                        elif x > had[1]:
+                            had[1] = x
+                if len(texts) >= HELD_WORDS:
+                    yield given(texts, between)
+                    texts, between = Counter(), {}
+        yield given(texts, between)
+
+    def given(texts: Counter, between: dict[bytes, list[int]]) -> pa.RecordBatch:
+        held = list(texts)
+        columns = [pa.array([w.decode() for w in held], pa.string()), pa.array(texts.values(), pa.int64()), *(pa.array([between[w][k] for w in held], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "texts", "low", "high"])
+
+    counted = docs.select(text).mapInArrow(count, "word string, texts long, low long, high long").groupBy("word").agg(F.sum("texts").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return [r.word for r in counted.where((F.col("texts") >= least) & (F.col("low") < F.col("high"))).orderBy(F.desc("texts"), "word").limit(most).collect()]
 
 
 def written(found: list[tuple[int, int, int]]) -> str:
