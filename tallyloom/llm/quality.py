@@ -5,6 +5,8 @@ hash buckets a kind. A score is a bias and, for each kind, the mean weight of th
 look-ups and sums by text. The regression is fitted on a bounded sample of labelled rows (SAMPLE rows of at most
 SAMPLE_BYTES bytes each, least by hash of id); a part of it, HELD of ten, only calibrates the probability.
 
+Long texts are read in stretches, so a worker holds a few arrays of a stretch beside the text.
+
 Defined cases: a null text has no words and fails the base rules; without two labelled classes every text has
 probability 1/2 and passes; labels that are null or for unknown ids are ignored; repeated label rows count once each.
 """
@@ -31,12 +33,16 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 SYMBOLS = b"#*$%&|<>"
+#: A text of more characters than this is read in stretches of so many.
+STRETCH = 1_000_000
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole text."""
     if not text:
         return 0, 0, 0, 0, 0
+    if len(text) > STRETCH:
+        return _long_counts(text)
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()  # at the six ASCII white-space bytes
     n = len(words)
@@ -56,6 +62,44 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, len(text) - gaps, symbols, len(lines) - len(set(lines)), repeated
 
 
+def _long_counts(text: str) -> tuple[int, int, int, int, int]:
+    """As base_counts: words are numbers, and windows of five are numbered by way of pairs and fours."""
+    numbers: dict[bytes, int] = {}
+    parts, letters, symbols, lines, filled, rest = [], 0, 0, set(), 0, b""
+    for at in range(0, len(text), STRETCH):
+        raw = rest + text[at : at + STRETCH].encode("utf-8", "surrogatepass")
+        end = len(raw) if at + STRETCH >= len(text) else 1 + max(raw.rfind(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+        raw, rest = raw[:end], raw[end:]
+        symbols += len(raw) - len(raw.translate(None, SYMBOLS))
+        words = raw.split()
+        letters += sum(len(w) - sum(128 <= b < 192 for b in w) for w in words) if not raw.isascii() else sum(map(len, words))
+        parts.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64))
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        line = text[at : end if end >= 0 else len(text)]
+        if line.strip(" \t\n\x0b\x0c\r"):
+            filled += 1
+            lines.add(line)
+        if end < 0:
+            break
+        at = end + 1
+    ids = np.concatenate(parts)
+    n = len(ids)
+    repeated = 0
+    if n >= 5:
+        join = lambda a, b: np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+        two = join(ids[:-1], ids[1:])
+        four = join(two[:-2], two[2:])
+        _, five, often = np.unique(four[: n - 4] * (int(ids.max()) + 1) + ids[4:], return_inverse=True, return_counts=True)
+        at = np.flatnonzero(often[five] > 1)
+        edges = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + 5, -1)
+        repeated = int((np.cumsum(edges)[:n] > 0).sum())
+    return n, letters, symbols, filled - len(lines), repeated
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * MIX
     return (h >> np.uint64(50)).astype(np.int32)
@@ -88,8 +132,56 @@ def hashed(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _long_logit(text: str, weights: np.ndarray, bias: float) -> float:
+    """As logit, a stretch at a time: n-grams look a few characters ahead, and a word or pair goes on in the next stretch."""
+    sums, counts = np.zeros(KINDS), np.zeros(KINDS)
+    last: np.ndarray = np.zeros(0, np.uint64)  # the word before
+    held, size = np.uint64(0), 0  # what is known of a word that is not over
+
+    def take(kind: int, h: np.ndarray) -> None:
+        sums[kind] += weights[kind][_bucket(h)].sum(dtype=np.float64)
+        counts[kind] += len(h)
+
+    for at in range(0, len(text), STRETCH):
+        end = min(len(text), at + STRETCH)
+        final = end == len(text)
+        ahead = end + max(CHAR_GRAMS) - 1
+        piece = text[at:ahead] + ("\n" if ahead > len(text) else "")  # a text ends in a line break
+        data = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        h = data + np.uint64(1)
+        for n in range(2, max(CHAR_GRAMS) + 1):
+            h = h[:-1] * ODD + data[n - 1 :] + np.uint64(1)
+            if n in CHAR_GRAMS:
+                take(2 + CHAR_GRAMS.index(n), h if final else h[: end - at])
+        data = data[: end - at]
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        power = np.cumprod(np.full(len(data) + 1, ODD, dtype=np.uint64)) * INVERSE
+        back = np.cumprod(np.full(len(data) + 1, INVERSE, dtype=np.uint64)) * ODD
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * power[:-1])])
+        edge = np.diff(np.concatenate([[0], (~space).astype(np.int8), [0]]))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        raw, sizes = (running[ends] - running[starts]) * back[starts], (ends - starts).astype(np.uint64)
+        if size and len(starts) and starts[0] == 0:
+            raw[0] = held + np.uint64(pow(int(ODD), size, 1 << 64)) * raw[0]
+            sizes[0] += np.uint64(size)
+        elif size:
+            raw, sizes = np.concatenate([[held], raw]), np.concatenate([np.array([size], np.uint64), sizes])
+        held, size = np.uint64(0), 0
+        if not final and len(raw) and not space[-1]:
+            held, size = raw[-1], int(sizes[-1])
+            raw, sizes = raw[:-1], sizes[:-1]
+        words = raw + sizes
+        take(0, words)
+        both = np.concatenate([last, words])
+        take(1, both[:-1] * MIX + both[1:])
+        last = both[-1:]
+    return bias + float((sums / np.maximum(counts, 1)).sum())
+
+
 def logit(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """bias plus, for each kind, the mean weight of the text's n-grams."""
+    if any(len(t) > STRETCH for t in texts):
+        return np.array([_long_logit(t, weights, bias) if len(t) > STRETCH else logit([t], weights, bias)[0] for t in texts])
     z = np.full(len(texts), bias)
     for kind, (bucket, owner) in enumerate(hashed(texts)):
         n = np.bincount(owner, minlength=len(texts))

@@ -237,3 +237,35 @@ def test_pieces_are_cut_where_that_fills_sequences(spark, sizes):
         inside = sorted((r.offset, r.length) for r in got if r.sequence_id == s)
         assert [o for o, _ in inside] == [sum(n for _, n in inside[:i]) for i in range(len(inside))]
     assert max(used.values()) <= packing.LENGTH and sum(used.values()) / (len(used) * packing.LENGTH) > 0.95
+
+
+def test_quality_of_long_texts_is_read_in_stretches(monkeypatch):
+    from tallyloom.llm import quality
+
+    rng = np.random.default_rng(5)
+    weights = rng.normal(size=(quality.KINDS, quality.BUCKETS)).astype(np.float32)
+    words = ["alpha", "be#ta", "x", "日本語", "é", "longword" * 5, "\n", "\n\n", "\t"]
+    texts = [" ".join(rng.choice(words, 200)) + end for end in ("", "\n", " ", "tail")] + ["x" * 500, " " * 100 + "a", "a b c d e " * 40, "one line\n" * 30]
+    want = [(quality.base_counts(t), quality.logit([t], weights, 0.5)[0]) for t in texts]
+    for size in (7, 64, 333):
+        monkeypatch.setattr(quality, "STRETCH", size)
+        for t, (base, z) in zip(texts, want, strict=True):
+            assert quality.base_counts(t) == base and quality.logit([t], weights, 0.5)[0] == pytest.approx(z, abs=1e-5)
+
+
+def test_quality_of_a_long_text_in_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from tallyloom.llm import quality as Q
+w = np.zeros((Q.KINDS, Q.BUCKETS), np.float32)
+text = " ".join(f"word{i % 9973} and" for i in range(1_600_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+Q.base_counts(text), Q.logit([text], w, 0.0)
+print(len(text), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    size, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert size > 20_000_000 and grown < 350
