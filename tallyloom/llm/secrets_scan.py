@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import small, table
+from tallyloom.llm.common import cut, small, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -338,7 +338,9 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_TEXTS
         return pa.RecordBatch.from_arrays(columns, names=["word", "texts", "low", "high"])
 
     counted = docs.select(text).mapInArrow(count, "word string, texts long, low long, high long").groupBy("word").agg(F.sum("texts").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return [r.word for r in counted.where((F.col("texts") >= least) & (F.col("low") < F.col("high"))).orderBy(F.desc("texts"), "word").limit(most).collect()]
+    # the first of each task meet in one that keeps the first of all; a row a word is written
+    first = cut(counted.where((F.col("texts") >= least) & (F.col("low") < F.col("high"))).orderBy(F.desc("texts"), "word").limit(most), "words")
+    return [r.word for r in first.orderBy(F.desc("texts"), "word").toLocalIterator()]
 
 
 def written(found: list[tuple[int, int, int]]) -> str:
