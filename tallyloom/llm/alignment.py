@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import cut, small, table
-from tallyloom.llm.tokens import slices, vocabulary
+from tallyloom.llm.tokens import seldom_collect, slices, vocabulary
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A pair of ids is a * 2^B_BITS + b.
@@ -46,16 +46,17 @@ HOT_PAIRS = 1 << 20
 HELD_PAIRS = 1 << 20
 SALTS = 16
 PLACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: White space other than single spaces and line breaks between visible characters.
-UNEVEN = re.compile(r"[^\S \n]|\s\s|\s\Z")
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 
 
 def chunks_of(text: str) -> list[str]:
-    """The text, each chunk but the first with the space or line break before it."""
-    if UNEVEN.search(text, 1):
-        return PLACE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:] if "\0" not in text and text[1:2] not in (" ", "\n") else PLACE.split(text)
+    """The text, which begins with a space; each chunk but the first has the space or line break before it."""
+    words = text.split()
+    n = text.count(" ") + text.count("\n")
+    # white space is single spaces and line breaks, each before a word
+    if n == len(words) and n + sum(map(len, words)) == len(text) and "\0" not in text:
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+    return PLACE.split(text)
 
 
 class Aligner:
@@ -134,7 +135,7 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         """Chunks that are a space or a line break and visible characters are encoded in a row, others one by one."""
-        even = [c for c in chunks if len(c) <= LONG and not UNEVEN.search(c, 1) and c[1:2].strip() and " " not in c[1:] and "\n" not in c[1:]]
+        even = [c for c in chunks if len(c) <= LONG and len(c[1:].split(None, 1)) == 1 and not c[1].isspace() and not c[-1].isspace()]
         odd = set(chunks).difference(even)
         made = [self.align(even[k : k + ROW]) for k in range(0, len(even), ROW)] + [self.align([c]) for c in odd]
         self.known |= {c: k for k, c in enumerate([*even, *odd], len(self.groups))}
@@ -198,6 +199,7 @@ NOTHING = (0, 0, 0, 0, "", b"", b"")
 
 @cache
 def aligner(path_a: str, path_b: str) -> Aligner:
+    seldom_collect()
     return Aligner(path_a, path_b)
 
 

@@ -6,14 +6,15 @@ order. Chunks repeat, and a bounded table of those already seen does most of the
 
 from __future__ import annotations
 
+import gc
 import os
 from functools import cache
 
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
-#: Entries in a worker's table before it starts anew.
-TABLE = 600_000
+#: Bytes of a worker's table of chunks, about, before it drops the older half; an entry's own objects take so many.
+TABLE_BYTES, ENTRY = 120 << 20, 190
 #: NFC and lower case leave letters below this code point letters, one for one.
 SIMPLE_BELOW = "\u0250"
 #: Neither letters, digits, white space nor the apostrophe, which has rules of its own.
@@ -46,6 +47,7 @@ class Encoder:
         rest = iter([x for x in alphabet if x not in set(same)])
         self.bytes_as = {x: chr(x) if chr(x) in same else next(rest) for x in range(256)}
         self.table: dict[str, bytes] = {}
+        self.held = 0
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -89,8 +91,13 @@ class Encoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         wanted = set().union(*split)
         missing = wanted - self.table.keys()
-        if len(self.table) + len(missing) > TABLE:
-            self.table = {c: self.table[c] for c in wanted - missing}
+        self.held += sum(map(len, missing)) + ENTRY * len(missing)
+        if self.held > TABLE_BYTES:
+            # chunks are in the order they came; those of these texts stay, and of the others the later half
+            known = [*self.table]
+            stay = wanted.difference(missing).union(known[len(known) // 2 :])
+            self.table = {c: x for c, x in self.table.items() if c in stay}
+            self.held = sum(map(len, self.table)) + ENTRY * len(self.table) + sum(map(len, missing)) + ENTRY * len(missing)
             self.words.clear()
             self.tails.clear()
         self._learn(missing)
@@ -98,8 +105,14 @@ class Encoder:
         return [b"".join(map(get, s)) for s in split]
 
 
+def seldom_collect() -> None:
+    """Tables of strings hold no cycles: the collector looks through them less often."""
+    gc.set_threshold(200_000, 50, 50)
+
+
 @cache
 def encoder(path: str) -> Encoder:
+    seldom_collect()
     return Encoder(path)
 
 
