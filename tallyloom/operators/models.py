@@ -148,6 +148,22 @@ def importances(model: PipelineModel, k: int = 10) -> list[tuple[int, float]]:
     return sorted(((i, float(v)) for i, v in enumerate(values)), key=lambda x: -x[1])[:k]
 
 
+def named_importances(model: PipelineModel, df: DataFrame, k: int = 10) -> list[tuple[str, float]]:
+    """The features of most weight by name, a category as column=value, in the order of importances()."""
+    made = model.transform(df.limit(1)).schema["features"].metadata.get("ml_attr", {})
+    names = {a["idx"]: a["name"] for kind in made.get("attrs", {}).values() for a in kind}
+    columns = [c for stage in model.stages if hasattr(stage, "getInputCols") and stage.getOutputCol() == "__n" for c in stage.getInputCols()] if any(isinstance(s, VectorAssembler) for s in model.stages) else []
+
+    def said(i: int) -> str:
+        name = names.get(i, f"feature {i}")
+        if name.startswith(("__s_", "__n_")):
+            at = name[4:]
+            return columns[int(at)].removesuffix("__i") if at.isdigit() and int(at) < len(columns) else at.removesuffix("__i")
+        return name.replace("__h_", "=", 1).removesuffix("__i")
+
+    return [(said(i), v) for i, v in importances(model, k)]
+
+
 def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Accuracy and weighted precision, recall, F1: one row, from counts by pair of classes."""
     cells = df.groupBy(F.col(label).cast("string").alias("y"), F.col(prediction).cast("string").alias("p")).agg(F.count("*").alias("n"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.functions.tables import settle
+from tallyloom.operators.graph import components
 
 
 def corpus(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -127,6 +128,28 @@ def near_duplicates(docs: DataFrame, least: float = 0.7, chars: int = 20, n_toke
     return full.select("a", "b", jac.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def near_duplicate_classes(docs: DataFrame, least: float = 0.7, chars: int = 20, n_tokens: int = 3) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document that near_duplicates looks at: the least id of those that links lead
+    to, and with how many other documents it is that much alike, copies included. A row a document, whatever the groups."""
+    links = settle(near_duplicates(docs, least, chars, n_tokens))
+    member = settle(near_duplicate_members(docs, chars, n_tokens))
+    size = member.groupBy("representative").agg(F.count("*").alias("size"))
+    roots = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("representative"), "component")
+    both = links.select(F.col("a").alias("representative"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("representative"), F.col("a").alias("other")))
+    near = both.join(size.select(F.col("representative").alias("other"), "size"), "other").groupBy("representative").agg(F.sum("size").alias("near"))
+    full = size.join(roots, "representative", "left").join(near, "representative", "left")
+    named = full.select("representative", F.coalesce("component", "representative").alias("class_id"), (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return member.join(named, "representative").select("doc_id", "class_id", "n_links")
+
+
+def rule_counts(items: DataFrame) -> DataFrame:
+    """(transactions, entities, pairs): documents with an item, different items, and different pairs that share a document,
+    of (doc_id, item): what supports of rules are measured against."""
+    once = items.select("doc_id", "item").distinct()
+    pairs = pair_counts(once).agg(F.count("*").alias("pairs"))
+    return once.agg(F.count_distinct("doc_id").alias("transactions"), F.count_distinct("item").alias("entities")).join(pairs)
+
+
 def sentiment(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", X.sentiment(F.col("text")).alias("s")).select("doc_id", "s.*")
 
@@ -272,7 +295,8 @@ def clusters(vectors: DataFrame, col: str, most: int = 10, reduce_to: int = 20,
     """vectors with a cluster: scaled, reduced, and split by the number of clusters of best silhouette."""
     v = vectors.withColumn("_v", array_to_vector(F.col(col).cast("array<double>")))
     size = v.select(F.size(col).alias("k")).first()["k"]
-    made = Pipeline(stages=[StandardScaler(inputCol="_v", outputCol="_s", withMean=True), PCA(k=min(reduce_to, size), inputCol="_s", outputCol="_p")]).fit(v).transform(v).persist()
+    made = Pipeline(stages=[StandardScaler(inputCol="_v", outputCol="_s", withMean=True), PCA(k=min(reduce_to, size), inputCol="_s", outputCol="_p")]).fit(v).transform(v)
+    made = settle(made)
     rate = ClusteringEvaluator(featuresCol="_p", predictionCol="cluster")
     best = max((KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="cluster").fit(made) for k in range(2, most + 1)), key=lambda m: rate.evaluate(m.transform(made)))
     return best.transform(made).drop("_v", "_s", "_p")

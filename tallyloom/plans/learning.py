@@ -12,11 +12,13 @@ from tallyloom.operators import margins as SV
 from tallyloom.operators import models as ML
 from tallyloom.operators import neighbours as N
 from tallyloom.operators import seasonal as SE
+from tallyloom.operators import rules as U
 from tallyloom.operators import summaries as SU
+from tallyloom.operators import text as T
 from tallyloom.plans.profiling import rounded
 from tallyloom.plans.registry import query
 from tallyloom.plans.series import daily
-from tallyloom.plans.texts import SPLIT
+from tallyloom.plans.texts import ITEMS, SPLIT, docs, items
 from tallyloom.session import table
 
 # ---- itemsets
@@ -60,9 +62,9 @@ WORDS = f"(SELECT DISTINCT doc_id AS k, unnest({SPLIT}) AS item FROM documents)"
 @query("x29_itemsets", sets_sql(WORDS, "(SELECT CAST(ceil(count(*) * 0.4) AS BIGINT) FROM documents)"))
 def _(s, d):
     """Words that share documents, by sets of up to three."""
-    docs = table(s, d, "documents")
-    words = docs.select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"[ \t\n\r\x0B\f]+"), lambda x: F.length(x) > 0)).alias("item"))
-    return said(I.frequent(I.baskets(words, ["doc_id"], "item"), -(-docs.count() * 4 // 10), 3))
+    every = table(s, d, "documents")
+    words = every.select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"[ \t\n\r\x0B\f]+"), lambda x: F.length(x) > 0)).alias("item"))
+    return said(I.frequent(I.baskets(words, ["doc_id"], "item"), -(-every.count() * 4 // 10), 3))
 
 
 @query("x29_itemset_rules", f"""WITH s AS ({sets_sql(LINE_ITEMS, ORDER_LEAST)}), i AS (SELECT string_split(items, ' + ') AS items, size, n FROM s), c AS (SELECT count(DISTINCT l_orderkey) AS c FROM lineitem),
@@ -204,3 +206,47 @@ def _(s, d):
 @query("m04_sarima_fits")
 def _(s, d):
     return rounded(SE.sarima_fits(daily(s, d), (1, 0, 1), (1, 0, 0, 7)), 4)
+
+
+# ---- rules, classes of near copies, importances
+
+IDENTITIES = "SELECT p_size AS a, p_retailprice AS b, p_size + p_retailprice AS c, p_partkey % 97 AS d, (p_partkey * 31) % 89 AS e, p_partkey % 97 + (p_partkey * 31) % 89 AS f FROM part"
+
+
+def identities(s, d):
+    return table(s, d, "part").select(*[e.cast("double").alias(n) for n, e in (("a", F.col("p_size")), ("b", F.col("p_retailprice")), ("c", F.col("p_size") + F.col("p_retailprice")), ("d", F.col("p_partkey") % 97), ("e", F.col("p_partkey") * 31 % 89), ("f", F.col("p_partkey") % 97 + F.col("p_partkey") * 31 % 89))])
+
+
+@query("u08_passes", f"SELECT 'abc' AS fields, count(*) AS valid_rows, count(*) FILTER (abs(a + b - c) < 1e-6) AS satisfied_rows FROM ({IDENTITIES}) UNION ALL SELECT 'def', count(*), count(*) FILTER (abs(d + e - f) < 1e-6) FROM ({IDENTITIES})")
+def _(s, d):
+    """Two identities over six fields."""
+    found = U.sums_in_passes(identities(s, d), list("abcdef"), 0.99)
+    return found.where("size(lhs) + size(rhs) = 3").select(F.array_join(F.array_sort(F.concat("lhs", "rhs")), "").alias("fields"), "valid_rows", "satisfied_rows")
+
+
+@query("l10_distinct_rules", f"SELECT 'abc' AS fields, count(*) AS valid_rows, count(*) AS satisfied_rows FROM ({IDENTITIES}) UNION ALL SELECT 'def', count(*), count(*) FROM ({IDENTITIES})")
+def _(s, d):
+    """Rules over the same fields, written in several ways, are one."""
+    ways = [(["a", "b"], ["c"]), (["b", "a"], ["c"]), (["c"], ["a", "b"]), (["d", "e"], ["f"]), (["e", "d"], ["f"])]
+    return U.distinct_rules(U.verify(identities(s, d), ways)).select(F.array_join(F.array_sort(F.concat("lhs", "rhs")), "").alias("fields"), "valid_rows", "satisfied_rows")
+
+
+@query("a30_rule_counts", f"{ITEMS} SELECT (SELECT count(DISTINCT doc_id) FROM k) AS transactions, (SELECT count(DISTINCT item) FROM k) AS entities, (SELECT count(*) FROM p) AS pairs")
+def _(s, d):
+    return T.rule_counts(items(s, d))
+
+
+@query("x14_near_duplicate_classes", f"""WITH RECURSIVE h AS (SELECT doc_id, list_sort(list_distinct({SPLIT})) AS t FROM documents WHERE length(text) >= 20 AND len(list_distinct({SPLIT})) > 3), s AS (SELECT t, min(doc_id) AS doc_id, count(*) AS size FROM h GROUP BY 1),
+o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.t), len(b.t)) >= 0.7 * greatest(len(a.t), len(b.t)) WHERE len(list_intersect(a.t, b.t)) * 1.0 / len(list_distinct(list_concat(a.t, b.t))) >= 0.7), l AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS class_id FROM r GROUP BY 1), n AS (SELECT l.a, sum(s.size) AS near FROM l JOIN s ON l.b = s.doc_id GROUP BY 1)
+SELECT h.doc_id, c.class_id, CAST(s.size - 1 + coalesce(n.near, 0) AS BIGINT) AS n_links FROM h JOIN s ON h.t = s.t JOIN c ON c.a = s.doc_id LEFT JOIN n ON n.a = s.doc_id""")
+def _(s, d):
+    return T.near_duplicate_classes(docs(s, d))
+
+
+@query("m12_named_importances")
+def _(s, d):
+    """What a forest goes by, by name, where the price is a sum of two features."""
+    df = table(s, d, "part").withColumn("y", F.col("p_size") * 10.0 + F.when(F.col("p_type") == "PROMO", 50.0).otherwise(0.0))
+    model = ML.train(df, "regression", "forest", ["p_size", "p_retailprice", "p_type"], "y")
+    return rounded(s.createDataFrame(ML.named_importances(model, df), "feature string, importance double"), 4)

@@ -186,7 +186,7 @@ def _(s, d):
 
 @query("x33_clusters")
 def _(s, d):
-    return T.clusters(table(s, d, "embeddings"), "embedding", 4).groupBy("cluster").agg(F.count("*").alias("n"))
+    return T.clusters(table(s, d, "embeddings"), "embedding", 10).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query("x35_lda_topics")
