@@ -226,3 +226,32 @@ def test_sarima(spark):
     assert len(out) == 7 and {r.filled for r in out} == {3}
     assert [r.forecast for r in sorted(out, key=lambda r: r.k)] == pytest.approx(y[-7:].tolist())
     assert {r.entity for r in seasonal.sarima_fits(s, (1, 0, 0), (1, 0, 0, 7)).collect()} == {"a"}
+
+
+def test_reports_and_importances(spark):
+    from tallyloom.operators import models, reports
+
+    rows = [(i, float(i % 7) if i % 3 else None, "a" if i % 20 else "b", 5.0 if i % 10 else 500.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, x double, g string, y double").withColumn("z", F.col("x") * 2)
+    report = reports.table_report(df)
+    got = {(r.section, r["item"]): r["value"] for r in report.collect()}
+    assert got["overview", "rows"] == "200" and got["alerts", "x"] == "missing 33.5 %" and got["imbalanced", "g"] == "mode 95.0 %"
+    said = reports.markdown(report, "T").split("\n")
+    assert said[0] == "# T" and said[2] == "## Overview" and "## Alerts" in said and "- rows: 200" in said
+    asked = [(r.scene, r.section, r.question) for r in reports.questions(report).collect()]
+    assert ("quality", "alerts", "What should be done about x (missing 33.5 %)?") in asked and len({a[0] for a in asked}) >= 5
+    assert reports.text_report(spark.createDataFrame([(1, "The harbour is good. The sea is bad."), (2, None)], "doc_id long, text string")).where("section = 'overview'").count() > 3
+    model = models.train(df.na.drop().withColumn("t", F.col("y") * 3.0), "regression", "tree", ["x", "y", "g"], "t")
+    names = [n for n, _ in models.named_importances(model, df)]
+    assert names[0] in ("y", "y=500.0") and {n.split("=")[0] for n in names} == {"x", "y", "g"}
+
+
+def test_rule_passes_and_classes(spark):
+    from tallyloom.operators import rules, text
+
+    found = rules.sums_in_passes(learning.identities(spark, SF), list("abcdef"), 0.99).collect()
+    assert {tuple(sorted(r.lhs + r.rhs)) for r in found if len(r.lhs + r.rhs) == 3} == {("a", "b", "c"), ("d", "e", "f")}
+    base = [f"word{k}" for k in range(40)]
+    docs = [(i, " ".join(base[:i] + base[i + 1 :])) for i in range(30)] + [(100, " ".join(base[1:])), (200, "quite another text with its own words")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in text.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[200] == (200, 0) and all(got[i] == (0, 30) for i in [*range(30), 100])
