@@ -235,7 +235,7 @@ def test_reports_and_importances(spark):
     df = spark.createDataFrame(rows, "k long, x double, g string, y double").withColumn("z", F.col("x") * 2)
     report = reports.table_report(df)
     got = {(r.section, r["item"]): r["value"] for r in report.collect()}
-    assert got["overview", "rows"] == "200" and got["alerts", "x"] == "missing 33.5 %" and got["imbalanced", "g"] == "mode 95.0 %"
+    assert got["overview", "rows"] == "200" and got["alerts", "x"] == "missing 33.5 %" and got["imbalanced", "g"] == "a 95.0 %"
     said = reports.markdown(report, "T").split("\n")
     assert said[0] == "# T" and said[2] == "## Overview" and "## Alerts" in said and "- rows: 200" in said
     asked = [(r.scene, r.section, r.question) for r in reports.questions(report).collect()]
