@@ -67,7 +67,7 @@ DICTIONARY, LEAST_TEXTS = 20_000, 2
 #: Letters of such a word, at most.
 LONGEST = 24
 #: Different words that a task counts before it hands its counts over.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
 #: Values whose cost a worker remembers, and letters of the longest of them.
 REMEMBERED, SHORT = 20_000, 200
 #: Characters of a value that are looked at first for repeats.
@@ -319,7 +319,9 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_TEXTS
                     plain = without_contexts(t) if named(t) else t
                     words = plain.encode("utf-8", "surrogatepass").translate(LETTERS).split()
                     texts.update({w for w in words if 3 <= len(w) <= LONGEST})
-                    for a, w, b in set(zip([b"", *words], words, [*words[1:], b""], strict=False)):
+                    for a, w, b in zip([b"", *words], words, [*words[1:], b""], strict=False):
+                        if not 3 <= len(w) <= LONGEST:
+                            continue
                         x = zlib.crc32(b, zlib.crc32(a))
                         if (had := between.get(w)) is None:
                             between[w] = [x, x]

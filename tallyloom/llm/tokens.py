@@ -9,12 +9,13 @@ from __future__ import annotations
 import gc
 import os
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 #: Bytes of a worker's table of chunks, about, before it drops the older half; an entry's own objects take so many.
-TABLE_BYTES, ENTRY = 120 << 20, 190
+TABLE_BYTES, ENTRY = 96 << 20, 190
 #: NFC and lower case leave letters below this code point letters, one for one.
 SIMPLE_BELOW = "\u0250"
 #: Neither letters, digits, white space nor the apostrophe, which has rules of its own.
@@ -93,11 +94,11 @@ class Encoder:
         missing = wanted - self.table.keys()
         self.held += sum(map(len, missing)) + ENTRY * len(missing)
         if self.held > TABLE_BYTES:
-            # chunks are in the order they came; those of these texts stay, and of the others the later half
-            known = [*self.table]
-            stay = wanted.difference(missing).union(known[len(known) // 2 :])
-            self.table = {c: x for c, x in self.table.items() if c in stay}
-            self.held = sum(map(len, self.table)) + ENTRY * len(self.table) + sum(map(len, missing)) + ENTRY * len(missing)
+            # chunks are in the order they came: those of the earlier half go in place, but for those of these texts
+            for c in [*islice(self.table, len(self.table) // 2)]:
+                if c not in wanted:
+                    self.held -= len(c) + ENTRY
+                    del self.table[c]
             self.words.clear()
             self.tails.clear()
         self._learn(missing)
@@ -112,11 +113,10 @@ def seldom_collect() -> None:
 
 @cache
 def encoder(path: str) -> Encoder:
-    seldom_collect()
     return Encoder(path)
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> list[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 1_000_000) -> list[tuple[int, int]]:
     """Ranges of texts of about so many characters in all, one text at least."""
     out, start, held = [], 0, 0
     for i, t in enumerate(texts):
