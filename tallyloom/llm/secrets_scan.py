@@ -70,8 +70,8 @@ LONGEST = 24
 HELD_WORDS = 100_000
 #: Values whose cost a worker remembers, and letters of the longest of them.
 REMEMBERED, SHORT = 20_000, 200
-#: Characters of a value that are looked at first for repeats.
-WINDOW = 256
+#: Characters of a value that are looked at first for repeats, and of one that is looked at whole after the second look.
+WINDOW, WHOLE = 256, 1 << 18
 #: A repeat of over MANY times is ended at one of the last LAST times only: to end sooner leaves more to spell than the
 #: logarithm of its times can save.
 MANY, LAST = 1024, 256
@@ -211,7 +211,7 @@ class Guesser:
                 break
             if reach < window - 2 * UNIT and not beyond:
                 return limit, None
-            window = min(n, 4 * window)
+            window = n if window > WINDOW and n <= WHOLE else min(n, 16 * window)
         if best[n] >= limit or n <= SHORT:
             return float(best[n]), None
         # from the last place back: what follows a place costs the same whatever is before it; a part that begins the value

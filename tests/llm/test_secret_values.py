@@ -59,7 +59,7 @@ def test_windows_change_no_cost(monkeypatch):
 def test_hostile_texts_take_no_long(text):
     start = time.process_time()
     S.spans(text)
-    assert time.process_time() - start < 4
+    assert time.process_time() - start < 8  # two on a machine of its own; by the square of the length it would be hours
 
 
 def test_many_times_of_a_repeat_end_late():
