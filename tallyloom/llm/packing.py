@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import cut, partitions, small, table
-from tallyloom.llm.tokens import encoder, slices, vocabulary
+from tallyloom.llm.tokens import AT_ONCE, encoder, slices, vocabulary
 
 END = 1
 LENGTH = 2048
@@ -246,7 +246,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, key
     def cut_up(batches):
         for batch in small(batches):
             keys, texts, marks = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, AT_ONCE):
                 rows = []
                 for k, m, ids in zip(keys[a:b], marks[a:b], encoder(path).ids(texts[a:b]), strict=True):
                     ids += tail
@@ -270,7 +270,7 @@ def checksums(docs: DataFrame, parts: DataFrame, path: str, end: int = END, key:
             texts = [t or "" for t in batch.column(4).to_pylist()]
             starts, lengths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             crc = []
-            for a, b in slices(texts):
+            for a, b in slices(texts, AT_ONCE):
                 crc += [zlib.crc32((ids + tail)[4 * s : 4 * (s + n)]) for ids, s, n in zip(encoder(path).ids(texts[a:b]), starts[a:b], lengths[a:b], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], names=["doc_id", "mark", "start", "length", "crc"])
 

@@ -1,7 +1,9 @@
 """Token ids by the tokenizers library, a word at a time.
 
 The vocabulary's rules never look across white space, so a text's ids are the ids of its space-separated chunks in
-order. Chunks repeat, and a bounded table of those already seen does most of the work; the library encodes the rest.
+order. Chunks repeat, and bounded tables of those already seen do most of the work; the library encodes the rest. There
+are two tables: when the newer is full it becomes the older, whose chunks move to the newer one as they are seen again,
+and what was not seen meanwhile goes with it.
 """
 
 from __future__ import annotations
@@ -9,17 +11,20 @@ from __future__ import annotations
 import gc
 import os
 from functools import cache
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-#: Bytes of a worker's table of chunks, about, before it drops the older half; an entry's own objects take so many.
-TABLE_BYTES, ENTRY = 96 << 20, 190
+#: Bytes of a worker's two tables of chunks, about; an entry's own objects take so many.
+TABLE_BYTES, ENTRY = 96 << 20, 150
 #: NFC and lower case leave letters below this code point letters, one for one.
 SIMPLE_BELOW = "\u0250"
 #: Neither letters, digits, white space nor the apostrophe, which has rules of its own.
 MARKS = ".,!?;:#*$%&|<>()[]{}+=_/\\@^~-"
+#: Characters of texts that callers give ids() at once; only their different chunks become Python's strings.
+AT_ONCE = 2_000_000
 
 
 def vocabulary(name: str = WORD_BPE) -> str:
@@ -48,8 +53,8 @@ class Encoder:
         rest = iter([x for x in alphabet if x not in set(same)])
         self.bytes_as = {x: chr(x) if chr(x) in same else next(rest) for x in range(256)}
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
-        self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _plain(self, words: list[str]) -> None:
@@ -62,48 +67,60 @@ class Encoder:
                 raise ValueError("a word has no single end")
             raw, at = ids.tobytes(), 0
             for w, end in zip(some, cuts.tolist(), strict=True):
-                self.words[w] = raw[4 * at : 4 * end]
+                self.table[w] = raw[4 * at : 4 * end]
                 at = end
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.full.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """A chunk of letters and then marks is a word and a tail: the rules always part them."""
-        words, table, tails, plain, need = self.words, self.table, self.tails, [], set()
+    def _learn(self, chunks: list[str]) -> None:
+        """A chunk of letters and then marks is a word and a tail: the rules always part them. Words are in the table as
+        chunks of their own."""
+        table, older, tails, parted, need = self.table, self.older, self.tails, [], set()
+        held = sum(map(len, chunks)) - ENTRY * len(table)
         for c in chunks:
+            if (known := older.pop(c, None)) is not None:
+                table[c] = known
+                continue
             w = c.rstrip(MARKS).lower()
             if w.isalpha() and (w.isascii() or max(w) < SIMPLE_BELOW):
-                plain.append((c, w))
-                if w not in words:
+                if w == c:
                     need.add(w)
+                    continue
+                parted.append((c, w))
+                if w not in table:
+                    held += len(w)
+                    if (known := older.pop(w, None)) is None:
+                        need.add(w)
+                    else:
+                        table[w] = known
             else:
                 table[c] = self._whole(c) if c else b""
+                held += len(table[c])
         self._plain([*need])
-        for c, w in plain:
+        for c, w in parted:
             if len(c) == len(w):
-                table[c] = words[w]
+                table[c] = table[w]
             else:
                 if (tail := c[len(w) :]) not in tails:
                     tails[tail] = self._whole(tail)
-                table[c] = words[w] + tails[tail]
+                table[c] = table[w] + tails[tail]
+        self.held += held + ENTRY * len(table)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        missing = wanted - self.table.keys()
-        self.held += sum(map(len, missing)) + ENTRY * len(missing)
-        if self.held > TABLE_BYTES:
-            # chunks are in the order they came: those of the earlier half go in place, but for those of these texts
-            for c in [*islice(self.table, len(self.table) // 2)]:
-                if c not in wanted:
-                    self.held -= len(c) + ENTRY
-                    del self.table[c]
-            self.words.clear()
+        """Only different chunks become Python's strings; Arrow cuts the texts into chunks and puts the ids in their places."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.values.dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.held > TABLE_BYTES // 2:
+            self.table, self.older, self.held = {}, self.table, 0
             self.tails.clear()
-        self._learn(missing)
-        get = self.table.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        found = [*map(self.table.get, chunks)]
+        if missing := [c for c, x in zip(chunks, found, strict=True) if x is None]:
+            self._learn(missing)
+            found = [self.table[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
+        places = pa.array(found, pa.large_binary()).take(coded.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(split.offsets, places), pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 def seldom_collect() -> None:

@@ -54,6 +54,33 @@ def test_encoder_equals_the_library(full):
         assert ids == full(t, 0)[:-1].tobytes()
 
 
+def test_encoder_reads_only_what_a_batch_holds(full, monkeypatch):
+    """Batches look up their own chunks, never the whole table; what is seen again and again is learnt once, however much
+    is dropped beside it; the tables stay bounded."""
+    from tallyloom.llm import tokens
+
+    class Table(dict):
+        def keys(self):
+            raise AssertionError("a batch reads the whole table")
+
+        __iter__ = keys
+
+    made = Encoder(vocabulary())
+    made.table = Table()
+    assert made.ids(["of the word, Word"]) == [full("of the word, Word", 0)[:-1].tobytes()]
+
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 100 * tokens.ENTRY)
+    made, learnt = Encoder(vocabulary()), Counter()
+    monkeypatch.setattr(made, "_plain", lambda words, plain=made._plain: (learnt.update(words), plain(words)))
+    letters = "abcdefghij"
+    for k in range(60):
+        texts = [" ".join(f"{letters[k // 10]}{letters[k % 10]}{letters[j]}" for j in range(10)) + "\n Often, 7%" * (k % 2), ""]
+        assert made.ids(texts) == [full(t, 0)[:-1].tobytes() for t in texts]
+        assert len(made.table) + len(made.older) <= 130
+    assert learnt["often"] == 1 and len(learnt) > 600
+    assert made.ids([]) == []
+
+
 def test_sharding(spark, docs, odd, none):
     for df in (docs, odd):
         rows = sharding.shard(df).collect()
