@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import cut, new_folder, small, table
-from tallyloom.llm.tokens import encoder, slices, vocabulary
+from tallyloom.llm.tokens import AT_ONCE, encoder, slices, vocabulary
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -112,7 +112,7 @@ def counts(docs: DataFrame, path: str, extra: tuple[str, ...] = ("source", "lang
     def count(batches):
         for batch in small(batches):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            bpe = [len(ids) // 4 for a, b in slices(texts) for ids in encoder(path).ids(texts[a:b])]
+            bpe = [len(ids) // 4 for a, b in slices(texts, AT_ONCE) for ids in encoder(path).ids(texts[a:b])]
             words = [len(t.encode().split()) for t in texts]
             kept = [batch.column(c) for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(bpe, pa.int64()), pa.array(words, pa.int64())], names=[*[c for c in batch.schema.names if c != "_text"], "bpe", "words"])
