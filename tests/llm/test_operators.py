@@ -81,6 +81,22 @@ def test_encoder_reads_only_what_a_batch_holds(full, monkeypatch):
     assert made.ids([]) == []
 
 
+def test_encoder_keeps_a_word_once(full):
+    """Neither capitals nor the marks after a word make other chunks of it, and the ids stay the library's wherever a
+    capital or a mark could join what is beside it."""
+    made = Encoder(vocabulary())
+    texts = [f"{w}{m}" for w in ("house", "House", "HOUSE", "été", "Été", "ÉTÉ") for m in ("", ",", ";", "...", "&&& ")]
+    assert made.ids(texts) == [full(t, 0)[:-1].tobytes() for t in texts]
+    assert {*made.table} == {"house", "été", ",", ";", "...", "&&&"}
+
+    rng = np.random.default_rng(5)
+    atoms = [*"aAhHzéÉ×÷ßÞÿİıŁſǅΣςKÅﬁªºµ.,!?'\"=<>|~&/- \n\t\xa0\x1c日가²½Ⅷ7…’😀", "\u0301", "\u0331", "\u0338", "\u0307", "\u200d", "<|endoftext|>", "<|EndOfText|>", "endoftext|>", "'s", "'RE", "Word,", "É,", "İ,"]
+    for k in range(3000):
+        texts = ["".join(rng.choice(atoms, rng.integers(0, 12))) for _ in range(3)]
+        texts = [t.replace("<|", "<") for t in texts] if k % 3 else texts
+        assert made.ids(texts) == [full(t, 0)[:-1].tobytes() for t in texts]
+
+
 def test_sharding(spark, docs, odd, none):
     for df in (docs, odd):
         rows = sharding.shard(df).collect()
