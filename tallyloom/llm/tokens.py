@@ -12,7 +12,7 @@ from __future__ import annotations
 import gc
 import os
 from functools import cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ TABLE_BYTES, ENTRY = 96 << 20, 150
 SIMPLE_BELOW = "\u0250"
 #: Neither letters, digits, white space nor the apostrophe, which has rules of its own.
 MARKS = ".,!?;:#*$%&|<>()[]{}+=_/\\@^~-"
+#: Words that need no rules, but not all of those.
+WORD = "^[a-zß-öø-ÿ]+$"
 #: What a byte of UTF-8 is: a space or the end of a line; an ASCII letter, a capital; one of MARKS; the first byte of a letter
 #: from U+00C0 to U+024F (or of U+00D7 and U+00F7, which are none, or U+0130, in lower case a letter and a mark); the first of a character that never joins one before it.
 SPACE, LETTER, CAPITAL, MARK, LEAD, APART = (1 << k for k in range(6))
@@ -94,7 +96,9 @@ class Encoder:
             seen = [*map(older.pop, chunks, repeat(None))]
             table.update((c, x) for c, x in zip(chunks, seen, strict=True) if x is not None)
             chunks = [c for c, x in zip(chunks, seen, strict=True) if x is None]
-        for c in chunks:
+        words = pc.match_substring_regex(pa.array(chunks, pa.large_string()), WORD).to_numpy(zero_copy_only=False)
+        self._plain([*compress(chunks, words.tolist())])
+        for c in compress(chunks, (~words).tolist()):
             w = c.rstrip(MARKS).lower()
             if w.isalpha() and (w.isascii() or max(w) < SIMPLE_BELOW):
                 if w == c:
