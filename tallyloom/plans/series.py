@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.tables import shared_folder
 from tallyloom.operators import facts as FA
 from tallyloom.operators import graph as G
 from tallyloom.operators import models as ML
@@ -161,7 +162,7 @@ def _(s, d):
 
 @query("z03_stream_sessions", "SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 30 MINUTE AS TIMESTAMP) AS \"end\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS c FROM (SELECT *, coalesce((ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE)::INT, 1) AS new FROM events)) GROUP BY user_id, c")
 def _(s, d):
-    return Z.run_to_memory(Z.sessions(stream(s, d)), f"sessions_{uuid.uuid4().hex}")
+    return Z.run_to_files(Z.sessions(stream(s, d)), f"{shared_folder(s)}/sessions-{uuid.uuid4().hex}", "complete")
 
 
 @query("z04_stream_alerts", "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE NOT (value < 100)")

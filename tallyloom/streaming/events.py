@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +43,53 @@ def run_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> N
 
 
 def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there into a table of the session, for small results and tests."""
+    """Runs a stream over all that is there into a table of the driver's memory, for small results and tests."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
 
 
+#: State by key is kept by RocksDB: in files, with a bounded part of it in an executor's memory.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+}
+
+
+def run_to_files(df: DataFrame, path: str, mode: str = "append", key: list[str] = ()) -> DataFrame:
+    """Runs a stream over all that is there into Parquet files below path, which tasks write and read, and gives its rows:
+    all of mode append, those after the last batch of mode complete, the last of each key of mode update."""
+    spark = df.sparkSession
+    rows, checkpoint, done = f"{path}/rows", f"{path}/checkpoint", []
+
+    def put(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={i}")
+        done.append(i)
+
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        if mode == "append":
+            run_to(df, rows, checkpoint)
+        else:
+            df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    read = spark.read.schema(df.schema)
+    if mode == "append":
+        return read.parquet(rows)
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete" or len(done) == 1:
+        return read.parquet(f"{rows}/batch={max(done)}")
+    parts = [read.parquet(f"{rows}/batch={i}").withColumn("_batch", F.lit(i)) for i in done]
+    last = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.max_by(F.struct(*df.columns), "_batch").alias("x"))
+    return last.select("x.*")
+
+
 def spikes(events: DataFrame, user: str = "user_id", value: str = "value", factor: float = 3.0) -> DataFrame:
     """(user_id, n, mean, n_spikes) by user after each batch: values over `factor` times the user's running mean so far.
     The state is a count, a sum and the spikes of each user."""
