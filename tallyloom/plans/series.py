@@ -172,7 +172,7 @@ def _(s, d):
 
 @query("z05_stream_once", "SELECT event_id, user_id FROM events")
 def _(s, d):
-    return Z.run_to_memory(Z.once(stream(s, d)).select("event_id", "user_id"), f"once_{uuid.uuid4().hex}", "append")
+    return Z.run_to_files(Z.once(stream(s, d)).select("event_id", "user_id"), f"{shared_folder(s)}/once-{uuid.uuid4().hex}")
 
 
 # ---- graphs: customers' nations as vertices, trade between nations as edges

@@ -24,6 +24,10 @@ def test_sessions_pass_no_driver(spark):
     assert as_sql(spark, "z03_stream_sessions").inputFiles()  # a table in the driver's memory has none
 
 
+def test_unique_events_pass_no_driver(spark):
+    assert as_sql(spark, "z05_stream_once").inputFiles()
+
+
 def test_the_last_of_each_key_after_several_batches(spark, tmp_path):
     for i in range(3):
         spark.range(i, 4).select("id").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
