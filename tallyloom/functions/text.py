@@ -44,14 +44,24 @@ def sentences(c: Column, aggressive: bool = False) -> Column:
     return F.filter(F.transform(found, lambda s: F.trim(F.regexp_replace(s, "\n", ""))), lambda s: F.length(s) > 0)
 
 
+def _plain(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda t: F.length(t) > 0)
+
+
 def tokens(c: Column) -> Column:
     """Lower-case pieces between white space; runs of CJK characters in them become their neighbouring pairs,
     without the marks beside them."""
-    plain = F.filter(F.split(F.lower(c), r"\s+"), lambda t: F.length(t) > 0)
+    plain = _plain(c)
     runs = F.flatten(F.transform(plain, lambda t: F.regexp_extract_all(t, F.lit(f"^[^{CJK}]+$|[{CJK}]+|[^{CJK}\\p{{P}}\\p{{S}}]+"), F.lit(0))))
     return F.when(c.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"[{CJK}]"), bigrams_cjk(r)).otherwise(F.array(r))))).otherwise(plain)
 
 
+def sentence_words(c: Column) -> Column:
+    """The tokens of each sentence, without the marks in them; a text is asked once whether it has CJK characters."""
+    bare = F.transform(sentences(c), lambda x: F.regexp_replace(x, r"[\p{Punct}。！？，]", " "))
+    return F.when(c.rlike(f"[{CJK}]"), F.transform(bare, tokens)).otherwise(F.transform(bare, _plain))
+
+
 def bigrams_cjk(c: Column) -> Column:
     """Neighbouring CJK characters: tokens without a segmenter."""
     chars = F.regexp_extract_all(c, F.lit(f"[{CJK}]"), F.lit(0))

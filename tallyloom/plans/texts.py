@@ -235,7 +235,8 @@ def _(s, d):
 
 @query("x09_trimmed")
 def _(s, d):
-    return T.trim_templates(docs(s, d), T.template_words(docs(s, d)))
+    held = T.said(docs(s, d))
+    return T.trim_templates(held, T.template_words(held))
 
 
 @query("x10_prepared", f"SELECT doc_id, CAST(len({SPLIT}) AS BIGINT) AS n FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), 'https?://\\S+|www\\.\\S+', '', 'g'), '\\S+@\\S+\\.\\S+', '', 'g'), '[^\\pL\\pN\\s.,!?;:''\"()-]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM documents)")
