@@ -11,6 +11,12 @@ REAL = (T.FloatType, T.DoubleType, T.DecimalType)
 TIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Numbers that stand for a missing one.
 SENTINELS = (-999, -9999, 999999, 9999999)
+#: All characters that are spaces, as SQL's trim takes them off.
+BLANKS = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def trimmed(c: Column | str) -> Column:
+    return F.trim(c, F.lit(BLANKS))
 
 
 def whole(df: DataFrame) -> list[str]:

@@ -14,18 +14,21 @@ from tallyloom.operators import profile as P
 WEIGHTS = {"completeness": 0.25, "accuracy": 0.25, "consistency": 0.20, "timeliness": 0.15, "uniqueness": 0.15}
 
 
-def prescreen(df: DataFrame) -> DataFrame:
-    """Blank strings and numbers that stand for missing values become null."""
-    out = {c: F.nullif(F.trim(c), F.lit("")) for c in C.strings(df)}
-    out |= {c: F.when(~F.col(c).isin(*C.SENTINELS), F.col(c)) for c in C.numeric(df)}
+def prescreen(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Blank strings and numbers that stand for missing values become null; of the given columns, or of all. Identifiers
+    are best left out: among many, some are such numbers by right."""
+    some = df.select(*cols) if cols else df
+    out = {c: F.nullif(C.trimmed(c), F.lit("")) for c in C.strings(some)}
+    out |= {c: F.when(~F.col(c).isin(*C.SENTINELS), F.col(c)) for c in C.numeric(some)}
     return df.withColumns(out)
 
 
-def prescreen_counts(df: DataFrame) -> DataFrame:
+def prescreen_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, n_blank, n_sentinel) of what prescreen takes away, in one pass."""
-    cells = [F.struct(F.lit(c).alias("column"), (F.trim(c) == "").alias("blank"), F.lit(False).alias("sentinel")) for c in C.strings(df)]
-    cells += [F.struct(F.lit(c).alias("column"), F.lit(False).alias("blank"), F.col(c).isin(*C.SENTINELS).alias("sentinel")) for c in C.numeric(df)]
-    flat = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    some = df.select(*cols) if cols else df
+    cells = [F.struct(F.lit(c).alias("column"), (C.trimmed(c) == "").alias("blank"), F.lit(False).alias("sentinel")) for c in C.strings(some)]
+    cells += [F.struct(F.lit(c).alias("column"), F.lit(False).alias("blank"), F.col(c).isin(*C.SENTINELS).alias("sentinel")) for c in C.numeric(some)]
+    flat = some.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
     return flat.groupBy("column").agg(F.count_if("blank").alias("n_blank"), F.count_if("sentinel").alias("n_sentinel"))
 
 
