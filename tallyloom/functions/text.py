@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.columns import trimmed
+
 CJK = "\\u4e00-\\u9fff"
 # Surnames, and endings of places and organisations, longer ones first.
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱林郭何高郑罗梁谢宋唐许邓肖冯韩曹彭曾田董潘袁于蒋蔡余杜苏吕丁沈任姚卢傅钟姜崔谭廖范"
@@ -73,13 +75,15 @@ def without_stop_words(t: Column, extra: list[str] = ()) -> Column:
     return F.filter(t, lambda w: ~w.isin(stop) & (F.length(F.trim(w)) > 1))
 
 
-def noise_line(line: Column) -> Column:
-    """Lines of numbers, codes, marks or one character over and over, and short ones."""
-    return (F.length(F.trim(line)) < 20) | line.rlike(r"^[\d\s.,%+-]+$") | line.rlike(r"^\s*[06]\d{5}\s*$") | line.rlike(r"^[^\p{L}\p{N}]+$") | line.rlike(r"(.)\1{5,}")
+def noise_line(line: Column, repeated: str | None = None) -> Column:
+    """Lines of numbers, codes, marks or one character over and over, and short ones. repeated: the characters that are
+    noise over and over, where it is not all."""
+    over = r"(.)\1{5,}" if repeated is None else "([" + "".join(f"\\x{{{ord(x):x}}}" for x in repeated) + r"])\1{5,}"
+    return (F.length(trimmed(line)) < 20) | line.rlike(r"^[0-9 \t\n\f\r.,%+-]+\z") | line.rlike(r"^[ \t\n\f\r]*[06][0-9]{5}[ \t\n\f\r]*\z") | line.rlike(r"^[^\p{L}\p{N}]+\z") | line.rlike(over)
 
 
-def without_noise(c: Column) -> Column:
-    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~noise_line(x)), "\n")
+def without_noise(c: Column, repeated: str | None = None) -> Column:
+    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~noise_line(x, repeated)), "\n")
 
 
 def filtered_tokens(t: Column) -> Column:
