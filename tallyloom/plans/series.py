@@ -437,7 +437,7 @@ def _(s, d):
 
 @query("z06_stream_spikes", "SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, CAST(count(*) FILTER (value > 3 * m) AS BIGINT) AS n_spikes FROM (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) GROUP BY 1")
 def _(s, d):
-    return rounded(Z.run_to_memory(Z.spikes(stream(s, d)), f"spikes_{uuid.uuid4().hex}", "update"))
+    return rounded(Z.run_to_files(Z.spikes(stream(s, d)), f"{shared_folder(s)}/spikes-{uuid.uuid4().hex}", "update", ["user_id"]))
 
 
 @query("i09_captions")

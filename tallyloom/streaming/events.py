@@ -91,19 +91,28 @@ def run_to_files(df: DataFrame, path: str, mode: str = "append", key: list[str]
 
 
 def spikes(events: DataFrame, user: str = "user_id", value: str = "value", factor: float = 3.0) -> DataFrame:
-    """(user_id, n, mean, n_spikes) by user after each batch: values over `factor` times the user's running mean so far.
-    The state is a count, a sum and the spikes of each user."""
+    """(user_id, n, mean, n_spikes) by user after each batch: values over `factor` times the user's running mean so far, in
+    the order of event_id within a batch, however its rows are cut into frames. Rows without a value count in n alone.
+    The state is counts, a sum and the spikes of each user."""
+    import numpy as np
     import pandas as pd
 
     def step(key, frames, state):
-        n, total, hits = state.get if state.exists else (0, 0.0, 0)
-        for pdf in frames:
-            for v in pdf.sort_values("at")["v"]:
-                if n and v > factor * total / n:
-                    hits += 1
-                n, total = n + 1, total + v
-        state.update((n, total, hits))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [total / n], "n_spikes": [hits]})
-
-    held = events.where(F.col(value).isNotNull()).select(F.col(user).alias("user_id"), F.col(value).cast("double").alias("v"), F.col("event_id").alias("at"))
-    return held.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, mean double, n_spikes long", "n long, total double, hits long", "update", "NoTimeout")
+        n, seen, total, hits = state.get if state.exists else (0, 0, 0.0, 0)
+        at, v, there = (np.concatenate(x) for x in zip(*((pdf["at"].to_numpy(), pdf["v"].to_numpy(), pdf["there"].to_numpy()) for pdf in frames), strict=True))
+        n += len(at)
+        v = v[there][np.argsort(at[there], kind="stable")]
+        if len(v):
+            sums = np.cumsum(np.r_[total, v])
+            before, counts = sums[:-1], np.arange(seen, seen + len(v))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = before / counts
+            # not a number is over all numbers, as in SQL
+            hits += int(((counts > 0) & ((v > factor * mean) | (np.isnan(v) & ~np.isnan(mean)))).sum())
+            seen, total = seen + len(v), float(sums[-1])
+        state.update((n, seen, total, hits))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "seen": [seen], "total": [total], "n_spikes": [hits]})
+
+    held = events.select(F.col(user).alias("user_id"), F.col(value).cast("double").alias("v"), F.col(value).isNotNull().alias("there"), F.coalesce("event_id", F.lit((1 << 63) - 1)).alias("at"))
+    out = held.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, seen long, total double, n_spikes long", "n long, seen long, total double, hits long", "update", "NoTimeout")
+    return out.select("user_id", "n", F.when(F.col("seen") > 0, F.coalesce("total", F.lit(float("nan"))) / F.col("seen")).alias("mean"), "n_spikes")
